@@ -20,11 +20,12 @@ from barloom.operators import archive, backtest, baselines, folds, indicators, l
 from barloom.operators.bars import build_bars, project_ticks, store_bars
 from barloom.operators.quantiles import LINEAR, NEAREST, exact_quantiles
 from barloom.operators.series import index_series
-from barloom.plans import dataset
+from barloom.plans import dataset, run, stacking
 from barloom.plans.views import event_ticks, line_ticks, order_ticks, table, vendor_ticks
 from barloom.schema import BAR_START, SYMBOL, TIMESTAMP, schema_report
 from barloom.session import materialize
 from barloom.sources import file_inventory, latest_months, normalize_ticks
+from barloom.sources.sinks import as_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 LEDGER_NOW = datetime(2024, 3, 1)
@@ -550,3 +551,61 @@ def _(spark, sf):
 def _(spark, sf):
     repaired = materialize(_repaired(spark, sf), "repaired")
     return archive.repair_report(_without_two_hours(event_ticks(spark, sf)), repaired)
+
+
+# --- stacked model -----------------------------------------------------------
+_RUNS: dict[tuple[str, str], run.RunOutputs] = {}
+
+
+def _run(spark, sf) -> run.RunOutputs:
+    """One fitted run per application and data folder: several queries report on it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        _RUNS[key] = run.run(event_ticks(spark, sf))
+    return _RUNS[key]
+
+
+@query("stacking_oof")
+def _(spark, sf):
+    model = _run(spark, sf).model
+    return model.oof.select(SYMBOL, BAR_START, "fold", "row", "label", *model.probability_columns)
+
+
+@query("oof_scores")
+def _(spark, sf):
+    model = _run(spark, sf).model
+    return stacking.oof_scores(model.oof, model.base_models)
+
+
+@query("stacking_predictions")
+def _(spark, sf):
+    return _run(spark, sf).predictions.select(
+        SYMBOL, BAR_START, "label", "prediction", "raw_signal", "p_sell", "p_buy"
+    )
+
+
+@query("model_metrics")
+def _(spark, sf):
+    return run.metric_table(_run(spark, sf))
+
+
+@query("feature_importance")
+def _(spark, sf):
+    outputs = _run(spark, sf)
+    return stacking.feature_importance(outputs.model, outputs.everything)
+
+
+@query("stacking_backtest")
+def _(spark, sf):
+    outputs = _run(spark, sf)
+    return backtest.backtest_metrics(outputs.curve, outputs.trades)
+
+
+@query("stacking_predictions_table")
+def _(spark, sf):
+    return run.predictions_of(_run(spark, sf))
+
+
+@query("run_metadata")
+def _(spark, sf):
+    return as_json(run.run_metadata(_run(spark, sf)))
