@@ -63,9 +63,9 @@ def enumerate_months(
     skip_current: bool = False,
 ) -> DataFrame:
     """Months from ``start`` to ``end`` as ``month_start``; future months are left out."""
-    first, last = (F.make_date(F.lit(y), F.lit(m), F.lit(1)) for y, m in (start, end))
+    first, last = (F.make_date(F.lit(y), F.lit(m), F.lit(1)).cast("timestamp") for y, m in (start, end))
     months = spark.range(1).select(
-        F.explode(F.sequence(first, last, F.expr("interval 1 month"))).cast("timestamp").alias("month_start")
+        F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("month_start")
     )
     current = F.date_trunc("month", F.lit(now))
     months = months.where(F.col("month_start") <= F.lit(now))
