@@ -364,7 +364,7 @@ def _feature_scores(spark, sf) -> DataFrame:
 
 @query("baseline_metrics")
 def _(spark, sf):
-    return metrics.metric_rows(materialize(_scored(spark, sf), "scored"))
+    return metrics.metric_rows(materialize(_scored(spark, sf), "scored_baselines"))
 
 
 # --- backtest ----------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import month_key
 from barloom.schema import SYMBOL, TIMESTAMP
+from barloom.session import materialize
 
 SLOT = "slot"
 MONTH = "month"
@@ -136,10 +137,11 @@ def patch_merge(base: DataFrame, patches: DataFrame) -> DataFrame:
     """Union of both with existing rows winning; columns a side lacks become NULL.
 
     Only months that get a patch row are merged and deduplicated. Other months
-    pass through without a shuffle.
+    pass through without a shuffle: the list of touched months is stored, so it
+    is broadcast by its measured size.
     """
     month = F.date_trunc("month", TIMESTAMP)
-    touched = patches.select(SYMBOL, month.alias("_month")).distinct()
+    touched = materialize(patches.select(SYMBOL, month.alias("_month")).distinct(), "touched")
     keyed = base.withColumn("_month", month)
     untouched = keyed.join(touched, [SYMBOL, "_month"], "left_anti")
     affected = keyed.join(touched, [SYMBOL, "_month"], "left_semi").drop("_month")

@@ -290,9 +290,9 @@ def add_groups(
     indexed: DataFrame,
     groups: Sequence[Group],
     block_rows: int = BLOCK_ROWS,
-    keep_block: bool = False,
 ) -> DataFrame:
     """Add the outputs of ``groups`` to indexed bars in one blocked pass."""
+    carried = indexed.columns
     outputs = [c for g in groups for c in g.outputs]
     rowwise = all(g.look_back == 0 and g.look_ahead == 0 for g in groups)
     w = block_windows()
@@ -306,6 +306,7 @@ def add_groups(
             raise ValueError(f"block_rows must be a multiple of {sub_rows}")
         df = with_halo(indexed, before, max(g.look_ahead for g in groups), block_rows)
         df = with_sub_block(df, sub_rows)
+    known: set[str] = set()
     for depth in range(max(len(s) for s in stages)):
         windows: dict[str, Column] = {}
         step: dict[str, Column] = {}
@@ -316,13 +317,13 @@ def add_groups(
                     expr = expr.gated()
                 step.setdefault(name, expr)
         for columns in (windows, step):
-            new = {k: v for k, v in columns.items() if k not in df.columns}
+            new = {k: v for k, v in columns.items() if k not in known}
             if new:
                 df = df.withColumns(new)
+                known |= set(new)
     if not rowwise:
         df = own_rows(df)
-    kept = ["block"] if keep_block and not rowwise else []
-    return df.select(*indexed.columns, *outputs, *kept)
+    return df.select(*carried, *outputs)
 
 
 def _on_bars(bars: DataFrame, groups: Sequence[Group], block_rows: int) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import BUY, SELL
+from barloom.operators.quantiles import with_cells
 from barloom.operators.series import prefix_over_chunks
+from barloom.session import materialize
 
-SCORE_CHUNKS = 4096
 CLASSES = {"sell": SELL, "buy": BUY}
 
 
@@ -100,21 +101,16 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; NULL with one class.
 
     Equal scores are merged first. The running count of negatives goes over
-    score ranges, so no task orders all scores of a model.
+    evenly filled score ranges, so no task orders all scores of a model, even
+    where a weak model puts all of them next to 0.5.
     """
     by = list(by)
-    scores = (
-        scored.groupBy(*by, "p_buy")
-        .agg(
-            F.count_if(F.col("y") == BUY).alias("pos"),
-            F.count_if(F.col("y") != BUY).alias("neg"),
-        )
-        .withColumn(
-            "score_chunk",
-            F.greatest(F.least(F.floor(F.col("p_buy") * SCORE_CHUNKS), F.lit(SCORE_CHUNKS)), F.lit(-1)),
-        )
+    scores = scored.groupBy(*by, "p_buy").agg(
+        F.count_if(F.col("y") == BUY).alias("pos"),
+        F.count_if(F.col("y") != BUY).alias("neg"),
     )
-    ranked = prefix_over_chunks(scores, "score_chunk", ["p_buy"], "neg", "neg_to", by)
+    cells = with_cells(materialize(scores, "scores"), by, "p_buy", "neg")
+    ranked = prefix_over_chunks(cells, "_cell", ["p_buy"], "neg", "neg_to", by)
     below = F.col("neg_to") - F.col("neg") + F.col("neg") / 2
     area = F.sum(F.col("pos") * below)
     pairs = F.sum("pos").cast("double") * F.sum("neg")

@@ -19,7 +19,8 @@ from barloom.functions import is_finite
 from barloom.schema import SYMBOL
 from barloom.session import materialize
 
-SPLITTERS = 15
+TAIL = [0.0001, 0.001, 0.01]
+SPLITTERS = [*TAIL, *[i / 16 for i in range(1, 16)], *[1 - q for q in reversed(TAIL)]]
 CELLS = 1024  # per range between splitters
 NEAREST, LINEAR = "nearest", "linear"
 
@@ -40,14 +41,36 @@ def _ranks(q: float, interpolation: str) -> tuple[Column, Column]:
 def _cell(x: Column, edges: Column) -> Column:
     """Cell number, non-decreasing in ``x``; the infinities get cells of their own."""
     cell = F.lit(-1)
-    for i in range(SPLITTERS + 1):
+    pieces = len(SPLITTERS) + 1
+    for i in range(pieces):
         lo, hi = edges[i], edges[i + 1]
         inside = F.least(F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * CELLS), F.lit(CELLS - 1))
         cell = F.when(x >= lo, i * CELLS + F.coalesce(inside, F.lit(0))).otherwise(cell)
-    top = (SPLITTERS + 1) * CELLS
+    top = pieces * CELLS
     return F.when(F.isnan(x), top + 1).when(x == F.lit(float("inf")), top).otherwise(cell)
 
 
+def with_cells(counts: DataFrame, by: Sequence[str], x: str, n: str) -> DataFrame:
+    """Add ``_cell``, which rises with ``x`` and splits each group evenly, and ``_total``.
+
+    ``counts`` holds distinct values and how often they occur; it is read twice.
+    The splitters are a sketch per group and are stored, so that the join that
+    brings them back can be a broadcast by measured size.
+    """
+    number = F.col(x).cast("double")
+    finite = F.when(is_finite(number), number)
+    groups = counts.groupBy(*by).agg(
+        F.sum(n).alias("_total"),
+        F.concat(
+            F.array(F.min(finite)),
+            F.percentile_approx(finite, SPLITTERS, 10_000),
+            F.array(F.max(finite)),
+        ).alias("_edges"),
+    )
+    cell = F.coalesce(_cell(number, F.col("_edges")), F.lit(0)).alias("_cell")
+    return counts.join(materialize(groups, "splitters"), list(by)).select(*counts.columns, "_total", cell)
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -60,24 +83,12 @@ def exact_quantiles(
     read that table.
     """
     by = list(by)
-    number = F.col("_x").cast("double")
-    finite = F.when(is_finite(number), number)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    counts = materialize(counts, "value_counts")
-    probs = [i / (SPLITTERS + 1) for i in range(1, SPLITTERS + 1)]
-    groups = counts.groupBy(*by).agg(
-        F.sum("_n").alias("_total"),
-        F.concat(
-            F.array(F.min(finite)), F.percentile_approx(finite, probs, 1000), F.array(F.max(finite))
-        ).alias("_edges"),
-    )
-    cells = counts.join(groups, by).select(
-        *by, "_x", "_n", "_total", F.coalesce(_cell(number, F.col("_edges")), F.lit(0)).alias("_cell")
-    )
+    cells = with_cells(materialize(counts, "value_counts"), by, "_x", "_n")
 
     wanted = [r for q, how in quantiles.values() for r in _ranks(q, how)]
     earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

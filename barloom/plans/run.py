@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -102,7 +104,7 @@ def evaluate(
         scored=scored,
         predictions=labeled_predictions(data, scored),
         curve=curve,
-        trades=backtest.extract_trades(curve),
+        trades=materialize(backtest.extract_trades(curve), "trades"),
     )
 
 
@@ -181,12 +183,21 @@ def predictions_of(out: RunOutputs) -> DataFrame:
     return backtest.predictions_table(out.curve, labeled)
 
 
-def publish_run(out: RunOutputs, folder: str, run_id: str = "run") -> None:
-    """CSV tables and the JSON document of a run."""
-    write_csv(predictions_of(out), f"{folder}/tables/predictions")
-    write_csv(backtest.trades_table(out.trades), f"{folder}/tables/trades")
-    metrics_ = backtest.backtest_metrics(out.curve, out.trades, out.config.initial_balance)
-    write_csv(metrics_, f"{folder}/tables/backtest_metrics")
-    write_csv(metric_table(out), f"{folder}/tables/baseline_metrics")
-    write_csv(feature_importance(out.model, out.everything), f"{folder}/tables/feature_importance")
-    write_json(run_metadata(out, run_id), f"{folder}/run_data")
+def publish_run(out: RunOutputs, folder: str, run_id: str = "run", parallelism: int = 6) -> None:
+    """CSV tables and the JSON document of a run; the independent jobs overlap."""
+    balance = out.config.initial_balance
+    tables: dict[str, Callable[[], DataFrame]] = {
+        "baseline_metrics": lambda: metric_table(out),
+        "predictions": lambda: predictions_of(out),
+        "trades": lambda: backtest.trades_table(out.trades),
+        "backtest_metrics": lambda: backtest.backtest_metrics(out.curve, out.trades, balance),
+        "feature_importance": lambda: feature_importance(out.model, out.everything),
+    }
+    with ThreadPoolExecutor(parallelism) as pool:
+        document = pool.submit(lambda: write_json(run_metadata(out, run_id), f"{folder}/run_data"))
+        written = [
+            pool.submit(lambda n=name, t=table: write_csv(t(), f"{folder}/tables/{n}"))
+            for name, table in tables.items()
+        ]
+        for job in (document, *written):
+            job.result()

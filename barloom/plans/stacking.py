@@ -96,6 +96,7 @@ def svc_pipeline(ctx: FitContext) -> Pipeline:
         rawPredictionCol=f"_{margin}_raw",
         regParam=1.0 / ctx.rows,
         maxIter=100,
+        tol=1e-3,
         standardization=False,
         **_names(margin),
     )
@@ -198,11 +199,12 @@ class StackingClassifier:
             .orderBy("fold")
             .collect()
         )
+        # The longest fits start first: late folds have most rows, trees are slowest.
         jobs = [
             (row["fold"], name, row["sell"], row["buy"])
-            for row in counts
+            for name in reversed(self.base_models)
+            for row in reversed(counts)
             if row["sell"] and row["buy"]
-            for name in self.base_models
         ]
 
         def fit(job: tuple) -> tuple:
@@ -255,16 +257,19 @@ class StackingClassifier:
         sell, buy = class_counts(train)
         if not (sell and buy):
             return
-        names = list(self.base_models) if names is None else list(names)
+        names = list(reversed(self.base_models)) if names is None else list(names)
         with ThreadPoolExecutor(self.parallelism) as pool:
             models = pool.map(lambda n: self._fit_base(n, train, sell, buy), names)
-            self.active = dict(zip(names, models))
+            fitted = dict(zip(names, models))
+        self.active = {name: fitted[name] for name in self.base_models if name in fitted}
 
     def fit(self, train: DataFrame) -> StackingClassifier:
         """``train`` is read by every fit; pass a stored table."""
-        self.oof = self.out_of_fold(train)
+        with ThreadPoolExecutor(1) as side:
+            refit = side.submit(self.fit_bases, train)
+            self.oof = self.out_of_fold(train)
+            refit.result()
         self._fit_meta(self.oof)
-        self.fit_bases(train)
         if self.meta is None and self.active:
             self._fit_meta(self._score_bases(train))
         return self

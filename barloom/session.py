@@ -17,17 +17,20 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_PRIVATE: dict[str, str] = {}
+
+
 def workspace(spark: SparkSession) -> str:
     """Folder for intermediate tables, shared by all executors.
 
     The cluster names it in ``spark.checkpoint.dir``. A private folder is used
     only where that setting is empty, which is the case in unit tests.
     """
+    app = spark.sparkContext.applicationId
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/barloom-{spark.sparkContext.applicationId}"
+        root = _PRIVATE.get(app) or _PRIVATE.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+    return f"{root.rstrip('/')}/barloom-{app}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +38,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Used where a frame feeds several passes. The table cuts the lineage, is
     pruned by column on each later read, outlives lost executors, and gives
-    the optimizer true sizes when it picks join strategies.
+    the optimizer true sizes when it picks join strategies: a small stored table
+    is broadcast because its measured size is below Spark's threshold, a large
+    one is not.
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"

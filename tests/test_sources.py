@@ -124,3 +124,16 @@ def test_drop_workspace(spark, tmp_path, monkeypatch):
     assert (tmp_path / "work").exists()
     session.drop_workspace(spark)
     assert not (tmp_path / "work").exists()
+
+
+def test_private_work_folder_only_without_the_setting():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Spark:
+        conf = Conf()
+        sparkContext = type("Context", (), {"applicationId": "app-without-setting"})
+
+    first = workspace(Spark())
+    assert first == workspace(Spark()) and first.endswith("barloom-app-without-setting")
