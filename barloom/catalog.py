@@ -148,6 +148,11 @@ def _(spark, sf):
     return profile.last_rows(build_bars(event_ticks(spark, sf)), [BAR_START, SYMBOL])
 
 
+@query("date_range")
+def _(spark, sf):
+    return profile.date_range(build_bars(order_ticks(spark, sf), "1d"))
+
+
 @query("bar_summary")
 def _(spark, sf):
     return profile.bar_summary(_hourly(spark, sf))

@@ -344,6 +344,12 @@ sql("latest_months", f"""WITH {ORDER_TICKS}, m AS (SELECT *, strftime(timestamp,
 SELECT month, count(*) AS ticks, avg(ask) AS avg_ask FROM m
 WHERE month IN (SELECT DISTINCT month FROM m ORDER BY month DESC LIMIT 6) GROUP BY month""", "avg_ask")
 
+_types = {"symbol": "string", "timestamp": "timestamp", "seq": "bigint", "ask": "double", "bid": "double",
+          "ask_volume": "double", "bid_volume": "double"}
+sql("schema_check", f"WITH {EVENT_TICKS} " + " UNION ALL ".join(
+    f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS dtype, {str(c not in ("symbol", "seq")).lower()} AS required,
+  count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls FROM ticks""" for i, (c, t) in enumerate(_types.items())))
+sql("date_range", f"WITH {DAILY} SELECT symbol, min(bar_start) AS start, max(bar_start) AS end FROM bars GROUP BY symbol")
 sql("tick_overview", f"""WITH {EVENT_TICKS}
 SELECT symbol, count(*) AS rows, min(timestamp) AS start, max(timestamp) AS end,
   count(DISTINCT timestamp) + (max((timestamp IS NULL)::INTEGER)) AS unique_timestamps, {NULLS} FROM ticks GROUP BY symbol""")

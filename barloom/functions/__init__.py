@@ -10,6 +10,7 @@ from barloom.functions.exprs import (
     log1p_ieee,
     month_key,
     replace_infinite_with_nan,
+    utc_literal,
 )
 
 __all__ = [
@@ -24,4 +25,5 @@ __all__ = [
     "log1p_ieee",
     "month_key",
     "replace_infinite_with_nan",
+    "utc_literal",
 ]

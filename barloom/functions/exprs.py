@@ -6,6 +6,7 @@ price arithmetic wants plain IEEE results with NULL reserved for "not there".
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,11 @@ INF = float("inf")
 NAN = float("nan")
 
 
+def utc_literal(at: datetime) -> Column:
+    """Timestamp literal; a time without a zone is UTC, wherever the driver runs."""
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=timezone.utc))
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions import month_key
+from barloom.functions import month_key, utc_literal
 from barloom.schema import SYMBOL, TIMESTAMP
 from barloom.session import materialize
 
@@ -68,8 +68,8 @@ def enumerate_months(
     months = spark.range(1).select(
         F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("month_start")
     )
-    current = F.date_trunc("month", F.lit(now))
-    months = months.where(F.col("month_start") <= F.lit(now))
+    current = F.date_trunc("month", utc_literal(now))
+    months = months.where(F.col("month_start") <= utc_literal(now))
     return months.where(F.col("month_start") != current) if skip_current else months
 
 
@@ -91,7 +91,7 @@ def month_ledger(
         .agg(F.count_if(F.col("ticks").isNull()).alias("missing_hours"))
     )
     gone = F.coalesce("missing_hours", F.lit(0)) if verify else F.lit(0)
-    closed = F.col("month_start") + F.expr("interval 1 month") < F.lit(now)
+    closed = F.col("month_start") + F.expr("interval 1 month") < utc_literal(now)
     return (
         rows.join(missing, [SYMBOL, "month_start"], "left")
         .where(closed)

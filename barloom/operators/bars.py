@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions import drop_null_rows
+from barloom.functions import drop_null_rows, utc_literal
 from barloom.schema import BAR_START, SYMBOL, TIMESTAMP
 from barloom.session import materialize
 
@@ -86,9 +86,9 @@ def between(ticks: DataFrame, start: datetime | None, end: datetime | None) -> D
     to get whole bars.
     """
     if start is not None:
-        ticks = ticks.where(F.col(TIMESTAMP) >= F.lit(start))
+        ticks = ticks.where(F.col(TIMESTAMP) >= utc_literal(start))
     if end is not None:
-        ticks = ticks.where(F.col(TIMESTAMP) < F.lit(end))
+        ticks = ticks.where(F.col(TIMESTAMP) < utc_literal(end))
     return ticks
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SYMBOL = "symbol"
@@ -35,11 +36,24 @@ def require_columns(df: DataFrame, columns: tuple[str, ...] = REQUIRED_TICK_COLU
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, Spark type and whether ticks need it."""
-    rows = [
-        (i, f.name, f.dataType.simpleString(), f.name in REQUIRED_TICK_COLUMNS)
+    """One row per column: position, name, type, whether ticks need it, rows and NULLs.
+
+    The counts come from one aggregate; its single row is turned into one row
+    per column.
+    """
+    counts = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_nulls_{i}") for i, c in enumerate(df.columns)],
+    )
+    lines = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("column"),
+            F.lit(f.dataType.simpleString()).alias("dtype"),
+            F.lit(f.name in REQUIRED_TICK_COLUMNS).alias("required"),
+            F.col("_rows").alias("rows"),
+            F.col(f"_nulls_{i}").alias("nulls"),
+        )
         for i, f in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "position int, column string, dtype string, required boolean"
-    )
+    return counts.select(F.inline(F.array(*lines)))

@@ -4,6 +4,7 @@ from barloom.sources.tick_files import (
     file_inventory,
     latest_months,
     list_months,
+    month_range_label,
     normalize_ticks,
     read_ledger,
     read_ticks,
@@ -14,6 +15,7 @@ __all__ = [
     "file_inventory",
     "latest_months",
     "list_months",
+    "month_range_label",
     "normalize_ticks",
     "read_ledger",
     "read_ticks",

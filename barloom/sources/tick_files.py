@@ -37,6 +37,12 @@ def list_months(spark: SparkSession, folder: str) -> list[str]:
     return _list(spark, f"{folder}/month=*") or _list(spark, f"{folder}/*.parquet")
 
 
+def month_range_label(names: list[str]) -> str:
+    """``first -> last`` of the month names in use."""
+    first, last = (n.removeprefix("month=").removesuffix(".parquet") for n in (names[0], names[-1]))
+    return f"{first} -> {last}"
+
+
 def read_ticks(
     spark: SparkSession, folder: str, months: int | None = None, skip_corrupt: bool = False
 ) -> DataFrame:
@@ -56,7 +62,7 @@ def read_ticks(
     if not partitioned:
         return reader.schema(schema).parquet(*[f"{folder}/{n}" for n in names])
     ticks = reader.schema(schema.add("month", "string")).option("basePath", folder)
-    first, last = (n.split("=", 1)[1] for n in (names[0], names[-1]))
+    first, last = (n.removeprefix("month=") for n in (names[0], names[-1]))
     return ticks.parquet(folder).where(F.col("month").between(first, last))
 
 

@@ -25,6 +25,9 @@ def duck():
 @pytest.mark.parametrize("name", sorted(catalog_sql.SQL))
 def test_query_matches_sql(spark, duck, name):
     df = catalog.publish(catalog.RAW[name](spark, SF), 14)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "NestedLoop", "SortAggregate", "Python", "InPandas"):
+        assert word not in plan
     got = df.toPandas()
     want = duck.execute(catalog_sql.SQL[name]).df()
     doubles = set(catalog_sql.DOUBLES[name])

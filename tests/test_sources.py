@@ -12,6 +12,7 @@ from barloom.sources import (
     file_inventory,
     latest_months,
     list_months,
+    month_range_label,
     normalize_ticks,
     read_ledger,
     read_ticks,
@@ -35,7 +36,9 @@ def ticks(make_ticks):
 def test_partitioned_archive_round_trip(spark, ticks, tmp_path):
     folder = str(tmp_path / "archive")
     write_ticks(ticks, folder)
-    assert list_months(spark, folder) == ["month=2023-11", "month=2023-12", "month=2024-01"]
+    names = list_months(spark, folder)
+    assert names == ["month=2023-11", "month=2023-12", "month=2024-01"]
+    assert month_range_label(names) == "2023-11 -> 2024-01"
     assert read_ticks(spark, folder).count() == 81
     latest = read_ticks(spark, folder, months=2)
     assert latest.count() == 41
@@ -91,7 +94,9 @@ def test_required_columns(ticks):
     assert require_columns(ticks) is ticks
     with pytest.raises(ValueError, match="bid"):
         require_columns(ticks.drop("bid"))
-    assert schema_report(ticks).where("required").count() == 5
+    report = schema_report(ticks.withColumn("bid", F.nullif("bid", F.lit(1.0)))).orderBy("position").collect()
+    assert [r["column"] for r in report if r["required"]] == ["timestamp", "ask", "bid", "ask_volume", "bid_volume"]
+    assert {r["rows"] for r in report} == {81} and [r["nulls"] for r in report if r["nulls"]] == [81]
 
 
 def test_csv_and_json(spark, tmp_path):
