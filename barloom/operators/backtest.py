@@ -16,6 +16,7 @@ from barloom.config import ANNUALIZATION, BUY, SELL
 from barloom.functions import finite_or_zero
 from barloom.operators.series import BLOCK, BLOCK_ROWS, index_series, shift_across, with_halo
 from barloom.schema import BAR_START, IDX, SERIES_LEN, SYMBOL
+from barloom.session import materialize
 
 
 def validate_positions(df: DataFrame, column: str = "position") -> DataFrame:
@@ -312,7 +313,11 @@ def run_signal_backtest(
     block_rows: int = BLOCK_ROWS,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Equity curve of a signal column. ``bars`` should be a stored table."""
+    """Equity curve of a signal column; the bar returns are stored on the way.
+
+    ``bars`` should be a stored table unless it is indexed already.
+    """
     indexed = bars if IDX in bars.columns else index_series(bars)
     checked = validate_positions(indexed, signal)
-    return equity_curve(bar_returns(checked, signal, hold_bars, block_rows, keep), initial_balance)
+    returns = materialize(bar_returns(checked, signal, hold_bars, block_rows, keep), "returns")
+    return equity_curve(returns, initial_balance)
