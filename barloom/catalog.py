@@ -260,8 +260,10 @@ def _(spark, sf):
 
 @query("labeled_features")
 def _(spark, sf):
-    featured = indicators.combine_market_features(_hourly(spark, sf))
-    labeled = labels.apply_labels(materialize(featured, "featured"), **LABEL_OPTIONS)
+    bars = labels.whole_series_slice(index_series(_hourly(spark, sf)))
+    groups = (*indicators.MARKET_GROUPS, labels.label_group(**LABEL_OPTIONS))
+    labeled = labels.keep_labeled(indicators.add_groups(bars, groups))
+    labeled = drop_null_rows(replace_infinite_with_nan(labeled))
     return labeled.select(SYMBOL, BAR_START, *labels.LABEL_COLUMNS, *C.FEATURES)
 
 
