@@ -5,12 +5,14 @@ Each query adapts one operator to the columns its contract names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ngram_join
+from barloom.llm import chat, ngram_join, warc
 from barloom.llm.shipping import ship
+from barloom.session import materialize, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link_documents(table(spark, sf_dir, "documents"), width=3, num=90)
+
+
+@query
+def op1_warc_archive(spark, sf_dir):
+    path = f"{workspace(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    return warc.read_archive(spark, path).select(*names)
+
+
+@query
+def op2_chat_format(spark, sf_dir):
+    tricky = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
+    return chat.read_back(materialize(chat.format_conversations(rows.unionByName(added)), "formatted"))
