@@ -8,9 +8,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, ngram_join, warc
+from barloom.llm import chat, ngram_join, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -49,3 +50,10 @@ def op2_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
     return chat.read_back(materialize(chat.format_conversations(rows.unionByName(added)), "formatted"))
+
+
+@query
+def op8_token_ids(spark, sf_dir):
+    path = f"{workspace(spark)}/tokens-{uuid.uuid4().hex}"
+    tokens.write_segments(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.checksums(spark, path).withColumnRenamed("doc", "doc_id")
