@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, ngram_join, tokens, warc
+from barloom.llm import chat, contamination, ngram_join, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -57,3 +57,8 @@ def op8_token_ids(spark, sf_dir):
     path = f"{workspace(spark)}/tokens-{uuid.uuid4().hex}"
     tokens.write_segments(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.checksums(spark, path).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op7_benchmark_decontamination(spark, sf_dir):
+    return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
