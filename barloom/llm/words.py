@@ -109,6 +109,13 @@ def batch_word_hashes(texts) -> list[np.ndarray]:
     return out
 
 
+def text_slices(frames, rows: int = 1000):
+    """Arrow batches in smaller steps, so that hashes of few texts are held at once."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words; of the whole sequence where it is shorter."""
     if not len(words):
