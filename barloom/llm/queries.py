@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, contamination, ngram_join, tokens, warc
+from barloom.llm import chat, contamination, embeddings, ngram_join, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -62,3 +62,8 @@ def op8_token_ids(spark, sf_dir):
 @query
 def op7_benchmark_decontamination(spark, sf_dir):
     return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_embedding_near_dedup(spark, sf_dir):
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
