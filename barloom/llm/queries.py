@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, contamination, embeddings, ngram_join, tokens, warc
+from barloom.llm import chat, contamination, embeddings, ngram_join, quality, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -67,3 +67,8 @@ def op7_benchmark_decontamination(spark, sf_dir):
 @query
 def op6_embedding_near_dedup(spark, sf_dir):
     return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_quality_classifier(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

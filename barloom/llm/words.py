@@ -34,6 +34,10 @@ _BYTE_VALUE = seeds(256, 7)
 _BYTE_VALUE[65:91] = _BYTE_VALUE[97:123]
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Byte classes whose runs are words: all that is not space, or letters and digits apart from symbols.
+WORDS = np.where(_IS_SPACE, 0, 1).astype(np.int8)
+WORDS_AND_SYMBOLS = WORDS.copy()
+WORDS_AND_SYMBOLS[[i for i in range(128) if WORDS[i] and not chr(i).isalnum()]] = 2
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -45,18 +49,23 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
-def _bounds(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.diff(np.concatenate(([1], _IS_SPACE[buffer].view(np.int8), [1])))
-    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+def _bounds(buffer: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kind = classes[buffer]
+    edge = np.concatenate(([True], kind[1:] != kind[:-1], [True]))
+    inside = kind != 0
+    return np.flatnonzero(edge[:-1] & inside), np.flatnonzero(edge[1:] & inside) + 1
 
 
-def _hash_piece(buffer: np.ndarray) -> np.ndarray:
-    starts, ends = _bounds(buffer)
+def _hash_piece(buffer: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the runs of one class."""
+    if not len(buffer):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    starts, ends = _bounds(buffer, classes)
     values = _BYTE_VALUE[buffer] * _power(_BASE, len(buffer))[: len(buffer)]
     total = np.zeros(len(buffer) + 1, dtype=np.uint64)
     np.cumsum(values, out=total[1:])
     raw = (total[ends] - total[starts]) * _power(_BASE_INVERSE, len(buffer))[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_BASE)), starts
 
 
 def _pieces(data: bytes):
@@ -69,15 +78,15 @@ def _pieces(data: bytes):
         at = end
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, classes: np.ndarray = WORDS) -> np.ndarray:
     """The hash of every word of a text, in order; none for an empty or null text."""
     if not isinstance(text, str) or not text:
         return np.empty(0, dtype=np.uint64)
-    parts = [_hash_piece(p) for p in _pieces(text.encode("utf-8", "surrogatepass"))]
+    parts = [_hash_piece(p, classes)[0] for p in _pieces(text.encode("utf-8", "surrogatepass"))]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def batch_word_hashes(texts) -> list[np.ndarray]:
+def batch_word_hashes(texts, classes: np.ndarray = WORDS) -> list[np.ndarray]:
     """``word_hashes`` of many texts; short texts share one pass over their joined bytes."""
     out: list[np.ndarray] = []
     held: list[bytes] = []
@@ -87,9 +96,7 @@ def batch_word_hashes(texts) -> list[np.ndarray]:
         nonlocal size
         if not held:
             return
-        buffer = np.frombuffer(b" ".join(held), dtype=np.uint8)
-        hashes = _hash_piece(buffer)
-        starts, _ = _bounds(buffer)
+        hashes, starts = _hash_piece(np.frombuffer(b" ".join(held), dtype=np.uint8), classes)
         cuts = np.cumsum([len(h) + 1 for h in held])[:-1]
         out.extend(np.split(hashes, np.searchsorted(starts, cuts)))
         held.clear()
@@ -99,7 +106,7 @@ def batch_word_hashes(texts) -> list[np.ndarray]:
         data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
         if len(data) > PIECE // 2:
             flush()
-            out.append(word_hashes(text))
+            out.append(word_hashes(text, classes))
             continue
         if size + len(data) > PIECE:
             flush()
