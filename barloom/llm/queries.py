@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, embeddings, ngram_join, quality, tokens, warc
+from barloom.llm import chat, contamination, embeddings, langid, ngram_join, quality, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -72,3 +73,17 @@ def op6_embedding_near_dedup(spark, sf_dir):
 @query
 def op10_quality_classifier(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_text_model(docs), address_col="source", markup_col="text")
+
+
+@query
+def page_languages(spark, sf_dir):
+    model = langid.fit_text_model(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages")
+    text = langid.strip_markup(F.col("html"))
+    return langid.identify(pages, model, "page_id", "html", address_col="url", markup_col="html", text=text)
