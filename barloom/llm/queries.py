@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, embeddings, langid, ngram_join, quality, tokens, warc
+from barloom.llm import chat, contamination, embeddings, langid, lm, ngram_join, quality, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -87,3 +87,8 @@ def page_languages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     text = langid.strip_markup(F.col("html"))
     return langid.identify(pages, model, "page_id", "html", address_col="url", markup_col="html", text=text)
+
+
+@query
+def op9_lm_scores(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
