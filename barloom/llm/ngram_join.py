@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from barloom.llm.arrays import SHARE, fold, share
 from barloom.llm.components import connected_components
-from barloom.llm.words import batch_word_hashes, mix, shingle_set
+from barloom.llm.words import batch_word_hashes, mix, shingle_set, text_slices
 from barloom.session import materialize
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 BLOOM_BITS = 23
 CHUNK_SETS = 256
 STEP = 64
@@ -78,8 +78,8 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
     """Size and digest of every set, and each task's share of the counting sketch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for frame in frames:
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        for frame in text_slices(frames):
             sizes, digests = [], []
             for words in batch_word_hashes(frame["text"]):
                 keys = shingle_set(words, width)
@@ -94,14 +94,18 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, f"doc bigint, n bigint, digest binary, {SHARE}")
 
 
+def _add_capped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a > ~b, np.uint32(0xFFFFFFFF), a + b)
+
+
 def _levels(profile: DataFrame) -> np.ndarray:
-    return frequency_levels(fold(profile.where("part is not null"), np.int64, 1 << SKETCH_BITS))
+    return frequency_levels(fold(profile.where("part is not null"), np.uint32, 1 << SKETCH_BITS, _add_capped))
 
 
 # --- blocks ----------------------------------------------------------------------
 def _prefixes(docs: DataFrame, width: int, limit: Threshold, levels) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in text_slices(frames):
             keys, ids, sizes, places = [], [], [], []
             for doc, words in zip(frame["doc"].to_numpy(), batch_word_hashes(frame["text"])):
                 ordered = ordered_keys(shingle_set(words, width), levels.value)
@@ -125,22 +129,27 @@ def _prefixes(docs: DataFrame, width: int, limit: Threshold, levels) -> DataFram
     return docs.mapInPandas(run, "key bigint, doc bigint, n int, place int")
 
 
-def _leader_pairs(blocks: DataFrame, classes: DataFrame, pick) -> DataFrame:
-    """(query, target): everyone in a block against the block's leader of like size."""
+def _may_link(a, b, reach, limit: Threshold):
+    """Sizes fit, and ``reach`` common keys are enough."""
+    need = F.ceil(F.lit(limit.num) * (a + b) / (limit.num + limit.den))
+    return (a * limit.num <= b * limit.den) & (b * limit.num <= a * limit.den) & (reach >= need)
+
+
+def _leader_pairs(blocks: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
+    """(query, target): everyone in a block against the block's leader of like size, if they may link."""
     band = F.floor(F.log(F.col("n").cast("double")) * 8).alias("band")
-    rows = blocks.select("key", band, "doc")
-    leaders = rows.groupBy("key", "band").agg(pick("doc").alias("query"), F.count(F.lit(1)).alias("members"))
+    rows = blocks.select("key", band, "doc", "n", (F.col("n") - F.col("place")).alias("reach"))
+    leaders = rows.groupBy("key", "band").agg(
+        F.min(F.struct("doc", "n", "reach")).alias("leader"), F.count(F.lit(1)).alias("members")
+    )
+    both = F.least("reach", F.col("leader.reach"))
     pairs = (
         rows.join(leaders.where("members > 1"), ["key", "band"])
-        .where("doc != query")
-        .select("query", F.col("doc").alias("target"))
+        .where(F.col("doc") != F.col("leader.doc"))
+        .where(_may_link(F.col("n"), F.col("leader.n"), both, limit))
+        .select(F.col("leader.doc").alias("query"), F.col("doc").alias("target"))
         .distinct()
     )
-    return _between_classes(pairs, classes)
-
-
-def _between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The same pairs between class representatives."""
     for end in ("query", "target"):
         names = classes.select(F.col("doc").alias(end), F.col("rep"))
         pairs = pairs.join(names, end).drop(end).withColumnRenamed("rep", end)
@@ -148,33 +157,45 @@ def _between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(blocks: DataFrame, labels: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of representatives that share a block, may reach the threshold and lie in different components."""
-    members = blocks.join(labels, "doc").select("key", "doc", "n", "place", "component")
-    inside = members.select("key", "component").distinct()
+    """(query, target, place) of representatives that share a block, may link and lie in different components.
+
+    Components of a block meet first, by the range of their members' sizes; members
+    of a component never meet each other. ``place`` is the target's component.
+    """
+    members = blocks.join(labels, "doc").select(
+        "key", "doc", "n", (F.col("n") - F.col("place")).alias("reach"), "component"
+    )
+    inside = members.groupBy("key", "component").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach")
+    )
     one, two = inside.alias("one"), inside.alias("two")
-    meet = one.join(two, F.col("one.key") == F.col("two.key")).where("one.component < two.component")
-    meet = meet.select(
+    need = F.ceil(F.lit(limit.num) * (F.col("one.lo") + F.col("two.lo")) / (limit.num + limit.den))
+    meet = one.join(
+        two,
+        (F.col("one.key") == F.col("two.key"))
+        & (F.col("one.component") < F.col("two.component"))
+        & (F.col("one.lo") * limit.num <= F.col("two.hi") * limit.den)
+        & (F.col("two.lo") * limit.num <= F.col("one.hi") * limit.den)
+        & (F.least("one.reach", "two.reach") >= need),
+    ).select(
         F.col("one.key").alias("key"),
         F.col("one.component").alias("left_component"),
         F.col("two.component").alias("right_component"),
     )
     left = members.select(
         "key", F.col("component").alias("left_component"), F.col("doc").alias("query"),
-        F.col("n").alias("a"), F.col("place").alias("i"),
+        F.col("n").alias("a"), F.col("reach").alias("left_reach"),
     )
     right = members.select(
         "key", F.col("component").alias("right_component"), F.col("doc").alias("target"),
-        F.col("n").alias("b"), F.col("place").alias("j"),
+        F.col("n").alias("b"), F.col("reach").alias("right_reach"),
     )
-    need = F.ceil(F.lit(limit.num) * (F.col("a") + F.col("b")) / (limit.num + limit.den))
-    reach = F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j"))
+    both = F.least("left_reach", "right_reach")
     return (
         meet.join(left, ["key", "left_component"])
         .join(right, ["key", "right_component"])
-        .where(F.col("a") * limit.num <= F.col("b") * limit.den)
-        .where(F.col("b") * limit.num <= F.col("a") * limit.den)
-        .where(reach >= need)
-        .select("query", "target")
+        .where(_may_link(F.col("a"), F.col("b"), both, limit))
+        .select("query", "target", F.col("right_component").alias("place"))
         .distinct()
     )
 
@@ -259,7 +280,7 @@ def _sets_of(docs: DataFrame, width: int, levels, wanted: DataFrame) -> DataFram
     passes = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in text_slices(frames):
             keep = np.ones(len(frame), dtype=bool)
             for slots in _bloom_slots(frame["doc"].to_numpy()):
                 keep &= (passes.value[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)
@@ -353,32 +374,18 @@ def link_documents(
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     blocks = materialize(rows.join(shared, "key"), "blocks")
 
-    copies = classes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    links = [copies]
-    open_blocks, labels = blocks, None
-    for pick in (F.min, F.max):
-        pairs = materialize(_leader_pairs(open_blocks, classes, pick), "leader-pairs")
-        if not pairs.isEmpty():
-            checked = verify_pairs(named, pairs, "query", width, limit, levels)
-            links.append(materialize(checked, "links").select("a", "b"))
-        known = links[0]
-        for more in links[1:]:
-            known = known.unionByName(more)
-        labels = connected_components(known, "a", "b")
-        found = labels.withColumnRenamed("node", "doc")
-        of_rep = classes.where("doc = rep").select("doc").join(found, "doc", "left")
-        of_rep = of_rep.withColumn("component", F.coalesce("component", "doc"))
-        tagged = open_blocks.join(of_rep, "doc")
-        mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        open_blocks = materialize(tagged.drop("component").join(mixed.select("key"), "key"), "open-blocks")
-    last = materialize(
-        _cross_pairs(open_blocks, of_rep, limit).join(
-            of_rep.select(F.col("doc").alias("target"), F.col("component").alias("place")), "target"
-        ),
-        "cross-pairs",
-    )
-    if not last.isEmpty():
-        checked = materialize(verify_pairs(named, last, "place", width, limit, levels), "links")
+    known = classes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    pairs = materialize(_leader_pairs(blocks, classes, limit), "leader-pairs")
+    if not pairs.isEmpty():
+        checked = materialize(verify_pairs(named, pairs, "query", width, limit, levels), "links")
+        known = known.unionByName(checked.select("a", "b"))
+    labels = connected_components(known, "a", "b")
+    found = labels.withColumnRenamed("node", "doc")
+    of_rep = classes.where("doc = rep").select("doc").join(found, "doc", "left")
+    of_rep = of_rep.select("doc", F.coalesce("component", "doc").alias("component"))
+    rest = materialize(_cross_pairs(blocks, of_rep, limit), "cross-pairs")
+    if not rest.isEmpty():
+        checked = materialize(verify_pairs(named, rest, "place", width, limit, levels), "links")
         labels = connected_components(known.unionByName(checked.select("a", "b")), "a", "b")
     return (
         sizes.select("doc", "n")
@@ -394,7 +401,7 @@ def link_documents(
 
 def _unnamed(texts: DataFrame, width: int, id_col: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in text_slices(frames):
             sizes = [len(shingle_set(w, width)) for w in batch_word_hashes(frame["text"])]
             yield pd.DataFrame({"doc": None, "n": sizes, "c": None})
 
