@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, embeddings, langid, lm, ngram_join, quality, tokens, warc
+from barloom.llm import chat, contamination, embeddings, langid, lm, mixing, ngram_join, quality, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -92,3 +92,19 @@ def page_languages(spark, sf_dir):
 @query
 def op9_lm_scores(spark, sf_dir):
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def domain_labels(spark, sf_dir, docs):
+    """Labelled documents of three domains: toxic, and otherwise clean or poor."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), "quality", "toxic")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "poor")
+    return docs.join(labels, docs["doc_id"] == labels["labelled_id"]).select("doc_id", "text", domain.alias("domain"))
+
+
+MIX_WEIGHTS = {"clean": 0.90, "poor": 0.06, "toxic": 0.04}
+
+
+@query
+def op3_mixing_weights(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_documents(docs, domain_labels(spark, sf_dir, docs), MIX_WEIGHTS)
