@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import connected_components
+from barloom.llm.sampling import collect_sample
 from barloom.session import materialize
 
 #: Vectors that the centroids and codebooks are fitted on, chosen by a hash.
@@ -297,7 +298,7 @@ def link_vectors(
 def _link_classes(classes: DataFrame, count: int, cosine: float) -> DataFrame:
     """(a, b, links): counts of linked rows where b is null, edges of components where it is not."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE_VECTORS).select("data").collect()
+    sample = collect_sample(classes.select("rep", "data"), SAMPLE_VECTORS, "rep")
     lists = max(1, min(MOST_LISTS, round(4 * math.sqrt(count)), len(sample)))
     shared = spark.sparkContext.broadcast(Quantizer.fit(_units([bytes(r.data) for r in sample]), lists, cosine))
     listed = materialize(_lists(classes, shared), "inverted-lists")

@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.sampling import hash_sample
 from barloom.session import materialize
 
 BUCKETS = 1 << 14
@@ -55,7 +56,7 @@ class DomainClassifier:
 
 
 def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", id_col: str = "doc_id") -> DomainClassifier:
-    """Fits on ``FIT_DOCUMENTS`` rows of ``labelled`` at most; null texts and domains are left out."""
+    """Fits on about ``FIT_DOCUMENTS`` rows of ``labelled`` at most; null texts and domains are left out."""
     rows = labelled.select(
         F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain")
     ).where("text is not null and domain is not null")
@@ -63,7 +64,7 @@ def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "
     if not sizes or len(sizes) > MOST_DOMAINS:
         raise ValueError(f"labelled documents of 1 to {MOST_DOMAINS} domains are needed")
     domains, total = [r.domain for r in sizes], sum(r["count"] for r in sizes)
-    sample = materialize(rows.orderBy(F.xxhash64("doc"), "domain").limit(FIT_DOCUMENTS), "labelled-sample")
+    sample = materialize(hash_sample(rows, FIT_DOCUMENTS, "doc"), "labelled-sample")
     words = _words(sample.repartition("doc", "domain"), "domain").where("is_word")
     of_domain = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)]
     counts = words.select("domain", _either([F.col("whole"), F.col("ending")])).groupBy("bucket").agg(*of_domain)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.arrays import SHARE, fold, share
+from barloom.llm.sampling import collect_sample
 from barloom.llm.words import WORDS_AND_SYMBOLS, batch_word_hashes, text_slices
 from barloom.session import materialize
 
@@ -203,7 +204,7 @@ def score_documents(
         .withColumn("fold", fold_of(F.col("doc")))
         .where("fold != 0")
     )
-    sample = vectors.join(known, "doc").orderBy(F.xxhash64("doc"), "doc", "label", "vector").limit(TRAIN_DOCUMENTS).collect()
+    sample = collect_sample(vectors.join(known, "doc"), TRAIN_DOCUMENTS, "doc", "label")
     x = np.array([np.frombuffer(r.vector, dtype=np.float32) for r in sample], dtype=np.float64).reshape(-1, FEATURES)
     y = np.array([r.label for r in sample], dtype=np.float64)
     apart = np.array([r.fold == CALIBRATION_FOLD for r in sample], dtype=bool)
