@@ -8,8 +8,8 @@ frequency level (from a counting sketch over all texts) and the n-gram's hash.
    the prefixes cut the corpus into blocks. Within each block everyone is first
    paired with one leader, which is linear in the block, and verified links are
    turned into components.
-3. Blocks that still hold several components pair the sets of different
-   components, and only those. Every pair over the threshold is therefore either
+3. Blocks of more than two that still hold several components pair the sets of different
+   components, and only those that were not compared before. Every pair over the threshold is therefore either
    verified or already inside one component, so no link between components is lost
    and no group is expanded into all its pairs.
 4. Verification puts bounded chunks of candidate sets, read from the frequent end,
@@ -136,15 +136,19 @@ def _may_link(a, b, reach, limit: Threshold):
 
 
 def _leader_pairs(blocks: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
-    """(query, target): everyone in a block against the block's leader of like size, if they may link."""
-    band = F.floor(F.log(F.col("n").cast("double")) * 8).alias("band")
+    """(query, target): everyone in a block against the block's leader of like size, if they may link.
+
+    A block of two is settled by its one pair, whatever the sizes.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) * 8)
+    band = F.when(F.col("members") == 2, -1).otherwise(band).alias("band")
     rows = blocks.select("key", band, "doc", "n", (F.col("n") - F.col("place")).alias("reach"))
     leaders = rows.groupBy("key", "band").agg(
         F.min(F.struct("doc", "n", "reach")).alias("leader"), F.count(F.lit(1)).alias("members")
     )
     both = F.least("reach", F.col("leader.reach"))
     pairs = (
-        rows.join(leaders.where("members > 1"), ["key", "band"])
+        rows.join(leaders.where("members > 1").drop("members"), ["key", "band"])
         .where(F.col("doc") != F.col("leader.doc"))
         .where(_may_link(F.col("n"), F.col("leader.n"), both, limit))
         .select(F.col("leader.doc").alias("query"), F.col("doc").alias("target"))
@@ -371,7 +375,7 @@ def link_documents(
     classes = materialize(sizes.where("n > 0").join(reps, "digest").select("doc", "rep").distinct(), "classes")
 
     rows = materialize(_prefixes(named, width, limit, levels), "prefixes")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = materialize(rows.join(shared, "key"), "blocks")
 
     known = classes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
@@ -383,7 +387,10 @@ def link_documents(
     found = labels.withColumnRenamed("node", "doc")
     of_rep = classes.where("doc = rep").select("doc").join(found, "doc", "left")
     of_rep = of_rep.select("doc", F.coalesce("component", "doc").alias("component"))
-    rest = materialize(_cross_pairs(blocks, of_rep, limit), "cross-pairs")
+    done = pairs.select(F.least("query", "target").alias("x"), F.greatest("query", "target").alias("y"))
+    rest = _cross_pairs(blocks.where("members > 2"), of_rep, limit)
+    tested = (F.least("query", "target") == F.col("x")) & (F.greatest("query", "target") == F.col("y"))
+    rest = materialize(rest.join(done, tested, "left_anti"), "cross-pairs")
     if not rest.isEmpty():
         checked = materialize(verify_pairs(named, rest, "place", width, limit, levels), "links")
         labels = connected_components(known.unionByName(checked.select("a", "b")), "a", "b")
