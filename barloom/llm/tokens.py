@@ -13,6 +13,7 @@ import hashlib
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.sampling import hash_sample
 from barloom.llm.words import mix, seeds
 from barloom.session import materialize
 
@@ -41,7 +43,8 @@ LEVEL = 3
 _SPACE, _LETTER, _NUMBER, _OTHER, _BREAK = range(5)
 _KNOWN_CODES = 0x250
 _CHUNK_CHARS = 1 << 20
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 2_000_000
+_RECENT_WORDS = 100_000
 
 
 def _code_classes() -> np.ndarray:
@@ -91,6 +94,10 @@ def word_starts(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start & (kind != _BREAK))
 
 
+def _is_plain(text: str) -> bool:
+    return text.isascii() or np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).max() < _KNOWN_CODES
+
+
 class WordCache:
     """Encodes texts word by word, calling the tokenizer once per new word.
 
@@ -111,16 +118,36 @@ class WordCache:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids = np.empty(0, dtype=np.uint32)
-        self.offsets = np.zeros(1, dtype=np.int64)
+        self.hashes = np.empty(0, dtype=np.uint64)
+        self.at = np.empty(0, dtype=np.int64)
+        self.recent: dict[int, int] = {}
+        self.words = 0
+        self.ids = np.empty(1 << 16, dtype=np.uint32)
+        self.offsets = np.zeros(1 << 16, dtype=np.int64)
+
+    def _append(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        ends = self.offsets[self.words] + np.cumsum(counts)
+        while len(self.ids) < ends[-1]:
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while len(self.offsets) <= self.words + len(counts):
+            self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
+        self.ids[ends[-1] - len(ids) : ends[-1]] = ids
+        self.offsets[self.words + 1 : self.words + 1 + len(counts)] = ends
+        self.words += len(counts)
+
+    def _settle(self) -> None:
+        """Moves recent words into the sorted arrays."""
+        count = len(self.recent)
+        hashes = np.concatenate((self.hashes, np.fromiter(self.recent, dtype=np.uint64, count=count)))
+        at = np.concatenate((self.at, np.fromiter(self.recent.values(), dtype=np.int64, count=count)))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.recent = hashes[order], at[order], {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         held, size = [], 0
         for i, text in enumerate(texts):
-            plain = self.by_words and len(text) <= _CHUNK_CHARS and (text.isascii() or ord(max(text)) < _KNOWN_CODES)
-            if not plain:
+            if not (self.by_words and len(text) <= _CHUNK_CHARS and _is_plain(text)):
                 out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
                 continue
             if size + len(text) > _CHUNK_CHARS:
@@ -151,7 +178,7 @@ class WordCache:
             raw = (total[ends] - total[starts]) * _INVERSES[starts]
             hashes = mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
             distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            places = self._places(distinct, [(starts[w], ends[w]) for w in where], joined)[inverse]
+            places = self._places(distinct, np.stack((starts[where], ends[where]), axis=1).tolist(), joined)[inverse]
             begin, length = self.offsets[places], self.offsets[places + 1] - self.offsets[places]
             upto = np.cumsum(length)
             ids = self.ids[np.repeat(begin - upto + length, length) + np.arange(upto[-1])]
@@ -160,20 +187,26 @@ class WordCache:
             out[i] = part
 
     def _places(self, hashes: np.ndarray, spans: list, joined: str) -> np.ndarray:
-        if len(self.place) > _CACHE_WORDS:
+        if self.words > _CACHE_WORDS:
             self.forget()
-        known = self.place.get
-        places = np.array([known(h, -1) for h in hashes.tolist()], dtype=np.int64)
+        if len(self.recent) > _RECENT_WORDS:
+            self._settle()
+        places = np.full(len(hashes), -1, dtype=np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            held = self.hashes[at] == hashes
+            places[held] = self.at[at[held]]
+        open_ = np.flatnonzero(places < 0)
+        places[open_] = [self.recent.get(h, -1) for h in hashes[open_].tolist()]
         new = np.flatnonzero(places < 0)
         if len(new):
-            words = [joined[spans[i][0] : spans[i][1]] for i in new]
+            words = [joined[spans[i][0] : spans[i][1]] for i in new.tolist()]
             found = [e.ids for e in self.single.encode_batch_fast(words, add_special_tokens=False)]
             counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter((x for ids in found for x in ids), dtype=np.uint32, count=int(counts.sum()))
-            places[new] = np.arange(len(self.place), len(self.place) + len(new))
-            self.place.update(zip(hashes[new].tolist(), places[new].tolist()))
-            self.ids = np.concatenate((self.ids, flat))
-            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
+            flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(counts.sum()))
+            places[new] = np.arange(self.words, self.words + len(new))
+            self.recent.update(zip(hashes[new].tolist(), places[new].tolist()))
+            self._append(flat, counts)
         return places
 
 
@@ -203,13 +236,9 @@ def id_width(tokenizer_path: str) -> int:
 # --- the shared dictionary -----------------------------------------------------------
 def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, end_id: int) -> bytes:
     """Trained on up to ``DICTIONARY_DOCS`` documents, chosen by a hash of their ids."""
-    rows = (
-        docs.where(F.length("text").between(1, DICTIONARY_TEXT_CHARS))
-        .select("text", F.xxhash64("doc", "text").alias("rank"))
-        .orderBy("rank")
-        .limit(DICTIONARY_DOCS)
-        .collect()
-    )
+    chosen = hash_sample(docs, DICTIONARY_DOCS, "doc")
+    fitting = F.length("text").between(1, DICTIONARY_TEXT_CHARS)
+    rows = chosen.where(fitting).orderBy("doc", "text").limit(DICTIONARY_DOCS).collect()
     cache = WordCache(tokenizer_path)
     samples = [np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in cache.encode([r.text for r in rows])]
     if not samples:
@@ -282,7 +311,8 @@ def _segments(digest: str, width: int):
         docs, payload, size, tokens, segment, part = [], [], 0, 0, 0, 0
 
         def flush() -> pd.DataFrame:
-            row = (part, segment, docs[0]["doc"], docs[-1]["doc"], tokens, digest, width, list(docs), b"".join(payload))
+            named = [d["doc"] for d in docs if d["doc"] is not None] or [None]
+            row = (part, segment, named[0], named[-1], tokens, digest, width, list(docs), b"".join(payload))
             names = ["part", "segment", "first_doc", "last_doc", "n_tokens", "dictionary_sha256", "id_bytes", "docs", "payload"]
             return pd.DataFrame([row], columns=names)
 
