@@ -1,6 +1,5 @@
 """Spark-native tick, bar, indicator, label and signal-backtest library."""
 
-from barloom.config import EngineConfig
-from barloom.session import materialize, prepare_session
+from barloom.session import materialize, prepare_session, work_scope
 
-__all__ = ["EngineConfig", "materialize", "prepare_session"]
+__all__ = ["materialize", "prepare_session", "work_scope"]

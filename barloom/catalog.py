@@ -23,8 +23,8 @@ from barloom.operators.series import index_series
 from barloom.plans import dataset, run, stacking
 from barloom.plans.views import event_ticks, line_ticks, order_ticks, table, vendor_ticks
 from barloom.schema import BAR_START, SYMBOL, TIMESTAMP, schema_report
-from barloom.session import materialize
-from barloom.sources import file_inventory, latest_months, normalize_ticks
+from barloom.session import materialize, workspace
+from barloom.sources import latest_months, normalize_ticks
 from barloom.sources.sinks import as_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,11 +92,6 @@ def _(spark, sf):
     return schema_report(event_ticks(spark, sf))
 
 
-@query("file_inventory")
-def _(spark, sf):
-    return file_inventory(spark, sf)
-
-
 # --- profiles ----------------------------------------------------------------
 @query("tick_overview")
 def _(spark, sf):
@@ -240,7 +235,7 @@ LABEL_OPTIONS = {"horizon": 4, "threshold": 0.0005, "max_gap_hours": 5.0}
 
 
 def _everything(spark, sf) -> DataFrame:
-    return materialize(dataset.label_and_split(_hourly(spark, sf), C.EngineConfig()), "labeled")
+    return materialize(dataset.label_and_split(_hourly(spark, sf)), "labeled")
 
 
 def _labels(spark, sf) -> DataFrame:
@@ -295,9 +290,14 @@ def _(spark, sf):
     return parts.select(SYMBOL, BAR_START, "idx", "part", labels.SLICE_START, labels.SLICE_END)
 
 
+@query("split_info")
+def _(spark, sf):
+    return labels.split_info(labels.chronological_split(index_series(_hourly(spark, sf))))
+
+
 @query("dataset_summary")
 def _(spark, sf):
-    return dataset.dataset_summary(dataset.label_and_split(_hourly(spark, sf), C.EngineConfig()))
+    return dataset.dataset_summary(dataset.label_and_split(_hourly(spark, sf)))
 
 
 @query("split_distributions")
@@ -307,7 +307,8 @@ def _(spark, sf):
 
 def _folds(spark, sf) -> DataFrame:
     train = dataset.split_views(_everything(spark, sf)).train
-    return folds.purged_folds(folds.number_rows(materialize(train, "train")))
+    numbered = materialize(folds.number_rows(materialize(train, "train")), "numbered")
+    return folds.purged_folds(numbered)
 
 
 @query("purged_folds")
@@ -560,13 +561,54 @@ def _(spark, sf):
     return archive.repair_report(_without_two_hours(event_ticks(spark, sf)), repaired)
 
 
+# Four months of which January has ticks, February no more than a patch, and April is not over.
+LISTED_MONTHS = ((2023, 12), (2024, 4))
+
+
+@query("month_enumeration")
+def _(spark, sf):
+    """Months of the archive's symbols up to ``LEDGER_NOW``, without the current one."""
+    months = archive.enumerate_months(spark, *LISTED_MONTHS, LEDGER_NOW, skip_current=True)
+    pairs = archive.symbol_months(event_ticks(spark, sf), months)
+    return pairs.select(SYMBOL, month_key("month_start").alias("month"), "month_start")
+
+
+def _listed(spark, sf) -> DataFrame:
+    months = archive.enumerate_months(spark, *LISTED_MONTHS, LEDGER_NOW, skip_current=True)
+    return archive.symbol_months(event_ticks(spark, sf), months)
+
+
+@query("absent_month_ledger")
+def _(spark, sf):
+    return archive.month_ledger(event_ticks(spark, sf), LEDGER_NOW, months=_listed(spark, sf))
+
+
+@query("absent_month_totals")
+def _(spark, sf):
+    ledger = archive.month_ledger(event_ticks(spark, sf), LEDGER_NOW, months=_listed(spark, sf))
+    return archive.archive_totals(ledger)
+
+
+@query("repair_absent_month")
+def _(spark, sf):
+    """January is whole but for two hours a day; a patch has those and all of February."""
+    ticks = event_ticks(spark, sf)
+    shifted = _patches(ticks).withColumn(TIMESTAMP, F.col(TIMESTAMP) + F.expr("interval 31 days"))
+    base, patches = _without_two_hours(ticks), _patches(ticks).unionByName(shifted)
+    ledger = archive.month_ledger(base, LEDGER_NOW)
+    return archive.repair_months(base, patches, _listed(spark, sf), ledger)
+
+
 # --- stacked model -----------------------------------------------------------
 _RUNS: dict[tuple[str, str], run.RunOutputs] = {}
 
 
 def _run(spark, sf) -> run.RunOutputs:
-    """One fitted run per application and data folder: several queries report on it."""
-    key = (spark.sparkContext.applicationId, sf)
+    """One fitted run per work folder and data folder: several queries report on it.
+
+    The key goes with the stored tables, so a run is fitted anew when they are dropped.
+    """
+    key = (workspace(spark), sf)
     if key not in _RUNS:
         _RUNS[key] = run.run(event_ticks(spark, sf))
     return _RUNS[key]
@@ -578,6 +620,34 @@ def _(spark, sf):
     return model.oof.select(SYMBOL, BAR_START, "fold", "row", "label", *model.probability_columns)
 
 
+@query("oof_rows")
+def _(spark, sf):
+    """Which rows each fold tests; the fitted scores themselves depend on the solver."""
+    return _folds(spark, sf).where("role = 'test'").select(SYMBOL, BAR_START, "fold", "row", "label")
+
+
+@query("class_weights")
+def _(spark, sf):
+    return stacking.class_weights(dataset.split_views(_everything(spark, sf)).train)
+
+
+@query("feature_medians")
+def _(spark, sf):
+    train = materialize(dataset.split_views(_everything(spark, sf)).train, "train")
+    return stacking.feature_medians(train)
+
+
+@query("signal_rules")
+def _(spark, sf):
+    """Both tie rules on probabilities in eighths, which meet a tie exactly."""
+    p = (F.col("event_id") % 9) / 8
+    return table(spark, sf, "events").select(
+        "event_id",
+        baselines.signal_from_probabilities(1 - p, p).alias("signal"),
+        baselines.label_from_probabilities(1 - p, p).alias("prediction"),
+    )
+
+
 @query("oof_scores")
 def _(spark, sf):
     model = _run(spark, sf).model

@@ -424,6 +424,13 @@ sql("label_counts", f"""{LABELS} SELECT label, count(*) AS rows, 100 * count(*)
 _spots = {"min_future_return": 0, "p01_future_return": 0.01, "median_future_return": 0.5, "p99_future_return": 0.99, "max_future_return": 1}
 sql("label_quantiles", f"{LABELS} SELECT symbol, {quantile_cols('future_return', _spots)} FROM marked WHERE valid GROUP BY symbol", " ".join(_spots))
 sql("chrono_split", f"{SPLIT} SELECT symbol, bar_start, idx, part, slice_start, slice_end FROM sliced")
+_parts = ", ".join(
+    f"count(*) FILTER (part = '{p}') AS {p}_bars, min(bar_start) FILTER (part = '{p}') AS {p}_from, "
+    f"max(bar_start) FILTER (part = '{p}') AS {p}_to"
+    for p in ("train", "purge", "test")
+)
+sql("split_info", f"""{SPLIT} SELECT symbol, max(slice_end) FILTER (part = 'train') AS split,
+  max(slice_start) FILTER (part = 'test') AS test_start, {_parts} FROM sliced GROUP BY symbol""")
 sql("dataset_summary", f"""{SPLIT}, datasets AS (
   SELECT *, 'featured' AS dataset, CASE WHEN valid AND {NO_NULLS} THEN label END AS l FROM marked
   UNION ALL SELECT *, 'train', label FROM train
@@ -529,6 +536,42 @@ FROM after LEFT JOIN base USING (symbol, month) LEFT JOIN left_over USING (symbo
 ))
 
 
+_listed = """
+listed AS (
+  SELECT DISTINCT symbol, month_start FROM ticks,
+    unnest([TIMESTAMP '2023-12-01', TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01']) m(month_start))"""
+sql("month_enumeration", f"""WITH {EVENT_TICKS}, {_listed}
+SELECT symbol, strftime(month_start, '%Y-%m') AS month, month_start FROM listed""")
+_listed_ledger = f"""WITH {EVENT_TICKS}, {_listed}, {calendar_cte()},
+slots AS (
+  SELECT symbol, month_start, unnest(generate_series(month_start, month_start + INTERVAL 1 MONTH - INTERVAL 1 HOUR,
+                                                     INTERVAL 1 HOUR)) AS slot
+  FROM listed WHERE month_start + INTERVAL 1 MONTH < TIMESTAMP '2024-03-01'),
+ledger AS (
+  SELECT s.symbol, strftime(month_start, '%Y-%m') AS month, coalesce(sum(ticks), 0)::BIGINT AS rows,
+         count(*) FILTER (ticks IS NULL AND (isodow(s.slot) <= 5 OR (isodow(s.slot) = 7 AND hour(s.slot) >= 21))) AS missing_hours,
+         missing_hours AS confirmed_absent
+  FROM slots s LEFT JOIN covered c ON s.symbol = c.symbol AND s.slot = c.slot GROUP BY s.symbol, month_start)"""
+sql("absent_month_ledger", f"{_listed_ledger} SELECT * FROM ledger")
+sql("absent_month_totals", f"""{_listed_ledger} SELECT sum(rows)::BIGINT AS total_rows, sum(missing_hours)::BIGINT AS total_missing,
+  count(*) FILTER (rows = 0 AND missing_hours > 0) AS total_errors FROM ledger""")
+_later = "timestamp + INTERVAL 31 DAY"
+sql("repair_absent_month", f"""{MERGED.format(patched=_fx)},
+february AS (
+  SELECT symbol, {_later} AS timestamp, seq, ask + 1 AS ask, bid, ask_volume, NULL AS bid_volume FROM ticks
+  WHERE month({_later}) = 2 AND (isodow({_later}) <= 5 OR (isodow({_later}) = 7 AND hour({_later}) >= 21)))
+SELECT *, strftime(timestamp, '%Y-%m') AS month FROM (SELECT * FROM merged UNION ALL SELECT * FROM february)""", QUOTES.replace(",", ""))
+sql("oof_rows", f"""{FOLDS} SELECT f.symbol, f.bar_start, f.fold, f.row, t.label
+FROM fold_rows f JOIN train t ON f.symbol = t.symbol AND f.bar_start = t.bar_start WHERE role = 'test'""")
+sql("class_weights", f"""{SPLIT} SELECT label, count(*) AS rows,
+  (SELECT count(*) FROM train) / (2.0::DOUBLE * count(*)) AS weight FROM train GROUP BY label""", "weight")
+_long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS value FROM train" for c in C.FEATURES)
+sql("feature_medians", f"""{SPLIT}, long AS ({_long})
+SELECT feature, quantile_cont(value, 0.5) AS median FROM long WHERE NOT isnan(value) GROUP BY feature""", "median")
+sql("signal_rules", """SELECT event_id, CASE WHEN event_id % 9 >= 4 THEN 1 ELSE -1 END AS signal,
+  CASE WHEN event_id % 9 > 4 THEN 1 ELSE -1 END AS prediction FROM events""")
+
+
 def published(name: str) -> str:
     """The query with doubles rounded and non-finite values as NULL."""
     digits = DIGITS[name]

@@ -50,7 +50,10 @@ def covered_months(slots: DataFrame) -> DataFrame:
 def missing_hours(
     ticks: DataFrame, asset_class: str = "fx", months: DataFrame | None = None
 ) -> DataFrame:
-    """Expected slots without a tick, for ``months`` or every month that has ticks."""
+    """Expected slots without a tick, for ``months`` or every month that has ticks.
+
+    A month without any tick can only be missed if ``months`` (symbol, month_start) names it.
+    """
     covered = covered_slots(ticks)
     months = covered_months(covered) if months is None else months
     return trading_calendar(months, asset_class).join(covered, [SYMBOL, SLOT], "left_anti")
@@ -73,18 +76,34 @@ def enumerate_months(
     return months.where(F.col("month_start") != current) if skip_current else months
 
 
+def symbol_months(symbols: DataFrame, months: DataFrame) -> DataFrame:
+    """(symbol, month_start) of every symbol and every listed month; ``months`` is a short list."""
+    listed = [r["month_start"] for r in months.orderBy("month_start").collect()]
+    each = F.explode(F.array(*[F.lit(m) for m in listed]).cast("array<timestamp>"))
+    return symbols.select(SYMBOL).distinct().select(SYMBOL, each.alias("month_start"))
+
+
 def month_ledger(
-    ticks: DataFrame, now: datetime, asset_class: str = "fx", verify: bool = True
+    ticks: DataFrame,
+    now: datetime,
+    asset_class: str = "fx",
+    verify: bool = True,
+    months: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows and missing hours per closed month.
+    """Rows and missing hours per closed month of ``months``, or of every month that has ticks.
 
-    A slot still missing when the archive has been checked against its source
+    Listed months without a tick have 0 rows and miss all their hours. A slot still missing when the archive has been checked against its source
     is confirmed absent. Without ``verify`` nothing was checked and both are 0.
     """
-    slots = slot_counts(ticks)
+    slots = materialize(slot_counts(ticks), "slots")
     month_start = F.date_trunc("month", SLOT).alias("month_start")
     rows = slots.groupBy(SYMBOL, month_start).agg(F.sum("ticks").alias("rows"))
-    expected = trading_calendar(covered_months(slots), asset_class)
+    if months is None:
+        months = covered_months(slots)
+    else:
+        months = months.select(SYMBOL, "month_start").distinct()
+        rows = months.join(rows, [SYMBOL, "month_start"], "left").fillna(0, ["rows"])
+    expected = trading_calendar(months, asset_class)
     missing = (
         expected.join(slots, [SYMBOL, SLOT], "left")
         .groupBy(SYMBOL, month_start)
@@ -152,13 +171,45 @@ def patch_merge(base: DataFrame, patches: DataFrame) -> DataFrame:
     return untouched.drop("_month").unionByName(merged, allowMissingColumns=True)
 
 
-def repair_missing_hours(base: DataFrame, patches: DataFrame, asset_class: str = "fx") -> DataFrame:
-    """Fill missing slots from ``patches``; rows for covered slots are not used."""
-    missing = missing_hours(base, asset_class)
-    usable = (
-        patches.withColumn(SLOT, _hour(TIMESTAMP)).join(missing, [SYMBOL, SLOT], "left_semi").drop(SLOT)
+def _usable(patches: DataFrame, missing: DataFrame) -> DataFrame:
+    return patches.withColumn(SLOT, _hour(TIMESTAMP)).join(missing, [SYMBOL, SLOT], "left_semi").drop(SLOT)
+
+
+def repair_missing_hours(
+    base: DataFrame, patches: DataFrame, asset_class: str = "fx", months: DataFrame | None = None
+) -> DataFrame:
+    """The whole archive with missing slots filled from ``patches``; rows for covered slots are not used.
+
+    Give ``months`` to fill months of which the archive has nothing.
+    """
+    return patch_merge(base, _usable(patches, missing_hours(base, asset_class, months)))
+
+
+def repair_months(
+    base: DataFrame,
+    patches: DataFrame,
+    months: DataFrame,
+    ledger: DataFrame,
+    asset_class: str = "fx",
+    force: bool = False,
+) -> DataFrame:
+    """Only the months that a repair changes, with all their symbols and their ``month`` key.
+
+    ``months`` (symbol, month_start) is what there should be. Months that ``ledger`` marks complete are
+    not looked at unless ``force``. Ticks are matched by the ``month`` column, so an archive laid out
+    in month folders is read in the months at work only. ``sources.replace_months`` writes the result back.
+    """
+    keyed = base if MONTH in base.columns else base.withColumn(MONTH, month_key(TIMESTAMP))
+    wanted = months.select(SYMBOL, "month_start", month_key("month_start").alias(MONTH)).distinct()
+    work = materialize(pending_months(wanted, ledger, force), "pending")
+    ticks = keyed.join(work.select(SYMBOL, MONTH), [SYMBOL, MONTH], "left_semi")
+    missing = missing_hours(ticks, asset_class, work.select(SYMBOL, "month_start"))
+    usable = materialize(_usable(patches, missing).withColumn(MONTH, month_key(TIMESTAMP)), "usable")
+    touched = usable.select(MONTH).distinct()
+    union = keyed.join(touched, MONTH, "left_semi").withColumn("_source", F.lit(0)).unionByName(
+        usable.withColumn("_source", F.lit(1)), allowMissingColumns=True
     )
-    return patch_merge(base, usable)
+    return dedup_keep_first(union, "_source").drop("_source")
 
 
 def repair_report(base: DataFrame, repaired: DataFrame, asset_class: str = "fx") -> DataFrame:

@@ -8,6 +8,7 @@ product over earlier blocks is carried in by a join on the block key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,19 @@ from barloom.schema import BAR_START, IDX, SERIES_LEN, SYMBOL
 from barloom.session import materialize
 
 
+@dataclass(frozen=True)
+class TradingOptions:
+    """Bars between two decisions and the money at the start. The defaults."""
+
+    hold_bars: int = 4
+    balance: float = 10_000.0
+
+
 def validate_positions(df: DataFrame, column: str = "position") -> DataFrame:
     """Fail the job when a position is neither -1 nor +1."""
     p = F.col(column)
     checked = F.when(p.isin(SELL, BUY), p).otherwise(
-        F.raise_error(F.lit("positions must contain only -1 (Sell) or +1 (Buy)"))
+        F.raise_error(F.lit("a position other than -1 or +1 cannot be traded"))
     )
     return df.withColumn(column, checked.cast("int"))
 
@@ -49,11 +58,10 @@ def bar_returns(
         F.col(signal).cast("int").alias("_signal"), *keep,
     )
     df = with_halo(df, before=hold_bars + 1, block_rows=block_rows)
-    df = df.withColumn("_decision", F.floor(F.col(IDX) / hold_bars))
-    key = [SYMBOL, BLOCK]
-    decision = Window.partitionBy(*key, "_decision").orderBy(IDX)
-    w = Window.partitionBy(*key).orderBy("_decision", IDX)
-    df = df.withColumn("position", F.first("_signal").over(decision)).withColumns(
+    w = Window.partitionBy(SYMBOL, BLOCK).orderBy(IDX)
+    decided = F.when(F.pmod(F.col(IDX), F.lit(hold_bars)) == 0, F.col("_signal"))
+    held = F.last(decided, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("position", held).withColumns(
         {
             "_position_1": F.lag("position", 1).over(w),
             "_position_2": F.lag("position", 2).over(w),
@@ -225,10 +233,13 @@ def backtest_metrics(
     )
 
 
-def trade_summary(trades: DataFrame, by: Sequence[str] = (SYMBOL,)) -> DataFrame:
+def trade_summary(
+    trades: DataFrame, by: Sequence[str] = (SYMBOL,), curve: DataFrame | None = None
+) -> DataFrame:
+    """Counts and averages per series; with ``curve``, series without a trade have zeros."""
     pnl, win = F.col("trade_pnl_usd"), F.col("win")
     mean = lambda c, digits: F.coalesce(F.bround(F.avg(c), digits), F.lit(0.0))
-    return trades.groupBy(*by).agg(
+    summary = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_trades"),
         F.count_if(win).alias("wins"),
         F.count_if(~win).alias("losses"),
@@ -242,6 +253,10 @@ def trade_summary(trades: DataFrame, by: Sequence[str] = (SYMBOL,)) -> DataFrame
         F.count_if(F.col("direction") == "LONG").alias("long_trades"),
         F.count_if(F.col("direction") == "SHORT").alias("short_trades"),
     )
+    if curve is None:
+        return summary
+    counts = [c for c in summary.columns if c not in by]
+    return curve.select(*by).distinct().join(summary, list(by), "left").fillna(0, counts)
 
 
 def exposure(curve: DataFrame, by: Sequence[str] = (SYMBOL,)) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import drop_null_rows, utc_literal
 from barloom.schema import BAR_START, SYMBOL, TIMESTAMP
-from barloom.session import materialize
+from barloom.session import materialize, prepare_session
 
 # --- fixed values: microseconds per timeframe unit ---------------------------
 UNIT_MICROS = {
@@ -20,8 +21,7 @@ UNIT_MICROS = {
     "d": 86_400_000_000,
     "w": 604_800_000_000,
 }
-# --- fixed values: calendar units and the bits their longest span needs in us --
-CALENDAR_UNITS = {"mo": ("month", 42), "q": ("quarter", 43), "y": ("year", 45)}
+CALENDAR_UNITS = {"mo": "month", "q": "quarter", "y": "year"}
 MONDAY_OFFSET_MICROS = 4 * UNIT_MICROS["d"]  # 1970-01-05 was a Monday
 
 
@@ -39,33 +39,25 @@ def bar_start(ts: Column, timeframe: str) -> Column:
     """Left edge of the bar: fixed steps count from the epoch, weeks from Monday."""
     count, unit = _parse(timeframe)
     if unit in CALENDAR_UNITS:
-        return F.date_trunc(CALENDAR_UNITS[unit][0], ts)
+        return F.date_trunc(CALENDAR_UNITS[unit], ts)
     step = count * UNIT_MICROS[unit]
     offset = MONDAY_OFFSET_MICROS if unit == "w" else 0
     micros = F.unix_micros(ts)
     return F.timestamp_micros(micros - F.pmod(micros - F.lit(offset), F.lit(step)))
 
 
-def _tick_order(timeframe: str, has_seq: bool) -> Column:
-    """One long that sorts ticks inside a bar: time first, then ``seq``.
+def _tick_order(has_seq: bool) -> Column:
+    """One number that sorts ticks inside a bar: time first, then the whole ``seq``.
 
     A struct key would do the same but cannot live in a hash-aggregation buffer,
-    and Spark would sort all ticks before the partial aggregation. The offset in
-    the bar takes the high bits; the low bits of ``seq`` fill the rest and order
-    ticks of equal time, whose order is otherwise unspecified.
+    and Spark would sort all ticks before the partial aggregation. A wide decimal
+    can: the offset in the bar stands above the 64 bits of ``seq``.
     """
     offset = F.unix_micros(TIMESTAMP) - F.unix_micros(BAR_START)
     if not has_seq:
         return offset
-    count, unit = _parse(timeframe)
-    if unit in CALENDAR_UNITS:
-        width = CALENDAR_UNITS[unit][1]
-    else:
-        width = (count * UNIT_MICROS[unit] - 1).bit_length()
-    spare = max(63 - width, 0)
-    return F.shiftleft(offset, spare).bitwiseOR(
-        F.col("seq").bitwiseAND(F.lit((1 << spare) - 1))
-    )
+    above = offset.cast("decimal(17,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+    return above + F.col("seq").cast("decimal(20,0)")
 
 
 def project_ticks(ticks: DataFrame) -> DataFrame:
@@ -103,10 +95,11 @@ def build_bars(
     All buffers are fixed-width, so this is a hash aggregation with map-side
     combine: what is shuffled is bars, not ticks.
     """
+    prepare_session(ticks.sparkSession)
     quotes = project_ticks(between(ticks, start, end)).withColumn(
         BAR_START, bar_start(F.col(TIMESTAMP), timeframe)
     )
-    quotes = quotes.withColumn("_order", _tick_order(timeframe, "seq" in ticks.columns))
+    quotes = quotes.withColumn("_order", _tick_order("seq" in ticks.columns))
     mid = F.col("mid")
     numeric_mid = F.when(~F.isnan(mid), mid)
     bars = quotes.groupBy(SYMBOL, BAR_START).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.series import index_series
 from barloom.schema import BAR_START, SYMBOL
+from barloom.session import materialize
 
 ROW, ROWS = "row", "n_rows"
 
@@ -16,21 +17,33 @@ def number_rows(labeled: DataFrame) -> DataFrame:
     return index_series(labeled, (BAR_START,), idx=ROW, length=ROWS)
 
 
-def purged_train_rows(candidates: DataFrame, bounds: DataFrame, on: list[str]) -> DataFrame:
-    """Drop candidates whose event overlaps the time span of the test block.
+def fold_bounds(numbered: DataFrame, n_splits: int = 5) -> DataFrame:
+    """(symbol, fold, first and last test row, time span of the test block): a row per fold.
 
-    ``bounds`` has one row per fold. It is joined by key, so Spark broadcasts it
-    only when its measured size allows.
+    Folds without a row to train on are left out.
     """
-    overlap = (F.col("event_start") <= F.col("_test_to")) & (F.col("event_end") >= F.col("_test_from"))
-    return candidates.join(bounds, on).where(~overlap).drop("_test_from", "_test_to")
-
-
-def test_bounds(test: DataFrame, by: list[str]) -> DataFrame:
-    return test.groupBy(*by).agg(
+    size = F.greatest(F.floor(F.col(ROWS) / (n_splits + 1)), F.lit(1))
+    step = F.floor(F.col(ROW) / size)
+    test = numbered.where(step >= 1).withColumn("fold", F.least(step - 1, F.lit(n_splits - 1)).cast("int"))
+    edges = test.groupBy(SYMBOL, "fold").agg(
+        F.min(ROW).alias("_first"),
+        F.max(ROW).alias("_last"),
         F.min_by("event_start", ROW).alias("_test_from"),
         F.max_by("event_end", ROW).alias("_test_to"),
     )
+    trained = fold_rows(numbered, edges, "train").select(SYMBOL, "fold").distinct()
+    return edges.join(trained, [SYMBOL, "fold"], "left_semi")
+
+
+def fold_rows(numbered: DataFrame, bounds: DataFrame, role: str) -> DataFrame:
+    """The rows that the folds of ``bounds`` test or train on, as filters against its few rows."""
+    joined = numbered.join(bounds, SYMBOL)
+    if role == "test":
+        chosen = joined.where(F.col(ROW).between(F.col("_first"), F.col("_last")))
+    else:
+        overlap = (F.col("event_start") <= F.col("_test_to")) & (F.col("event_end") >= F.col("_test_from"))
+        chosen = joined.where((F.col(ROW) < F.col("_first")) & ~overlap)
+    return chosen.drop("_first", "_last", "_test_from", "_test_to")
 
 
 def purged_folds(numbered: DataFrame, n_splits: int = 5) -> DataFrame:
@@ -39,22 +52,10 @@ def purged_folds(numbered: DataFrame, n_splits: int = 5) -> DataFrame:
     With size = max(1, n // (n_splits + 1)), fold i tests rows
     [(i+1)*size, (i+2)*size) and the last fold runs to the end. It trains on all
     earlier rows except those whose events overlap the test block. A fold
-    without train rows is left out.
+    without train rows is left out. ``numbered`` is read several times, so pass a stored table.
     """
-    size = F.greatest(F.floor(F.col(ROWS) / (n_splits + 1)), F.lit(1))
-    step = F.floor(F.col(ROW) / size)
-    test = (
-        numbered.where(step >= 1)
-        .withColumn("fold", F.least(step - 1, F.lit(n_splits - 1)).cast("int"))
-        .withColumn("role", F.lit("test"))
-    )
-    later = F.sequence(step.cast("int"), F.lit(n_splits - 1))
-    train = (
-        numbered.where(step <= n_splits - 1)
-        .withColumn("fold", F.explode(later))
-        .withColumn("role", F.lit("train"))
+    bounds = materialize(fold_bounds(numbered, n_splits), "fold-bounds")
+    train, test = (
+        fold_rows(numbered, bounds, role).withColumn("role", F.lit(role)) for role in ("train", "test")
     )
-    key = [SYMBOL, "fold"]
-    train = purged_train_rows(train, test_bounds(test, key), key).select(*test.columns)
-    trained = train.select(*key).distinct()
-    return train.unionByName(test.join(trained, key, "left_semi").select(*test.columns))
+    return train.unionByName(test)

@@ -335,39 +335,6 @@ def add_return_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
     return _on_bars(bars, (RETURNS,), block_rows)
 
 
-def add_trend_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return _on_bars(bars, (TREND,), block_rows)
-
-
-def add_momentum_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return _on_bars(bars, (RSI, ADX), block_rows)
-
-
-def add_volatility_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return _on_bars(bars, (ATR, BOLLINGER, VOLATILITY, SPREAD_Z, RANGE_POSITION), block_rows)
-
-
-def add_volume_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return _on_bars(bars, (OBV,), block_rows)
-
-
-def add_candle_structure_features(bars: DataFrame) -> DataFrame:
-    return _on_bars(bars, (CANDLE,), BLOCK_ROWS)
-
-
-def add_microstructure_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return _on_bars(bars, (MICROSTRUCTURE,), block_rows)
-
-
-def add_calendar_features(bars: DataFrame) -> DataFrame:
-    return _on_bars(bars, (CALENDAR,), BLOCK_ROWS)
-
-
 def combine_market_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All feature columns, in one pass over the bars."""
     return _on_bars(bars, MARKET_GROUPS, block_rows)
-
-
-def get_feature_columns(df: DataFrame) -> list[str]:
-    """The predefined features that ``df`` has, in model order."""
-    return [c for c in C.FEATURES if c in df.columns]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import BUY, SELL
-from barloom.functions import drop_null_rows, ieee_div, is_finite, replace_infinite_with_nan
+from barloom.functions import ieee_div, is_finite
 from barloom.operators.indicators import Group, add_groups
 from barloom.operators.series import BLOCK_ROWS, BlockWindows, index_series
 from barloom.schema import BAR_START, IDX, SERIES_LEN, SYMBOL
@@ -19,6 +20,23 @@ LABEL_COLUMNS = ("future_return", "future_gap_hours", "label", "event_start", "e
 TRAIN, PURGE, TEST = "train", "purge", "test"
 
 
+@dataclass(frozen=True)
+class LabelOptions:
+    """How far ahead a label looks, the least move, and the longest pause. The defaults."""
+
+    horizon: int = 4
+    threshold: float = 0.0005
+    max_gap_hours: float | None = 5.0
+
+
+@dataclass(frozen=True)
+class SplitOptions:
+    """Share of test bars and the bars left out before them. The defaults."""
+
+    test_size: float = 0.20
+    purge_bars: int = 4
+
+
 def label_group(
     horizon: int = 4, threshold: float = 0.0005, max_gap_hours: float | None = None
 ) -> Group:
@@ -84,16 +102,6 @@ def assign_future_return_labels(
     return keep_labeled(add_groups(whole_series_slice(indexed), (group,), block_rows))
 
 
-def apply_labels(bars: DataFrame, **options: object) -> DataFrame:
-    """Label, turn +-inf into NaN, and drop rows with any NULL."""
-    return drop_null_rows(replace_infinite_with_nan(assign_future_return_labels(bars, **options)))
-
-
-def compute_test_start(split: int | Column, purge_bars: int) -> int | Column:
-    """First test row after the purge gap."""
-    return split + purge_bars
-
-
 def chronological_split(
     indexed: DataFrame, test_size: float = 0.20, purge_bars: int = 4
 ) -> DataFrame:
@@ -103,7 +111,7 @@ def chronological_split(
     on the row, so this is a projection.
     """
     split = F.floor(F.col(SERIES_LEN) * F.lit(1 - test_size)).cast("bigint")
-    test_start = compute_test_start(split, purge_bars)
+    test_start = split + purge_bars
     idx = F.col(IDX)
     part = F.when(idx < split, TRAIN).when(idx >= test_start, TEST).otherwise(PURGE)
     bounds = lambda train, purge, test: (
@@ -116,6 +124,20 @@ def chronological_split(
     )
 
 
+def split_info(parts: DataFrame, by: Sequence[str] = (SYMBOL,)) -> DataFrame:
+    """Where each series is cut: first purged and first test bar, and bars and dates of every part."""
+    bounds = [F.max(F.when(F.col("part") == TRAIN, F.col(SLICE_END))).alias("split")]
+    bounds.append(F.max(F.when(F.col("part") == TEST, F.col(SLICE_START))).alias("test_start"))
+    for part in (TRAIN, PURGE, TEST):
+        own = F.col("part") == part
+        bounds += [
+            F.count_if(own).alias(f"{part}_bars"),
+            F.min(F.when(own, F.col(BAR_START))).alias(f"{part}_from"),
+            F.max(F.when(own, F.col(BAR_START))).alias(f"{part}_to"),
+        ]
+    return parts.groupBy(*by).agg(*bounds)
+
+
 def label_distribution(labeled: DataFrame, by: Sequence[str] = (SYMBOL,)) -> DataFrame:
     """Buy and sell counts, total and the ratio of the smaller to the larger class."""
     buy = F.count_if(F.col("label") == BUY)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions import iso_weekday
+from barloom.functions import is_finite, iso_weekday
 from barloom.operators.indicators import HOURLY_RETURN, add_groups
 from barloom.operators.quantiles import LINEAR, NEAREST, exact_quantiles
 from barloom.operators.series import BAR_CHUNK, HOUR_CHUNK, index_series, shift_across, time_chunk
@@ -186,10 +186,13 @@ def seasonality_pivot(
 def histogram(
     df: DataFrame, value: str, bins: int = 100, by: Sequence[str] = (SYMBOL,)
 ) -> DataFrame:
-    """Equal-width bins between the group's extremes; the top edge is inclusive."""
+    """Equal-width bins between the group's finite extremes; the top edge is inclusive.
+
+    NULL, NaN and infinite values are in no bin.
+    """
     by = list(by)
     x = F.col(value).cast("double")
-    values = df.where(F.col(value).isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"))
+    values = df.where(F.coalesce(is_finite(x), F.lit(False))).select(*by, x.alias("_x"))
     edges = values.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     scaled = F.floor((F.col("_x") - F.col("_lo")) / width * bins)

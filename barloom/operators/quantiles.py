@@ -127,16 +127,3 @@ def exact_quantiles(
             result = result + (F.col(f"_high_{name}") - result) * F.col(f"_part_{name}")
         out.append(result.alias(name))
     return at_rank.groupBy(*by).agg(*picked).select(*by, *out)
-
-
-def approximate_quantiles(
-    df: DataFrame,
-    value: str,
-    quantiles: Mapping[str, float],
-    by: Sequence[str] = (SYMBOL,),
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """The same shape from one mergeable sketch per group, in a single pass."""
-    probs = [float(q) for q in quantiles.values()]
-    sketch = df.groupBy(*by).agg(F.percentile_approx(value, probs, accuracy).alias("_q"))
-    return sketch.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)])

@@ -81,11 +81,13 @@ def with_halo(
     block_rows: int = BLOCK_ROWS,
     idx: str = IDX,
     length: str = SERIES_LEN,
+    keys: Sequence[str] = (SYMBOL,),
 ) -> DataFrame:
     """Assign rows to blocks, copying edge rows to the neighbours.
 
     ``block`` is the block a copy works in and ``is_own`` marks the copy that
-    belongs there. After the windows, keep the ``is_own`` rows.
+    belongs there. After the windows, keep the ``is_own`` rows. Rows come back
+    dealt by key and block, which all windows inside a block can use as it is.
     """
     if max(before, after) > block_rows:
         raise ValueError("a halo longer than a block would have to span two blocks")
@@ -104,15 +106,15 @@ def with_halo(
         .withColumn(BLOCK, F.explode(targets))
         .withColumn("is_own", F.col(BLOCK) == F.col("_own"))
         .drop("_own")
+        .repartition(*keys, BLOCK)
     )
 
 
 @dataclass(frozen=True)
 class BlockWindows:
-    """Window specs over haloed blocks that share one exchange and one sort.
+    """Window specs over haloed blocks; the exchange of ``with_halo`` serves all of them.
 
-    ``sub_rows`` cuts a block further for recurrences. The sub-block number
-    leads the sort order of all three specs, so one sort serves them all.
+    A block is cut further into sub-blocks for recurrences.
     """
 
     rows: WindowSpec
@@ -169,7 +171,7 @@ def ema_stages(
     return [
         {sums: F.sum(weight * F.col(x) * F.pow(d, -j)).over(frame)},
         {local: F.col(sums) * F.pow(d, j)},
-        {carry: F.last(local).over(w.previous_sub)},
+        {carry: F.max_by(local, F.col(idx)).over(w.previous_sub)},
         {f"_ema_{span}": F.col(local) + F.coalesce(F.col(carry) * F.pow(d, j + 1), F.lit(0.0))},
     ]
 

@@ -7,13 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.config import FEATURES, EngineConfig
+from barloom.config import FEATURES
 from barloom.functions import drop_null_rows, replace_infinite_with_nan
 from barloom.operators.indicators import MARKET_GROUPS, add_groups
 from barloom.operators.labels import (
     LABEL_COLUMNS,
+    LabelOptions,
     SLICE_END,
     SLICE_START,
+    SplitOptions,
     TEST,
     TRAIN,
     chronological_split,
@@ -22,7 +24,6 @@ from barloom.operators.labels import (
 )
 from barloom.operators.series import BLOCK_ROWS, index_series
 from barloom.schema import BAR_START, IDX, SYMBOL
-from barloom.session import materialize
 
 HELPERS = ("part", SLICE_START, SLICE_END, "label_is_valid")
 
@@ -37,14 +38,18 @@ class LabeledDataset:
     test_continuous: DataFrame
 
 
-def label_and_split(bars: DataFrame, config: EngineConfig, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def label_and_split(
+    bars: DataFrame,
+    labels: LabelOptions | None = None,
+    split: SplitOptions | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """Features, split part and labels of all bars in one blocked pass."""
     indexed = bars if IDX in bars.columns else index_series(bars)
-    parts = chronological_split(indexed, config.test_size, config.purge_bars)
-    labels = label_group(
-        config.labeling_horizon, config.label_return_threshold, config.max_label_gap_hours
-    )
-    return add_groups(parts, (*MARKET_GROUPS, labels), block_rows)
+    labels, split = labels or LabelOptions(), split or SplitOptions()
+    parts = chronological_split(indexed, split.test_size, split.purge_bars)
+    group = label_group(labels.horizon, labels.threshold, labels.max_gap_hours)
+    return add_groups(parts, (*MARKET_GROUPS, group), block_rows)
 
 
 def _labeled(everything: DataFrame, part: str) -> DataFrame:
@@ -64,14 +69,14 @@ def split_views(everything: DataFrame) -> LabeledDataset:
     )
 
 
-def build_labeled_dataset(bars: DataFrame, config: EngineConfig | None = None) -> LabeledDataset:
-    """Store the labelled bars once and return the frames; empty frames are errors."""
-    config = config or EngineConfig()
-    data = split_views(materialize(label_and_split(bars, config), "labeled"))
-    if data.train.isEmpty() or data.test_labeled.isEmpty():
-        raise ValueError("labelled train/test set is empty; reduce horizon or load more data")
+def checked_views(everything: DataFrame) -> LabeledDataset:
+    """``split_views`` of a stored table; frames that leave nothing to train or test on are errors."""
+    data = split_views(everything)
+    for rows, what in ((data.train, "train on"), (data.test_labeled, "test on")):
+        if rows.isEmpty():
+            raise ValueError(f"no labelled bar is left to {what}: give more ticks or a shorter horizon")
     if data.test_continuous.isEmpty():
-        raise ValueError("continuous test set is empty after invalid-value cleanup")
+        raise ValueError("no test bar has all features: give more ticks")
     return data
 
 

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.config import EngineConfig
 from barloom.operators import backtest, metrics
 from barloom.operators.baselines import (
     baseline_predictions,
     label_from_probabilities,
     signal_from_probabilities,
 )
+from barloom.operators.backtest import TradingOptions
 from barloom.operators.bars import store_bars
+from barloom.operators.labels import LabelOptions, SplitOptions
 from barloom.operators.series import index_series
-from barloom.plans.dataset import LabeledDataset, dataset_summary, label_and_split, split_views
+from barloom.plans.dataset import LabeledDataset, checked_views, dataset_summary, label_and_split
 from barloom.plans.stacking import (
     StackingClassifier,
+    TrainingOptions,
     feature_importance,
     long_predictions,
     oof_scores,
@@ -32,9 +34,20 @@ from barloom.sources import write_csv, write_json
 STACKED = "hybrid_stacking"
 
 
+@dataclass(frozen=True)
+class RunOptions:
+    """The options of the operators a run is made of."""
+
+    timeframe: str = "1h"
+    labels: LabelOptions = field(default_factory=LabelOptions)
+    split: SplitOptions = field(default_factory=SplitOptions)
+    training: TrainingOptions = field(default_factory=TrainingOptions)
+    trading: TradingOptions = field(default_factory=TradingOptions)
+
+
 @dataclass(frozen=True)
 class RunOutputs:
-    config: EngineConfig
+    options: RunOptions
     everything: DataFrame
     data: LabeledDataset
     model: StackingClassifier
@@ -44,9 +57,9 @@ class RunOutputs:
     trades: DataFrame
 
 
-def fit_model(data: LabeledDataset, config: EngineConfig) -> tuple[StackingClassifier, DataFrame]:
+def fit_model(data: LabeledDataset, options: TrainingOptions) -> tuple[StackingClassifier, DataFrame]:
     train = materialize(data.train, "train")
-    return StackingClassifier(config).fit(train), train
+    return StackingClassifier(options).fit(train), train
 
 
 def score_test(model: StackingClassifier, data: LabeledDataset) -> DataFrame:
@@ -68,36 +81,36 @@ def labeled_predictions(data: LabeledDataset, scored: DataFrame) -> DataFrame:
     )
 
 
-def backtest_signals(scored: DataFrame, config: EngineConfig) -> DataFrame:
+def backtest_signals(scored: DataFrame, options: TradingOptions) -> DataFrame:
     """Stored equity curve of the held signals; positions count from the first test bar."""
     bars = index_series(scored.select(SYMBOL, BAR_START, "close", "spread", "raw_signal"))
     curve = backtest.run_signal_backtest(
         bars,
         "raw_signal",
-        hold_bars=config.backtest_hold_bars,
-        initial_balance=config.initial_balance,
+        hold_bars=options.hold_bars,
+        initial_balance=options.balance,
         keep=["raw_signal"],
     )
     return materialize(curve, "curve")
 
 
-def run(ticks: DataFrame, config: EngineConfig | None = None) -> RunOutputs:
+def run(ticks: DataFrame, options: RunOptions | None = None) -> RunOutputs:
     """Ticks to a fitted model, its predictions and the backtest of its signals."""
-    config = config or EngineConfig()
-    bars = store_bars(ticks, config.timeframe)
-    everything = materialize(label_and_split(bars, config), "labeled")
-    data = split_views(everything)
-    model, _ = fit_model(data, config)
-    return evaluate(everything, data, model, config)
+    options = options or RunOptions()
+    bars = store_bars(ticks, options.timeframe)
+    everything = materialize(label_and_split(bars, options.labels, options.split), "labeled")
+    data = checked_views(everything)
+    model, _ = fit_model(data, options.training)
+    return evaluate(everything, data, model, options)
 
 
 def evaluate(
-    everything: DataFrame, data: LabeledDataset, model: StackingClassifier, config: EngineConfig
+    everything: DataFrame, data: LabeledDataset, model: StackingClassifier, options: RunOptions
 ) -> RunOutputs:
     scored = score_test(model, data)
-    curve = backtest_signals(scored, config)
+    curve = backtest_signals(scored, options.trading)
     return RunOutputs(
-        config=config,
+        options=options,
         everything=everything,
         data=data,
         model=model,
@@ -112,7 +125,7 @@ def metric_table(out: RunOutputs) -> DataFrame:
     """Naive, base and stacked models in fixed order."""
     naive = ["naive_majority", "naive_random_prior", "naive_momentum_return_4", "naive_buy_only"]
     columns = {name: f"p_{name}" for name in out.model.active} | {STACKED: "p_buy"}
-    naive_rows = baseline_predictions(out.data.train, out.data.test_labeled, out.config.random_state)
+    naive_rows = baseline_predictions(out.data.train, out.data.test_labeled, out.options.training.seed)
     rows = long_predictions(out.predictions, columns).unionByName(
         naive_rows.select("model", "y", "pred", "p_buy")
     )
@@ -136,6 +149,12 @@ def _constant_map(pairs: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def _constant_struct(values: dict) -> Column:
+    return F.struct(
+        *[(_constant_struct(v) if isinstance(v, dict) else F.lit(v)).alias(k) for k, v in values.items()]
+    )
+
+
 def run_metadata(out: RunOutputs, run_id: str = "run") -> DataFrame:
     """One nested document per symbol: config, data, training, evaluation, backtest."""
     by = [SYMBOL]
@@ -154,9 +173,9 @@ def run_metadata(out: RunOutputs, run_id: str = "run") -> DataFrame:
         _document(rounded(metrics.metric_rows(evaluated, by), 6), "evaluation"),
         _entries(metrics.class_report(evaluated, by), "label", "per_class_metrics"),
         _entries(confusion.select(SYMBOL, "cell", "rows"), "cell", "confusion_matrix"),
-        _document(rounded(backtest.backtest_metrics(out.curve, out.trades, out.config.initial_balance), 6), "backtest"),
+        _document(rounded(backtest.backtest_metrics(out.curve, out.trades, out.options.trading.balance), 6), "backtest"),
         _document(backtest.turnover(out.curve, out.trades), "win_rate_meta"),
-        _document(backtest.trade_summary(out.trades), "trade_summary"),
+        _document(backtest.trade_summary(out.trades, curve=out.curve), "trade_summary"),
         _document(backtest.exposure(out.curve), "exposure"),
     ]
     document = parts[0]
@@ -166,11 +185,10 @@ def run_metadata(out: RunOutputs, run_id: str = "run") -> DataFrame:
     importance = {
         r["feature"]: round(r["pct"], 2) for r in feature_importance(out.model, out.everything).collect()
     }
-    config = F.struct(*[F.lit(v).alias(k) for k, v in asdict(out.config).items()])
     return document.withColumns(
         {
             "run_id": F.lit(run_id),
-            "config": config,
+            "options": _constant_struct(asdict(out.options)),
             "oof_scores": _constant_map(scores),
             "active_models": F.array(*[F.lit(n) for n in out.model.active]),
             "feature_importance": _constant_map(importance),
@@ -185,7 +203,7 @@ def predictions_of(out: RunOutputs) -> DataFrame:
 
 def publish_run(out: RunOutputs, folder: str, run_id: str = "run", parallelism: int = 6) -> None:
     """CSV tables and the JSON document of a run; the independent jobs overlap."""
-    balance = out.config.initial_balance
+    balance = out.options.trading.balance
     tables: dict[str, Callable[[], DataFrame]] = {
         "baseline_metrics": lambda: metric_table(out),
         "predictions": lambda: predictions_of(out),

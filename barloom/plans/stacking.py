@@ -20,12 +20,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.config import BUY, FEATURES, SELL, EngineConfig
+from barloom.config import BUY, FEATURES, SELL
 from barloom.functions import is_finite
 from barloom.operators.baselines import label_from_probabilities
-from barloom.operators.folds import ROW, number_rows, purged_folds
+from barloom.operators.folds import ROW, fold_bounds, fold_rows, number_rows
 from barloom.operators.kernel import FourierFeatures
 from barloom.operators.metrics import class_metrics, class_report
+from barloom.operators.quantiles import LINEAR, exact_quantiles
 from barloom.schema import BAR_START, SYMBOL
 from barloom.session import materialize
 
@@ -33,6 +34,9 @@ TARGET, WEIGHT = "_target", "_weight"
 LOGISTIC, SVC, BOOSTED = "logistic_regression", "svc", "gradient_boosting"
 
 
+MEDIAN_RANK_ERROR = 1e-6
+
+
 @dataclass(frozen=True)
 class FitContext:
     """What a model factory may need to know about its training rows."""
@@ -53,11 +57,28 @@ def _names(prefix: str) -> dict[str, str]:
     }
 
 
+def feature_medians(train: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Exact median of every feature over its values that are numbers."""
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]
+    long = train.select(F.explode(F.array(*pairs)).alias("p")).select("p.feature", "p.value")
+    return exact_quantiles(long.where(~F.isnan("value")), "value", {"median": (0.5, LINEAR)}, by=["feature"])
+
+
+def class_weights(train: DataFrame) -> DataFrame:
+    """Rows per label and the weight n / (2 n_k) that balances them."""
+    sell, buy = class_counts(train)
+    counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.select("label", "rows", (F.lit(sell + buy) / (2 * F.col("rows"))).alias("weight"))
+
+
 def _imputed(prefix: str, features: Sequence[str]) -> list:
-    """Median imputation of NaN, then one vector."""
+    """Median imputation of NaN, then one vector.
+
+    Spark's imputer ranks within ``MEDIAN_RANK_ERROR`` of the rows; ``feature_medians`` is exact.
+    """
     filled = [f"_{prefix}_{c}" for c in features]
     return [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
+        Imputer(strategy="median", relativeError=MEDIAN_RANK_ERROR, inputCols=list(features), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol=f"_{prefix}_vector"),
     ]
 
@@ -159,11 +180,19 @@ def score(df: DataFrame, name: str, model: PipelineModel) -> DataFrame:
     return model.transform(df).select(*df.columns, p_buy.alias(f"p_{name}"))
 
 
+@dataclass(frozen=True)
+class TrainingOptions:
+    """Walk-forward folds and the seed of all random draws. The defaults."""
+
+    folds: int = 5
+    seed: int = 42
+
+
 @dataclass
 class StackingClassifier:
     """Out-of-fold stacking with injectable base models."""
 
-    config: EngineConfig = field(default_factory=EngineConfig)
+    options: TrainingOptions = field(default_factory=TrainingOptions)
     base_models: dict[str, ModelFactory] = field(default_factory=base_model_registry)
     features: tuple[str, ...] = FEATURES
     parallelism: int = 6
@@ -176,7 +205,7 @@ class StackingClassifier:
         return [f"p_{name}" for name in self.base_models]
 
     def _fit_base(self, name: str, rows: DataFrame, sell: int, buy: int) -> PipelineModel:
-        ctx = FitContext(sell + buy, self.config.random_state, self.features)
+        ctx = FitContext(sell + buy, self.options.seed, self.features)
         return self.base_models[name](ctx).fit(_target(rows, sell, buy))
 
     def out_of_fold(self, train: DataFrame) -> DataFrame:
@@ -188,9 +217,10 @@ class StackingClassifier:
         numbered = number_rows(train).withColumns(
             {c: F.col(c).cast("double") for c in self.features}
         )
-        folds = materialize(purged_folds(numbered, self.config.cv_splits), "folds")
+        numbered = materialize(numbered, "numbered")
+        bounds = materialize(fold_bounds(numbered, self.options.folds), "fold-bounds")
         counts = (
-            folds.where("role = 'train'")
+            fold_rows(numbered, bounds, "train")
             .groupBy("fold")
             .agg(
                 F.count_if(F.col("label") == SELL).alias("sell"),
@@ -209,7 +239,7 @@ class StackingClassifier:
 
         def fit(job: tuple) -> tuple:
             fold, name, sell, buy = job
-            rows = folds.where((F.col("fold") == fold) & (F.col("role") == "train"))
+            rows = fold_rows(numbered, bounds.where(F.col("fold") == fold), "train")
             return (fold, name), self._fit_base(name, rows, sell, buy)
 
         with ThreadPoolExecutor(self.parallelism) as pool:
@@ -217,7 +247,7 @@ class StackingClassifier:
 
         scored = []
         for row in counts:
-            tested = folds.where((F.col("fold") == row["fold"]) & (F.col("role") == "test"))
+            tested = fold_rows(numbered, bounds.where(F.col("fold") == row["fold"]), "test")
             for name in self.base_models:
                 model = fitted.get((row["fold"], name))
                 if model is None:

@@ -1,7 +1,7 @@
-from barloom.sources.sinks import write_csv, write_json, write_ticks
+from barloom.sources.sinks import replace_months, write_csv, write_json, write_ticks
 from barloom.sources.tick_files import (
+    clean_symbol,
     ensure_utc_timestamp,
-    file_inventory,
     latest_months,
     list_months,
     month_range_label,
@@ -11,14 +11,15 @@ from barloom.sources.tick_files import (
 )
 
 __all__ = [
+    "clean_symbol",
     "ensure_utc_timestamp",
-    "file_inventory",
     "latest_months",
     "list_months",
     "month_range_label",
     "normalize_ticks",
     "read_ledger",
     "read_ticks",
+    "replace_months",
     "write_csv",
     "write_json",
     "write_ticks",

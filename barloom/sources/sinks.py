@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import month_key
 from barloom.schema import SYMBOL, TIMESTAMP
+from barloom.session import materialize
 
 
 def write_ticks(ticks: DataFrame, folder: str, mode: str = "overwrite") -> None:
@@ -29,6 +30,11 @@ def write_ticks(ticks: DataFrame, folder: str, mode: str = "overwrite") -> None:
     )
 
 
+def replace_months(ticks: DataFrame, folder: str) -> None:
+    """Overwrite just the months in ``ticks``, which may be read from the same folder."""
+    write_ticks(materialize(ticks, "replaced-months"), folder)
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
     """CSV with a header, one part per partition."""
     df.write.mode("overwrite").option("header", True).csv(folder)

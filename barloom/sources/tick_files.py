@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.schema import SYMBOL, TICK_SCHEMA, TIMESTAMP, require_columns
+from barloom.session import file_names, prepare_session
 
 # --- fixed values: vendor column names and the archive's column order --------
 VENDOR_COLUMNS = {
@@ -24,17 +25,9 @@ TICK_COLUMNS = ("timestamp", "ask", "bid", "ask_volume", "bid_volume")
 LEDGER_SCHEMA = "symbol string, month string, rows bigint, missing_hours bigint, confirmed_absent bigint"
 
 
-def _list(spark: SparkSession, pattern: str) -> list[str]:
-    """Names matching a glob. Lists one folder level and opens no file."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(status.getPath().getName() for status in fs.globStatus(path) or [])
-
-
 def list_months(spark: SparkSession, folder: str) -> list[str]:
     """Month folders, or else flat parquet files, in name order."""
-    return _list(spark, f"{folder}/month=*") or _list(spark, f"{folder}/*.parquet")
+    return file_names(spark, f"{folder}/month=*") or file_names(spark, f"{folder}/*.parquet")
 
 
 def month_range_label(names: list[str]) -> str:
@@ -43,16 +36,29 @@ def month_range_label(names: list[str]) -> str:
     return f"{first} -> {last}"
 
 
+def clean_symbol(name: str) -> str:
+    """A symbol as archives spell it: upper case, without the slash of a pair."""
+    return name.replace("/", "").upper()
+
+
 def read_ticks(
-    spark: SparkSession, folder: str, months: int | None = None, skip_corrupt: bool = False
+    spark: SparkSession,
+    folder: str,
+    months: int | None = None,
+    skip_corrupt: bool = False,
+    symbol: str | None = None,
 ) -> DataFrame:
     """Ticks of the latest ``months`` months (all if None), as a lazy scan.
 
-    With ``skip_corrupt``, files that cannot be read count as missing.
+    Flat files hold one instrument and need its ``symbol``; their ticks are
+    numbered by their row in the file, which orders ticks of equal time. A partitioned archive names its
+    symbols itself; a ``symbol`` given keeps that one. With ``skip_corrupt``, files that cannot
+    be read count as missing.
     """
+    prepare_session(spark)
     names = list_months(spark, folder)
     if not names:
-        raise FileNotFoundError(f"No parquet files found in {folder}")
+        raise FileNotFoundError(f"the archive {folder} holds no month")
     if months is not None:
         names = names[-months:]
     reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
@@ -60,10 +66,16 @@ def read_ticks(
     columns = [f for f in TICK_SCHEMA.fields if partitioned or f.name in TICK_COLUMNS]
     schema = T.StructType(columns)
     if not partitioned:
-        return reader.schema(schema).parquet(*[f"{folder}/{n}" for n in names])
+        if symbol is None:
+            raise ValueError("flat month files do not name their instrument: pass symbol=")
+        ticks = reader.schema(schema).parquet(*[f"{folder}/{n}" for n in names])
+        return ticks.select(
+            F.lit(clean_symbol(symbol)).alias(SYMBOL), F.col("_metadata.row_index").alias("seq"), *TICK_COLUMNS
+        )
     ticks = reader.schema(schema.add("month", "string")).option("basePath", folder)
     first, last = (n.removeprefix("month=") for n in (names[0], names[-1]))
-    return ticks.parquet(folder).where(F.col("month").between(first, last))
+    ticks = ticks.parquet(folder).where(F.col("month").between(first, last))
+    return ticks if symbol is None else ticks.where(F.col(SYMBOL) == clean_symbol(symbol))
 
 
 def latest_months(df: DataFrame, months: int | None, month: str = "month") -> DataFrame:
@@ -88,25 +100,9 @@ def normalize_ticks(df: DataFrame) -> DataFrame:
     return ensure_utc_timestamp(require_columns(renamed).select(*carried, *TICK_COLUMNS))
 
 
-def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Name and size of every parquet file below ``folder``; contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path", "length")
-    )
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.bround(F.col("length") / 1024**2, 2).alias("size_mb"),
-        F.col("length").alias("bytes"),
-    )
-
-
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The month ledger; absent or broken entries read as no entry."""
-    if not _list(spark, path):
+    if not file_names(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
     rows = spark.read.schema(LEDGER_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     return rows.where("month is not null")

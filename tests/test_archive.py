@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import archive as A
+from barloom.sources import read_ticks, replace_months, write_ticks
 
 NOW = datetime(2024, 3, 15)
 
@@ -106,3 +107,30 @@ def test_upsert_pending_and_totals(spark):
     assert [tuple(r) for r in A.pending_months(months, ledger).collect()] == [("B", "2024-01")]
     assert A.pending_months(months, ledger, force=True).count() == 3
     assert tuple(A.archive_totals(ledger).first()) == (19, 9, 1)
+
+
+def test_absent_months_are_missed_and_repaired(spark, make_ticks, tmp_path):
+    def tick(month, hour, symbol="A", day=2):
+        return (symbol, datetime(2024, month, day, hour), hour, 1.0, 0.9, 1.0, 1.0)
+
+    base = make_ticks([tick(1, 1), tick(3, 1), tick(3, 2, "B")])
+    months = A.symbol_months(base.where("symbol = 'A'"), A.enumerate_months(spark, (2024, 1), (2024, 3), datetime(2024, 5, 1)))
+    assert months.count() == 3
+    ledger = {r["month"]: r for r in A.month_ledger(base, datetime(2024, 5, 1), "crypto", months=months).collect()}
+    assert {m: r["rows"] for m, r in ledger.items()} == {"2024-01": 1, "2024-02": 0, "2024-03": 1}
+    assert ledger["2024-02"]["missing_hours"] == 29 * 24
+    totals = A.archive_totals(A.month_ledger(base, datetime(2024, 5, 1), "crypto", months=months)).first()
+    assert (totals["total_rows"], totals["total_errors"]) == (2, 1)
+
+    patches = make_ticks([tick(2, 5), tick(1, 1, day=2), tick(3, 9), tick(4, 1)])
+    complete = spark.createDataFrame([("A", "2024-03", 1, 0, 0)], "symbol string, month string, rows bigint, missing_hours bigint, confirmed_absent bigint")
+    folder = str(tmp_path / "archive")
+    write_ticks(base, folder)
+    fixed = A.repair_months(read_ticks(spark, folder), patches, months, complete, "crypto")
+    assert {(r["symbol"], r["month"]) for r in fixed.collect()} == {("A", "2024-02")}
+    forced = A.repair_months(read_ticks(spark, folder), patches, months, complete, "crypto", force=True)
+    assert {(r["symbol"], r["month"], r["seq"]) for r in forced.collect()} == {
+        ("A", "2024-02", 5), ("A", "2024-03", 1), ("B", "2024-03", 2), ("A", "2024-03", 9),
+    }
+    replace_months(forced.drop("month"), folder)
+    assert read_ticks(spark, folder).count() == 5

@@ -48,7 +48,7 @@ def test_hold_must_be_positive(make_bars):
 
 
 def test_positions_outside_the_domain_fail(make_bars):
-    with pytest.raises(Exception, match="positions must contain only"):
+    with pytest.raises(Exception, match="cannot be traded"):
         B.run_signal_backtest(make_bars([1.0, 2.0], signal=[1, 0])).collect()
 
 
@@ -165,3 +165,10 @@ def test_unlabelled_bars_have_no_prediction(make_bars):
     rows = B.predictions_table(curve, labeled, "signal").orderBy("bar_start").collect()
     assert [r["prediction"] for r in rows] == [1, None, 1, None]
     assert rows[0]["bar_pnl_usd"] == 0.0
+
+
+def test_series_without_trades_have_a_summary_of_zeros(spark, make_bars):
+    curve = curve_of(make_bars([100.0, 110.0, 100.0], signal=[1, -1, 1]), initial_balance=100.0)
+    trades = B.extract_trades(curve).withColumn("symbol", F.lit("B"))
+    row = B.trade_summary(trades, curve=curve).first()
+    assert row["symbol"] == "A" and {row[c] for c in row.asDict() if c != "symbol"} == {0}

@@ -27,6 +27,14 @@ def test_equal_timestamps_are_ordered_by_seq(make_ticks):
     assert (bar["open"], bar["close"]) == (103.0, 109.0)
 
 
+@pytest.mark.parametrize("edge", [2**21, 2**31, 2**62])
+@pytest.mark.parametrize("timeframe", ["1h", "1d", "1mo", "1y"])
+def test_equal_timestamps_keep_the_order_of_any_seq(make_ticks, timeframe, edge):
+    rows = [tick(5, 22.0, seq=edge), tick(5, 11.0, seq=edge - 1), tick(5, 10.0, seq=-1)]
+    bar = build_bars(make_ticks(rows), timeframe).first()
+    assert (round(bar["open"], 6), round(bar["close"], 6)) == (10.0, 22.0)
+
+
 def test_null_at_the_open_drops_the_bar(make_ticks):
     missing = ("A", T0, 0, None, 100.0, 1.0, 1.0)
     ticks = make_ticks([missing, tick(10, 100.0), tick(3600, 100.0)])

@@ -1,17 +1,15 @@
 import pytest
 
-from barloom.operators.folds import number_rows, purged_folds, purged_train_rows, test_bounds as bounds_of
+from barloom.operators.folds import fold_bounds, fold_rows, number_rows, purged_folds
 from barloom.operators.labels import (
-    apply_labels,
     assign_future_return_labels,
     chronological_split,
-    compute_test_start,
     label_counts,
     label_distribution,
 )
 from barloom.operators.series import index_series
-from barloom.config import EngineConfig
-from barloom.plans.dataset import build_labeled_dataset
+from barloom.plans.dataset import checked_views, label_and_split
+from barloom.session import materialize
 
 
 def labelled(df, *columns):
@@ -26,7 +24,7 @@ def test_labels_from_the_next_bar(make_bars):
 
 
 def test_small_moves_are_dropped_and_events_keep_bar_positions(make_bars):
-    got = apply_labels(make_bars([100.0, 100.01, 99.0, 101.0]), horizon=1, threshold=0.0005, max_gap_hours=999.0)
+    got = assign_future_return_labels(make_bars([100.0, 100.01, 99.0, 101.0]), horizon=1, threshold=0.0005, max_gap_hours=999.0)
     assert labelled(got, "label", "event_start", "event_end") == [(-1, 1, 2), (1, 2, 3)]
 
 
@@ -71,7 +69,6 @@ def test_label_distribution(spark, labels, expected):
 
 
 def test_split_positions(make_bars):
-    assert compute_test_start(800, 4) == 804
     parts = chronological_split(index_series(make_bars([100.0 + i * 0.1 for i in range(80)])))
     got = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}
     assert got == {"train": 64, "purge": 4, "test": 12}
@@ -80,7 +77,7 @@ def test_split_positions(make_bars):
 
 
 def test_dataset_frames(long_bars):
-    data = build_labeled_dataset(long_bars)
+    data = checked_views(materialize(label_and_split(long_bars), "labeled"))
     assert data.featured.count() == 2670
     assert "label" not in data.test_continuous.columns
     train = data.train.where("symbol = 'LONG'").toPandas()
@@ -93,8 +90,8 @@ def test_dataset_frames(long_bars):
 
 
 def test_empty_dataset_is_an_error(make_bars):
-    with pytest.raises(ValueError):
-        build_labeled_dataset(make_bars([100.0] * 10), EngineConfig())
+    with pytest.raises(ValueError, match="more ticks"):
+        checked_views(label_and_split(make_bars([100.0] * 10)))
 
 
 def events(spark, pairs):
@@ -105,10 +102,10 @@ def events(spark, pairs):
 
 
 def test_purge_removes_overlapping_rows(spark):
-    df = events(spark, [(0, 1), (2, 6), (5, 9), (8, 12)])
-    bounds = bounds_of(df.where("row = 1"), ["symbol"])
-    got = purged_train_rows(df.where("row <> 1"), bounds, ["symbol"])
-    assert sorted(r["row"] for r in got.collect()) == [0, 3]
+    df = events(spark, [(0, 1), (2, 6), (4, 5), (8, 12)])
+    bounds = fold_bounds(df, 1)
+    assert [(r["_first"], r["_test_from"], r["_test_to"]) for r in bounds.collect()] == [(2, 4, 12)]
+    assert [r["row"] for r in fold_rows(df, bounds, "train").collect()] == [0]
 
 
 def reference_folds(es, ee, k):
@@ -139,6 +136,6 @@ def test_folds_match_a_plain_loop(spark, n, h, k):
 
 
 def test_rows_are_numbered_among_labelled_rows(make_bars):
-    got = apply_labels(make_bars([100.0, 100.01, 99.0, 101.0]), horizon=1, threshold=0.0005, max_gap_hours=9.0)
+    got = assign_future_return_labels(make_bars([100.0, 100.01, 99.0, 101.0]), horizon=1, threshold=0.0005, max_gap_hours=9.0)
     numbered = number_rows(got).orderBy("row").collect()
     assert [(r["row"], r["n_rows"], r["event_start"]) for r in numbered] == [(0, 2, 1), (1, 2, 2)]

@@ -13,7 +13,7 @@ from barloom.operators.profile import (
     tick_overview,
     tick_quality,
 )
-from barloom.operators.quantiles import LINEAR, NEAREST, approximate_quantiles, exact_quantiles
+from barloom.operators.quantiles import LINEAR, NEAREST, exact_quantiles
 from datetime import timedelta
 from tests.conftest import T0
 
@@ -58,12 +58,6 @@ def test_infinities_and_nulls(spark):
     assert [got[f"q{i}"] for i in range(6)] == [-inf, -inf, 1.0, 2.0, 3.0, inf]
 
 
-def test_sketch_is_close(spark):
-    df = spark.range(100_000).selectExpr("'A' as symbol", "cast(id as double) as v")
-    row = approximate_quantiles(df, "v", {"p50": 0.5, "p99": 0.99}).first()
-    assert row["p50"] == pytest.approx(50_000, rel=1e-3) and row["p99"] == pytest.approx(99_000, rel=1e-3)
-
-
 def test_quantiles_do_not_hold_a_group_in_one_buffer(spark):
     df = spark.range(10).selectExpr("'A' as symbol", "cast(id as double) as v")
     plan = exact_quantiles(df, "v", {"p50": (0.5, NEAREST)})._jdf.queryExecution().executedPlan().toString()
@@ -123,3 +117,9 @@ def test_histogram_includes_the_top_edge(spark):
     rows = {r["bin"]: r["rows"] for r in histogram(df, "v", bins=10).collect()}
     counts, _ = np.histogram([0, 1, 2, 9, 10, 10], bins=10)
     assert rows == {i: int(n) for i, n in enumerate(counts) if n}
+
+
+def test_histogram_holds_finite_values_only(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([("A", v) for v in (1.0, 2.0, inf, -inf, nan, None)], "symbol string, v double")
+    assert {(r["bin"], r["rows"]) for r in histogram(df, "v", bins=2).collect()} == {(0, 1), (1, 1)}

@@ -67,3 +67,29 @@ def test_results_do_not_depend_on_shuffle_partitions(spark, long_bars):
         totals.add((row[0], round(row[1], 6), round(row[2], 12)))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert len(totals) == 1
+
+
+def exchanges_of(plan, key):
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and key in line]
+
+
+def test_blocks_are_dealt_once(spark, long_bars):
+    """One exchange by block serves the held position, its lags and every step of the averages."""
+    plans = [plan_of(catalog.RAW[name](spark, SF)) for name in ("ema_macd", "all_features")]
+    plans.append(plan_of(backtest.bar_returns(index_series(long_bars.drop("idx")), hold_bars=4)))
+    for plan in plans:
+        assert len(exchanges_of(plan, "block#")) == 1, plan
+
+
+def test_averages_do_not_depend_on_the_order_of_rows(spark, long_bars):
+    from barloom.operators.indicators import TREND, add_groups
+
+    def averages(bars):
+        rows = add_groups(index_series(bars), (TREND,), 4096).orderBy("symbol", "idx")
+        return rows.select("symbol", "idx", "ema_12", "ema_26").collect()
+
+    bars = long_bars.drop("idx")
+    once = averages(bars.coalesce(1))
+    assert len(once) == 2670 and max(r["idx"] for r in once) > 3 * 512
+    for seed in (1, 2):
+        assert averages(bars.orderBy(F.rand(seed)).repartition(7)) == once

@@ -1,15 +1,15 @@
 import json
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators.bars import build_bars
 from barloom.schema import require_columns, schema_report
 from barloom import session
 from barloom.session import materialize, workspace
 from barloom.sources import (
-    file_inventory,
     latest_months,
     list_months,
     month_range_label,
@@ -64,11 +64,13 @@ def test_flat_month_files(spark, ticks, tmp_path):
         part.rename(tmp_path / "flat" / f"{month}.parquet")
     folder = str(tmp_path / "flat")
     assert list_months(spark, folder) == ["2023-11.parquet", "2023-12.parquet"]
-    assert read_ticks(spark, folder, months=1).count() == 80
+    with pytest.raises(ValueError, match="symbol"):
+        read_ticks(spark, folder)
+    latest = read_ticks(spark, folder, months=1, symbol="eur/usd")
+    assert latest.count() == 80 and {r["symbol"] for r in latest.collect()} == {"EURUSD"}
+    assert build_bars(latest, "1d").count() > 1 and latest.select("seq").distinct().count() == 80
     (tmp_path / "flat" / "2023-10.parquet").write_bytes(b"not parquet")
-    assert read_ticks(spark, folder, skip_corrupt=True).count() == 120
-    names = {r["file"] for r in file_inventory(spark, folder).collect()}
-    assert names == {"2023-10.parquet", "2023-11.parquet", "2023-12.parquet"}
+    assert read_ticks(spark, folder, skip_corrupt=True, symbol="A").count() == 120
 
 
 def test_empty_folder_is_an_error(spark, tmp_path):
@@ -123,22 +125,42 @@ def test_work_tables_live_in_the_shared_folder(spark):
     assert df.count() == 3 and workspace(spark) in df.inputFiles()[0].replace("file://", "")
 
 
-def test_drop_workspace(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(session, "workspace", lambda _: str(tmp_path / "work"))
+def test_tables_go_with_their_scope(spark):
+    outside = materialize(spark.range(3).toDF("x"), "probe")
+    with session.work_scope(spark) as path:
+        inside = materialize(spark.range(2).toDF("x"), "probe")
+        assert path in inside.inputFiles()[0].replace("file://", "") and inside.count() == 2
+    assert not session.file_names(spark, path) and outside.count() == 3
+
+
+def test_dropped_work_folders_are_not_used_again(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "_root", lambda _: str(tmp_path))
+    before = workspace(spark)
     materialize(spark.range(3).toDF("x"), "probe")
-    assert (tmp_path / "work").exists()
     session.drop_workspace(spark)
-    assert not (tmp_path / "work").exists()
+    assert not list(tmp_path.iterdir()) and workspace(spark) != before
 
 
-def test_private_work_folder_only_without_the_setting():
+def test_private_work_folder_for_local_sessions_only():
     class Conf:
         def get(self, key, default):
             return default
 
-    class Spark:
-        conf = Conf()
-        sparkContext = type("Context", (), {"applicationId": "app-without-setting"})
+    def fake(master, folder=None):
+        context = type("Context", (), {"applicationId": "app-" + master, "master": master, "getCheckpointDir": lambda self: folder})
+        return type("Spark", (), {"conf": Conf(), "sparkContext": context()})()
+
+    assert workspace(fake("local[4]")) == workspace(fake("local[4]"))
+    assert workspace(fake("yarn", "hdfs://shared/")).startswith("hdfs://shared/barloom-")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="share"):
+            workspace(fake(master))
+
 
-    first = workspace(Spark())
-    assert first == workspace(Spark()) and first.endswith("barloom-app-without-setting")
+def test_bars_are_cut_in_utc_under_any_session_zone(spark, ticks):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        month = build_bars(ticks, "1mo").orderBy("bar_start").selectExpr("unix_seconds(bar_start) s").first()["s"]
+        assert month == int(datetime(2023, 11, 1, tzinfo=timezone.utc).timestamp())
+    finally:
+        session.prepare_session(spark)

@@ -4,11 +4,10 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from barloom import config as C
 from barloom.operators.kernel import FourierFeatures
 from barloom.plans import run, stacking
 from barloom.plans.dataset import label_and_split, split_views
-from barloom.plans.stacking import LOGISTIC, StackingClassifier, logistic_pipeline
+from barloom.plans.stacking import LOGISTIC, StackingClassifier, TrainingOptions, logistic_pipeline
 from barloom.session import materialize
 
 
@@ -23,16 +22,16 @@ def one_feature(prefix):
 
 @pytest.fixture(scope="module")
 def everything(long_bars):
-    return materialize(label_and_split(long_bars.drop("signal"), C.EngineConfig()), "labeled")
+    return materialize(label_and_split(long_bars.drop("signal")), "labeled")
 
 
 @pytest.fixture(scope="module")
 def fitted(everything):
     data = split_views(everything)
-    config = C.EngineConfig(cv_splits=3)
-    model = StackingClassifier(config, {LOGISTIC: logistic_pipeline, "two": one_feature("two")})
+    options = run.RunOptions(training=TrainingOptions(folds=3))
+    model = StackingClassifier(options.training, {LOGISTIC: logistic_pipeline, "two": one_feature("two")})
     model.fit(materialize(data.train, "train"))
-    return config, data, model
+    return options, data, model
 
 
 def test_oof_covers_each_tested_row_once(fitted):
@@ -46,7 +45,7 @@ def test_oof_covers_each_tested_row_once(fitted):
 
 
 def test_probabilities_sum_to_one_and_signals_are_binary(fitted):
-    config, data, model = fitted
+    options, data, model = fitted
     scored = run.score_test(model, data)
     rows = scored.toPandas()
     np.testing.assert_allclose(rows.p_sell + rows.p_buy, 1.0)
@@ -54,8 +53,8 @@ def test_probabilities_sum_to_one_and_signals_are_binary(fitted):
 
 
 def test_run_outputs(spark, everything, fitted, tmp_path):
-    config, data, model = fitted
-    out = run.evaluate(everything, data, model, config)
+    options, data, model = fitted
+    out = run.evaluate(everything, data, model, options)
     table = run.metric_table(out)
     assert [r["model"] for r in table.collect()] == [
         "naive_majority", "naive_random_prior", "naive_momentum_return_4", "naive_buy_only",
@@ -66,14 +65,14 @@ def test_run_outputs(spark, everything, fitted, tmp_path):
     assert names == {"predictions", "trades", "backtest_metrics", "baseline_metrics", "feature_importance"}
     doc = spark.read.json(str(tmp_path / "run_data"))
     row = doc.where("symbol = 'LONG'").first()
-    assert row["backtest"]["trades"] > 0 and row["config"]["cv_splits"] == 3
+    assert row["backtest"]["trades"] > 0 and row["options"]["training"]["folds"] == 3
     assert row["dataset"]["train"]["rows"] == data.train.where("symbol = 'LONG'").count()
     assert set(row["active_models"]) == {LOGISTIC, "two"}
 
 
 def test_one_class_train_has_no_active_model_and_even_odds(fitted):
     _, data, _ = fitted
-    model = StackingClassifier(C.EngineConfig(cv_splits=3), {LOGISTIC: logistic_pipeline})
+    model = StackingClassifier(TrainingOptions(folds=3), {LOGISTIC: logistic_pipeline})
     model.fit(materialize(data.train.where("label = 1 and symbol = 'LONG'"), "buys"))
     assert model.active == {} and model.meta is None
     assert {r["p_logistic_regression"] for r in model.oof.collect()} == {1.0}
@@ -81,8 +80,8 @@ def test_one_class_train_has_no_active_model_and_even_odds(fitted):
 
 
 def test_without_meta_the_bases_are_averaged(fitted):
-    config, data, model = fitted
-    plain = StackingClassifier(config, model.base_models)
+    options, data, model = fitted
+    plain = StackingClassifier(options.training, model.base_models)
     plain.active = model.active
     rows = plain.predict_proba(data.test_labeled).toPandas()
     np.testing.assert_allclose(rows.p_buy, (rows[f"p_{LOGISTIC}"] + rows["p_two"]) / 2)
