@@ -91,7 +91,9 @@ def page_languages(spark, sf_dir):
 
 @query
 def op9_lm_scores(spark, sf_dir):
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    scored = lm.score_documents(table(spark, sf_dir, "documents"))
+    rounded = {c: F.round(c, 4) + F.lit(0.0) for c in ("log_score", "mean_log_score")}
+    return scored.withColumns(rounded)
 
 
 def domain_labels(spark, sf_dir, docs):
