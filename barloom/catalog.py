@@ -281,7 +281,7 @@ def _(spark, sf):
         "p99_future_return": (0.99, NEAREST),
         "max_future_return": (1.0, NEAREST),
     }
-    return exact_quantiles(_labels(spark, sf), "future_return", spots)
+    return exact_quantiles(materialize(_labels(spark, sf), "labels"), "future_return", spots)
 
 
 @query("chrono_split")

@@ -105,7 +105,7 @@ def bar_gaps(bars: DataFrame) -> DataFrame:
 
 def gap_summary(gaps: DataFrame, by: Sequence[str] = (SYMBOL,)) -> DataFrame:
     return exact_quantiles(
-        gaps,
+        materialize(gaps.select(*by, "gap_us"), "gaps"),
         "gap_us",
         {
             "min_gap": (0.0, NEAREST),

@@ -1,11 +1,11 @@
-"""Exact quantiles by rank, without one task holding all values.
+"""Exact quantiles by rank, without one task holding all values and without shuffling them.
 
 The built-in exact percentile keeps every distinct value of a group in one
-buffer. Here equal values are first counted (map-side). A sketch of the distinct
-values gives splitters, the range between two splitters is cut into equal cells,
-and a histogram over the cells locates each wanted rank. Only the values of the
-cells that hold a wanted rank are ordered. The sketch decides how well the cells
-are balanced, never what the answer is.
+buffer. Here a sketch of the values gives splitters, the range between two
+splitters is cut into equal cells, and a histogram over the cells (combined map-side)
+locates each wanted rank. Only the values of the cells that hold a wanted rank are
+shuffled and ordered; a cell that is too full is cut the same way again. The sketch
+decides how well the cells are balanced, never what the answer is.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from barloom.session import materialize
 TAIL = [0.0001, 0.001, 0.01]
 SPLITTERS = [*TAIL, *[i / 16 for i in range(1, 16)], *[1 - q for q in reversed(TAIL)]]
 CELLS = 1024  # per range between splitters
+FULL_CELL = 1_000_000  # rows of different values that one task may order
+DEPTHS = 4
 NEAREST, LINEAR = "nearest", "linear"
 
 
@@ -50,6 +52,12 @@ def _cell(x: Column, edges: Column) -> Column:
     return F.when(F.isnan(x), top + 1).when(x == F.lit(float("inf")), top).otherwise(cell)
 
 
+def _edges(x: Column) -> Column:
+    """Least, splitting and largest finite values, from one mergeable sketch."""
+    finite = F.when(is_finite(x), x)
+    return F.concat(F.array(F.min(finite)), F.percentile_approx(finite, SPLITTERS, 10_000), F.array(F.max(finite)))
+
+
 def with_cells(counts: DataFrame, by: Sequence[str], x: str, n: str) -> DataFrame:
     """Add ``_cell``, which rises with ``x`` and splits each group evenly, and ``_total``.
 
@@ -58,19 +66,32 @@ def with_cells(counts: DataFrame, by: Sequence[str], x: str, n: str) -> DataFram
     brings them back can be a broadcast by measured size.
     """
     number = F.col(x).cast("double")
-    finite = F.when(is_finite(number), number)
-    groups = counts.groupBy(*by).agg(
-        F.sum(n).alias("_total"),
-        F.concat(
-            F.array(F.min(finite)),
-            F.percentile_approx(finite, SPLITTERS, 10_000),
-            F.array(F.max(finite)),
-        ).alias("_edges"),
-    )
+    groups = counts.groupBy(*by).agg(F.sum(n).alias("_total"), _edges(number).alias("_edges"))
     cell = F.coalesce(_cell(number, F.col("_edges")), F.lit(0)).alias("_cell")
     return counts.join(materialize(groups, "splitters"), list(by)).select(*counts.columns, "_total", cell)
 
 
+def _locate(rows: DataFrame, groups: DataFrame, key: Sequence[str], cell: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the cells that hold a wanted rank, and those cells.
+
+    ``groups`` has the edges of each ``key``, its wanted ranks and the rows before it.
+    """
+    number = F.col("_x").cast("double")
+    placed = rows.join(groups.select(*key, "_edges"), list(key))
+    placed = placed.select(*rows.columns, F.coalesce(_cell(number, F.col("_edges")), F.lit(0)).alias(cell))
+    earlier = Window.partitionBy(*key).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    histogram = placed.groupBy(*key, cell).agg(
+        F.count(F.lit(1)).alias("_rows"), (F.min("_x") < F.max("_x")).alias("_mixed")
+    )
+    found = histogram.withColumn("_within", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    found = found.join(groups.select(*key, "_total", "_ranks", "_before"), list(key))
+    found = found.withColumn("_before", F.col("_before") + F.col("_within"))
+    here = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rows")))
+    found = found.withColumn("_ranks", here).where(F.size("_ranks") > 0).drop("_within")
+    cells = materialize(found, "wanted-cells")
+    return placed.join(cells.select(*key, cell), [*key, cell], "left_semi"), cells
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -79,37 +100,32 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with a column for each ``name: (q, interpolation)``.
 
-    ``df`` is evaluated once: its value counts are stored, and the later passes
-    read that table.
+    ``df`` is read three times, and once more per refinement: pass a stored table or a
+    plain scan. Groups without a value that is not NULL have no row.
     """
     by = list(by)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cells = with_cells(materialize(counts, "value_counts"), by, "_x", "_n")
-
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_x"))
     wanted = [r for q, how in quantiles.values() for r in _ranks(q, how)]
-    earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    located = (
-        cells.groupBy(*by, "_cell")
-        .agg(F.sum("_n").alias("_rows"), F.max("_total").alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .withColumn(
-            "_ranks",
-            F.filter(
-                F.array_distinct(F.array(*wanted)),
-                lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rows")),
-            ),
-        )
-        .where(F.size("_ranks") > 0)
-        .select(*by, "_cell", "_before", "_ranks")
-    )
-
-    in_cell = Window.partitionBy(*by, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.col("_x").cast("double")
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"), _edges(number).alias("_edges"))
+    groups = groups.withColumns({"_ranks": F.array_distinct(F.array(*wanted)), "_before": F.lit(0).cast("bigint")})
+    groups = materialize(groups, "splitters")
+    key = list(by)
+    for depth in range(DEPTHS):
+        cell = f"_cell_{depth}"
+        rows, cells = _locate(rows, groups, key, cell)
+        key.append(cell)
+        fullest = cells.where("_mixed").agg(F.max("_rows")).first()[0] or 0
+        if fullest <= FULL_CELL:
+            break
+        cut = rows.groupBy(*key).agg(_edges(number).alias("_edges"))
+        groups = materialize(cells.select(*key, "_total", "_ranks", "_before").join(cut, key), "splitters")
+
+    in_cell = Window.partitionBy(*key).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     at_rank = (
-        cells.join(located, [*by, "_cell"])
+        rows.groupBy(*key, "_x")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .join(cells.select(*key, "_total", "_ranks", "_before"), key)
         .withColumn("_end", F.col("_before") + F.sum("_n").over(in_cell))
         .withColumn("_rank", F.explode("_ranks"))
         .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))

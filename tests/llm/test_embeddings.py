@@ -56,8 +56,10 @@ def test_codes_never_hide_a_neighbour():
     visits = q.probes(points, own)
     for of_list in range(len(q.centers)):
         members = np.flatnonzero(own == of_list)
-        tables = q.tables(points, of_list)
-        near = sum(tables[:, m, :][:, codes[members, m]] for m in range(codes.shape[1]))
+        norms = q.norms(of_list, codes[members])
+        near = q.distances(points, q.tables(points), of_list, codes[members], norms)
+        read = q.books[np.arange(codes.shape[1]), codes[members]].reshape(len(members), -1)[:, :30] + q.centers[of_list]
+        assert np.allclose(near, ((points[:, None] - read[None]) ** 2).sum(axis=2), atol=1e-5)
         close = points @ points[members].T >= 0.95
-        assert (near <= (q.radius + error[members] + 1e-9) ** 2)[close].all()
+        assert (near <= (q.radius + error[members] + E.TABLE_ERROR) ** 2)[close].all()
         assert visits[:, of_list][close.any(axis=1)].mean() >= 0.99 if close.any() else True

@@ -59,7 +59,7 @@ def test_infinities_and_nulls(spark):
 
 
 def test_quantiles_do_not_hold_a_group_in_one_buffer(spark):
-    df = spark.range(10).selectExpr("'A' as symbol", "cast(id as double) as v")
+    df = spark.range(10).selectExpr("if(id < 0, 'B', 'A') as symbol", "cast(id as double) as v")
     plan = exact_quantiles(df, "v", {"p50": (0.5, NEAREST)})._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
@@ -123,3 +123,27 @@ def test_histogram_holds_finite_values_only(spark):
     inf, nan = float("inf"), float("nan")
     df = spark.createDataFrame([("A", v) for v in (1.0, 2.0, inf, -inf, nan, None)], "symbol string, v double")
     assert {(r["bin"], r["rows"]) for r in histogram(df, "v", bins=2).collect()} == {(0, 1), (1, 1)}
+
+
+def test_crowded_cells_are_cut_again(spark, monkeypatch):
+    from barloom.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "FULL_CELL", 20)
+    values = [1e9, -1e9, *[float(i) for i in range(3)], *[0.5 + i * 1e-9 for i in range(3000)], *[7.0] * 500]
+    df = spark.createDataFrame([(s, v) for s in "AB" for v in values], "symbol string, v double").repartition(5)
+    spots = {"p10": (0.1, NEAREST), "p50": (0.5, LINEAR), "p99": (0.99, NEAREST), "max": (1.0, NEAREST)}
+    ordered = sorted(values)
+    n = len(values) - 1
+    low = int(n * 0.5)
+    mid = ordered[low] + (ordered[min(low + 1, n)] - ordered[low]) * (n * 0.5 - low)
+    for r in exact_quantiles(df, "v", spots).collect():
+        assert (r["p10"], r["p99"], r["max"]) == (ordered[int(n * 0.1 + 0.5)], ordered[int(n * 0.99 + 0.5)], 1e9)
+        assert r["p50"] == pytest.approx(mid, abs=1e-15)
+
+
+def test_only_wanted_cells_are_shuffled_by_value(spark):
+    df = spark.range(200_000).selectExpr("'A' as symbol", "cast(id as double) as v")
+    out = exact_quantiles(df, "v", {"p50": (0.5, NEAREST)})
+    assert out.first()["p50"] == 100_000.0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "value_counts" not in plan
