@@ -27,6 +27,7 @@ from barloom.session import materialize
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.1
+MOST_LANGUAGES = 500
 #: Trigrams of a text stop counting as independent; so many count in full at most.
 EFFECTIVE_TRIGRAMS = 200.0
 BACKGROUND = "und"
@@ -82,7 +83,9 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     labelled = docs.select(F.col(text_col).alias("text"), F.lower(lang_col).alias("lang")).where(
         "text is not null and lang is not null and lang != ''"
     )
-    languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    languages = sorted(r.lang for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"labels name more than {MOST_LANGUAGES} languages")
     place = {lang: i for i, lang in enumerate(languages)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,4 @@
-"""Sends this package to the Python workers."""
+"""Sends this package to the Python workers and keeps their batches small."""
 
 from __future__ import annotations
 
@@ -9,11 +9,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of one Arrow batch: whole texts and sets are long.
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Adds the package to the application's Python files, once. Workers import it from there."""
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parents[1]
