@@ -1,7 +1,7 @@
 """Document rates that bring the expected tokens of each domain to target weights.
 
-1. A labelled table trains a naive Bayes classifier on hashed words and word endings; it gives every
-   document a posterior over the domains. Its counts and scores are joins and sums.
+1. A labelled table trains a naive Bayes classifier on words and word endings that tell domains
+   apart; it gives every document a posterior over the domains. Its counts and scores are joins and sums.
 2. The expected tokens of domain k are the sum of rate * tokens * posterior_k over all documents.
    Projected gradient descent fits nonnegative rates by least squares against the
    targets. A step needs the residual of each domain, a handful of sums over all documents;
@@ -20,78 +20,83 @@ from pyspark.sql import functions as F
 from barloom.llm.sampling import hash_sample
 from barloom.session import materialize
 
-BUCKETS = 1 << 14
-SMOOTHING = 0.5
 ENDING_CHARS = 3
-EFFECTIVE_WORDS = 300.0
 #: Labelled documents that the classifier is fitted on, chosen by a hash of their ids.
 FIT_DOCUMENTS = 20_000
+#: A feature counts as if so many more documents had it, dealt over the domains as all documents are.
+SHRINKAGE = 5.0
+LEAST_SHARE = 0.8
+LEAST_LIFT = 0.4
+SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MOST_FEATURES = 50_000
+EFFECTIVE_FEATURES = 20.0
 MOST_DOMAINS = 100
 STEPS = 64
 STEPS_PER_TABLE = 8
 TOLERANCE = 1e-4
 
 
-def _words(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per word, an empty one for a text without words; two features each."""
-    word = F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("word")
-    ending = F.right("word", F.lit(ENDING_CHARS))
-    return docs.select(*keep, word).select(
-        *keep,
-        (F.col("word") != "").alias("is_word"),
-        F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("whole"),
-        (F.pmod(F.xxhash64(ending), F.lit(BUCKETS)) + BUCKETS).cast("int").alias("ending"),
-    )
-
-
-def _either(features: list[Column]) -> Column:
-    return F.explode(F.array(*features)).alias("bucket")
+def _features(text: Column) -> Column:
+    """Distinct words of a text in lower case without symbols around them, and distinct endings behind a mark."""
+    given = F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
+    words = F.transform(given, lambda w: F.btrim(w, F.lit(SYMBOLS)))
+    endings = F.transform(given, lambda w: F.concat(F.lit("\u0001"), F.right(w, F.lit(ENDING_CHARS))))
+    return F.concat(F.array_remove(F.array_distinct(words), ""), F.array_distinct(endings))
 
 
 class DomainClassifier:
-    """Naive Bayes: ``table`` has a row per bucket, with one log rate per domain."""
+    """Naive Bayes: ``table`` has the features worth asking for, with one log lift per domain."""
 
     def __init__(self, domains: list[str], priors: list[float], table: DataFrame):
         self.domains, self.priors, self.table = domains, priors, table
 
 
 def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", id_col: str = "doc_id") -> DomainClassifier:
-    """Fits on about ``FIT_DOCUMENTS`` rows of ``labelled`` at most; null texts and domains are left out."""
+    """Fits on about ``FIT_DOCUMENTS`` rows of ``labelled`` at most; null texts and domains are left out.
+
+    The log lift of a feature is that of the domain's share among the documents that have it over
+    its share among all, drawn towards 0 for rare features. Only features are kept of which some domain has
+    ``LEAST_SHARE`` of the documents and a log lift of ``LEAST_LIFT``, at most ``MOST_FEATURES`` of them.
+    Equal texts of one domain count once, so copies are no evidence.
+    """
     rows = labelled.select(
         F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain")
     ).where("text is not null and domain is not null")
-    sizes = rows.groupBy("domain").count().orderBy("domain").limit(MOST_DOMAINS + 1).collect()
+    sample = hash_sample(rows, FIT_DOCUMENTS, "doc").withColumn("digest", F.md5("text"))
+    sample = materialize(sample.dropDuplicates(["digest", "domain"]), "labelled-sample")
+    sizes = sample.groupBy("domain").count().orderBy("domain").limit(MOST_DOMAINS + 1).collect()
     if not sizes or len(sizes) > MOST_DOMAINS:
         raise ValueError(f"labelled documents of 1 to {MOST_DOMAINS} domains are needed")
     domains, total = [r.domain for r in sizes], sum(r["count"] for r in sizes)
-    sample = materialize(hash_sample(rows, FIT_DOCUMENTS, "doc"), "labelled-sample")
-    words = _words(sample.repartition("doc", "domain"), "domain").where("is_word")
-    of_domain = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)]
-    counts = words.select("domain", _either([F.col("whole"), F.col("ending")])).groupBy("bucket").agg(*of_domain)
-    counts = materialize(counts, "domain-counts")
-    sums = counts.where(F.col("bucket") < BUCKETS).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(domains))]).first()
-    every = sample.sparkSession.range(2 * BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    rate = [
-        F.log((F.coalesce(f"c{k}", F.lit(0)) + SMOOTHING) / ((sums[k] or 0) + SMOOTHING * BUCKETS)).alias(f"l{k}")
-        for k in range(len(domains))
+    priors = [r["count"] / total for r in sizes]
+    having = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)]
+    counts = sample.select("domain", F.explode(_features(F.col("text"))).alias("feature")).groupBy("feature")
+    counts = counts.agg(F.count(F.lit(1)).alias("n"), *having)
+    lift = [
+        F.log((F.col(f"c{k}") + SHRINKAGE * p) / (F.col("n") + SHRINKAGE) / p).alias(f"l{k}") for k, p in enumerate(priors)
     ]
-    table = materialize(every.join(counts, "bucket", "left").select("bucket", *rate), "domain-rates")
-    return DomainClassifier(domains, [r["count"] / total for r in sizes], table)
+    lifts = counts.select("feature", "n", *lift)
+    bars = [max(LEAST_LIFT, math.log(LEAST_SHARE / p)) for p in priors]
+    strength = F.greatest(F.lit(0.0), *[F.when(F.col(f"l{k}") >= bar, F.col(f"l{k}")) for k, bar in enumerate(bars)])
+    kept = lifts.where(strength > 0).orderBy(strength.desc(), F.desc("n"), "feature").limit(MOST_FEATURES)
+    return DomainClassifier(domains, priors, materialize(kept.drop("n"), "domain-features"))
 
 
 def domain_posteriors(docs: DataFrame, model: DomainClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc, n_tokens, p0 ... pk) of every row; the priors for a text without words."""
+    """(row, doc, n_tokens, p0 ... pk) of every row; the priors for a text without features that tell."""
     ks = range(len(model.domains))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    words = _words(texts.withColumn("row", F.monotonically_increasing_id()), "row", "doc")
-    for feature in ("whole", "ending"):
-        rates = model.table.select(F.col("bucket").alias(feature), *[F.col(f"l{k}").alias(f"{feature}{k}") for k in ks])
-        words = words.join(F.broadcast(rates), feature)  # 2 * BUCKETS rows at most
-    part = [F.sum(F.when(F.col("is_word"), F.col(f"whole{k}") + F.col(f"ending{k}")).otherwise(0.0)).alias(f"s{k}") for k in ks]
-    summed = words.groupBy("row", "doc").agg(F.count(F.when(F.col("is_word"), 1)).alias("n_tokens"), *part)
-    scale = 1 / (1 + F.col("n_tokens") / EFFECTIVE_WORDS)
-    logs = [F.col(f"s{k}") * scale + math.log(model.priors[k]) for k in ks]
-    summed = summed.select("row", "doc", "n_tokens", *[c.alias(f"s{k}") for k, c in enumerate(logs)])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("n_tokens", F.size(F.array_remove(F.split("text", r"\s+"), "")).cast("bigint"))
+    features = rows.select("row", "doc", "n_tokens", F.explode_outer(_features(F.col("text"))).alias("feature"))
+    # MOST_FEATURES rows at most, words of a bounded sample
+    told = features.join(F.broadcast(model.table), "feature", "left")
+    sums = [F.coalesce(F.sum(f"l{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks]
+    summed = told.groupBy("row", "doc", "n_tokens").agg(F.count("l0").alias("found"), *sums)
+    scale = 1 / (1 + F.col("found") / EFFECTIVE_FEATURES)
+    summed = summed.select(
+        "row", "doc", "n_tokens", *[(F.col(f"s{k}") * scale + math.log(model.priors[k])).alias(f"s{k}") for k in ks]
+    )
     top = F.greatest(*[F.col(f"s{k}") for k in ks]) if len(model.domains) > 1 else F.col("s0")
     odds = [F.exp(F.col(f"s{k}") - top) for k in ks]
     total = sum(odds[1:], odds[0])
