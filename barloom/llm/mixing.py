@@ -45,10 +45,13 @@ def _features(text: Column) -> Column:
 
 
 class DomainClassifier:
-    """Naive Bayes: ``table`` has the features worth asking for, with one log lift per domain."""
+    """Naive Bayes: ``table`` has the features worth asking for, with one log lift per domain.
 
-    def __init__(self, domains: list[str], priors: list[float], table: DataFrame):
-        self.domains, self.priors, self.table = domains, priors, table
+    ``unmarked`` are the domains' shares among documents that have none of them.
+    """
+
+    def __init__(self, domains: list[str], priors: list[float], table: DataFrame, unmarked: list[float]):
+        self.domains, self.priors, self.table, self.unmarked = domains, priors, table, unmarked
 
 
 def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", id_col: str = "doc_id") -> DomainClassifier:
@@ -79,11 +82,16 @@ def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "
     bars = [max(LEAST_LIFT, math.log(LEAST_SHARE / p)) for p in priors]
     strength = F.greatest(F.lit(0.0), *[F.when(F.col(f"l{k}") >= bar, F.col(f"l{k}")) for k, bar in enumerate(bars)])
     kept = lifts.where(strength > 0).orderBy(strength.desc(), F.desc("n"), "feature").limit(MOST_FEATURES)
-    return DomainClassifier(domains, priors, materialize(kept.drop("n"), "domain-features"))
+    table = materialize(kept.drop("n"), "domain-features")
+    pairs = sample.select("digest", "domain", F.explode_outer(_features(F.col("text"))).alias("feature"))
+    found = pairs.join(F.broadcast(table), "feature", "left").groupBy("digest", "domain").agg(F.count("l0").alias("found"))
+    bare = {r.domain: r["count"] for r in found.where("found = 0").groupBy("domain").count().collect()}
+    unmarked = [(bare.get(d, 0) + p) / (sum(bare.values()) + 1) for d, p in zip(domains, priors)]
+    return DomainClassifier(domains, priors, table, unmarked)
 
 
 def domain_posteriors(docs: DataFrame, model: DomainClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc, n_tokens, p0 ... pk) of every row; the priors for a text without features that tell."""
+    """(row, doc, n_tokens, p0 ... pk) of every row; a text without features that tell has the shares of such texts."""
     ks = range(len(model.domains))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -94,9 +102,10 @@ def domain_posteriors(docs: DataFrame, model: DomainClassifier, id_col: str = "d
     sums = [F.coalesce(F.sum(f"l{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks]
     summed = told.groupBy("row", "doc", "n_tokens").agg(F.count("l0").alias("found"), *sums)
     scale = 1 / (1 + F.col("found") / EFFECTIVE_FEATURES)
-    summed = summed.select(
-        "row", "doc", "n_tokens", *[(F.col(f"s{k}") * scale + math.log(model.priors[k])).alias(f"s{k}") for k in ks]
-    )
+    logs = [F.col(f"s{k}") * scale + math.log(model.priors[k]) for k in ks]
+    bare = F.col("found") == 0
+    logs = [F.when(bare, math.log(model.unmarked[k])).otherwise(x).alias(f"s{k}") for k, x in enumerate(logs)]
+    summed = summed.select("row", "doc", "n_tokens", *logs)
     top = F.greatest(*[F.col(f"s{k}") for k in ks]) if len(model.domains) > 1 else F.col("s0")
     odds = [F.exp(F.col(f"s{k}") - top) for k in ks]
     total = sum(odds[1:], odds[0])
@@ -170,7 +179,7 @@ def mix_documents(
     tokens; domains without one have target 0. The total is ``budget`` tokens, or so many that ``anchor``
     = (domain, factor) has factor times the tokens it has now, or else what there is. ``copies`` rounds the rate up
     or down by a hash of the id, so that its expectation is the rate. Null and empty texts have no tokens, the
-    priors as posteriors and a rate like others. Rows without an id and repeated rows are rows of their own.
+    posteriors of texts without telling features and a rate like others. Rows without an id and repeated rows are rows of their own.
     An empty table gives an empty result; other columns are ignored.
     """
     total_weight = sum(weights.values())

@@ -6,15 +6,15 @@ from barloom.llm import mixing as M
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, "spam buy now " * (1 + i % 5), "x") for i in range(60)]
-    rows += [(100 + i, "a calm and plain text about rivers " * (1 + i % 7), "x") for i in range(200)]
+    rows = [(i, "Spam! buy now " * (1 + i % 5) + f"offer{i}", "x") for i in range(60)]
+    rows += [(100 + i, "a calm and plain text about rivers " * (1 + i % 7) + f"bank{i}", "x") for i in range(200)]
     rows += [(400, None, "x"), (401, "", "x"), (None, "spam text", "x"), (402, "rivers " * 30_000, "x"), (5, "spam again", "x")]
     return spark.createDataFrame(rows, "doc_id bigint, text string, row string")
 
 
 @pytest.fixture(scope="module")
 def labelled(docs):
-    return docs.where("doc_id % 3 = 0").withColumn("domain", F.when(F.contains("text", F.lit("spam")), "spam").otherwise("calm"))
+    return docs.where("doc_id % 3 = 0").withColumn("domain", F.when(F.contains(F.lower("text"), F.lit("spam")), "spam").otherwise("calm"))
 
 
 def expected_tokens(mixed):
