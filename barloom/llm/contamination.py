@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.words import batch_word_hashes, shingle_set, shingles, text_slices
+from barloom.session import materialize
 
 #: Item shingles that are sent to the tasks at once.
 BLOCK_SHINGLES = 1 << 20
@@ -132,4 +133,5 @@ def _search(texts: DataFrame, shared, width: int) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` in which no item is contained, as they are; rows without an id stay."""
     hits = find_contained(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("_hit")).distinct()
+    hits = materialize(hits, "contaminated")  # few ids are broadcast by their measured size
     return docs.join(hits, docs[id_col] == hits["_hit"], "left_anti")

@@ -24,8 +24,12 @@ CLEAN_FACTOR = 1.25
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these ids; rows without an id stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` without the rows of these ids; rows without an id stay.
+
+    The ids are stored first, so that few of them are broadcast by their measured size
+    and the texts stay where they are.
+    """
+    gone = materialize(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
