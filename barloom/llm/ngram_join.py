@@ -12,7 +12,8 @@ frequency level (from a counting sketch over all texts) and the n-gram's hash.
    components, and only those that were not compared before. Every pair over the threshold is therefore either
    verified or already inside one component, so no link between components is lost
    and no group is expanded into all its pairs.
-4. Verification puts bounded chunks of candidate sets, read from the frequent end,
+4. Pairs whose counts of n-grams by hash class rule out enough overlap go no further.
+5. Verification puts bounded chunks of candidate sets, read from the frequent end,
    into a prefix tree. A query walks the tree: overlaps along a shared path are
    counted once, and a subtree is left as soon as the misses so far rule out
    every size it could still reach.
@@ -36,6 +37,7 @@ from barloom.session import materialize
 SKETCH_BITS = 22
 BLOOM_BITS = 23
 CHUNK_SETS = 256
+CLASSES = 64
 STEP = 64
 
 
@@ -71,27 +73,34 @@ def ordered_keys(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def frequency_levels(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(63, np.floor(2 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    """Two levels per doubling of the count, piece by piece."""
+    levels = np.empty(len(counts), dtype=np.uint8)
+    for at in range(0, len(counts), 1 << 16):
+        piece = np.maximum(counts[at : at + (1 << 16)], 1)
+        levels[at : at + len(piece)] = np.minimum(63, np.floor(2 * np.log2(piece)))
+    return levels
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """Size and digest of every set, and each task's share of the counting sketch."""
+    """Size, digest and counts by hash class of every set, and each task's share of the counting sketch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for frame in text_slices(frames):
-            sizes, digests = [], []
+            sizes, digests, counted = [], [], []
             for words in batch_word_hashes(frame["text"]):
                 keys = shingle_set(words, width)
                 sizes.append(len(keys))
                 digests.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest() if len(keys) else None)
                 np.add.at(counts, _sketch_slot(keys), 1)
+                counted.append(np.bincount((keys >> np.uint64(58)).astype(np.int64), minlength=CLASSES))
             yield pd.DataFrame(
-                {"doc": frame["doc"], "n": sizes, "digest": digests, "part": None, "data": None}
+                {"doc": frame["doc"], "n": sizes, "digest": digests, "classes": counted, "part": None, "data": None}
             )
-        yield share(counts).assign(doc=None, n=None, digest=None)[["doc", "n", "digest", "part", "data"]]
+        columns = ["doc", "n", "digest", "classes", "part", "data"]
+        yield share(counts).assign(doc=None, n=None, digest=None, classes=None)[columns]
 
-    return docs.mapInPandas(run, f"doc bigint, n bigint, digest binary, {SHARE}")
+    return docs.mapInPandas(run, f"doc bigint, n bigint, digest binary, classes array<int>, {SHARE}")
 
 
 def _add_capped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,6 +169,18 @@ def _leader_pairs(blocks: DataFrame, classes: DataFrame, limit: Threshold) -> Da
     return pairs.where("query != target").select("query", "target").distinct()
 
 
+def _plausible(pairs: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs whose sets may share enough: no more than the smaller count of each hash class."""
+    for end in ("query", "target"):
+        own = sizes.select(F.col("doc").alias(end), F.col("n").alias(f"{end}_n"), F.col("classes").alias(f"{end}_classes"))
+        pairs = pairs.join(own, end)
+    least = F.zip_with("query_classes", "target_classes", lambda a, b: F.least(a, b))
+    most = F.aggregate(least, F.lit(0), lambda a, b: a + b)
+    need = F.ceil(F.lit(limit.num) * (F.col("query_n") + F.col("target_n")) / (limit.num + limit.den))
+    kept = pairs.where(most >= need)
+    return kept.drop(*[f"{end}_{c}" for end in ("query", "target") for c in ("n", "classes")]).distinct()
+
+
 def _cross_pairs(blocks: DataFrame, labels: DataFrame, limit: Threshold) -> DataFrame:
     """(query, target, place) of representatives that share a block, may link and lie in different components.
 
@@ -370,7 +391,7 @@ def link_documents(
     named = texts.where("doc is not null")
     profile = materialize(_profile(named, width), "profile")
     levels = spark.sparkContext.broadcast(_levels(profile))
-    sizes = profile.where("part is null").select("doc", "n", "digest")
+    sizes = profile.where("part is null").select("doc", "n", "digest", "classes")
     reps = sizes.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"))
     classes = materialize(sizes.where("n > 0").join(reps, "digest").select("doc", "rep").distinct(), "classes")
 
@@ -380,8 +401,9 @@ def link_documents(
 
     known = classes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     pairs = materialize(_leader_pairs(blocks, classes, limit), "leader-pairs")
-    if not pairs.isEmpty():
-        checked = materialize(verify_pairs(named, pairs, "query", width, limit, levels), "links")
+    likely = materialize(_plausible(pairs, sizes, limit), "likely-pairs")
+    if not likely.isEmpty():
+        checked = materialize(verify_pairs(named, likely, "query", width, limit, levels), "links")
         known = known.unionByName(checked.select("a", "b"))
     labels = connected_components(known, "a", "b")
     found = labels.withColumnRenamed("node", "doc")
@@ -390,7 +412,7 @@ def link_documents(
     done = pairs.select(F.least("query", "target").alias("x"), F.greatest("query", "target").alias("y"))
     rest = _cross_pairs(blocks.where("members > 2"), of_rep, limit)
     tested = (F.least("query", "target") == F.col("x")) & (F.greatest("query", "target") == F.col("y"))
-    rest = materialize(rest.join(done, tested, "left_anti"), "cross-pairs")
+    rest = materialize(_plausible(rest.join(done, tested, "left_anti"), sizes, limit), "cross-pairs")
     if not rest.isEmpty():
         checked = materialize(verify_pairs(named, rest, "place", width, limit, levels), "links")
         labels = connected_components(known.unionByName(checked.select("a", "b")), "a", "b")
