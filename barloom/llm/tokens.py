@@ -42,8 +42,8 @@ LEVEL = 3
 # --- encoding ------------------------------------------------------------------------
 _SPACE, _LETTER, _NUMBER, _OTHER, _BREAK = range(5)
 _KNOWN_CODES = 0x250
-_CHUNK_CHARS = 1 << 20
-_CACHE_WORDS = 2_000_000
+_CHUNK_CHARS = 1 << 19
+_CACHE_WORDS = 1_000_000
 _RECENT_WORDS = 100_000
 
 
@@ -58,8 +58,8 @@ def _code_classes() -> np.ndarray:
 _CLASSES = _code_classes()
 _CODE_VALUES = seeds(_KNOWN_CODES + 1, 77)
 _BASE = 0xD1342543DE82EF95
-_POWERS = np.cumprod(np.append(np.uint64(1), np.full(4 * _CHUNK_CHARS, _BASE, dtype=np.uint64)))
-_INVERSES = np.cumprod(np.append(np.uint64(1), np.full(4 * _CHUNK_CHARS, pow(_BASE, -1, 1 << 64), dtype=np.uint64)))
+_POWERS = np.cumprod(np.append(np.uint64(1), np.full(_CHUNK_CHARS + 2, _BASE, dtype=np.uint64)))
+_INVERSES = np.cumprod(np.append(np.uint64(1), np.full(_CHUNK_CHARS + 2, pow(_BASE, -1, 1 << 64), dtype=np.uint64)))
 
 
 def word_starts(codes: np.ndarray) -> np.ndarray:
@@ -227,20 +227,8 @@ def _texts(column: pd.Series) -> list[str]:
     return [t if isinstance(t, str) else "" for t in column]
 
 
-def id_width(tokenizer_path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-
 # --- the shared dictionary -----------------------------------------------------------
-def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, end_id: int) -> bytes:
-    """Trained on up to ``DICTIONARY_DOCS`` documents, chosen by a hash of their ids."""
-    chosen = hash_sample(docs, DICTIONARY_DOCS, "doc")
-    fitting = F.length("text").between(1, DICTIONARY_TEXT_CHARS)
-    rows = chosen.where(fitting).orderBy("doc", "text").limit(DICTIONARY_DOCS).collect()
-    cache = WordCache(tokenizer_path)
-    samples = [np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in cache.encode([r.text for r in rows])]
+def _fit_dictionary(samples: list[bytes]) -> bytes:
     if not samples:
         return b""
     try:
@@ -249,6 +237,26 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, end_id: i
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[int, bytes]:
+    """Bytes of an id, and a dictionary from up to ``DICTIONARY_DOCS`` documents chosen by a hash of their ids.
+
+    One task trains it, so the driver does not load the tokenizer.
+    """
+    chosen = hash_sample(docs, DICTIONARY_DOCS, "doc")
+    fitting = F.length("text").between(1, DICTIONARY_TEXT_CHARS)
+    rows = chosen.where(fitting).orderBy("doc", "text").limit(DICTIONARY_DOCS).select("text")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _word_cache(tokenizer_path)
+        width = 2 if cache.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        texts = [t for frame in frames for t in frame["text"]]
+        samples = [np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in cache.encode(texts)]
+        yield pd.DataFrame({"width": [width], "dictionary": [_fit_dictionary(samples)]})
+
+    trained = rows.coalesce(1).mapInPandas(run, "width int, dictionary binary").first()
+    return trained.width, bytes(trained.dictionary)
+
+
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
@@ -271,8 +279,7 @@ def write_segments(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    width = id_width(tokenizer_path)
-    data = train_dictionary(texts, tokenizer_path, width, end_id)
+    width, data = train_dictionary(texts, tokenizer_path, end_id)
     digest = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(digest, bytearray(data))], "sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(data)

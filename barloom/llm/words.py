@@ -2,7 +2,7 @@
 
 A word is a run of bytes other than space and 0x09-0x0D, with A-Z lowered, so the
 UTF-8 bytes of a text can be cut without decoding. Everything runs on numpy
-arrays over pieces of about a megabyte; the memory does not depend on the length
+arrays over pieces of a quarter of a megabyte; the memory does not depend on the length
 of a text. Two different words share a hash with probability 2**-64.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
