@@ -37,6 +37,8 @@ ROUNDS = 8
 BLOCK_VECTORS = 1024
 QUERY_STEP = 256
 PAIR_STEP = 1 << 15
+#: The tables are single floats; distances near the radius are off by less than this.
+TABLE_ERROR = 1e-4
 
 
 def _nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -69,6 +71,10 @@ class Quantizer:
     radius: float
     slack: float
 
+    @property
+    def dims(self) -> int:
+        return self.centers.shape[1]
+
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, cosine: float) -> Quantizer:
         centers = _fit_centers(sample, lists, 1)
@@ -99,10 +105,23 @@ class Quantizer:
         apart = np.sqrt(np.maximum(0, (c**2).sum(axis=1) + (c[own] ** 2).sum(axis=1)[:, None] - 2 * c[own] @ c.T))
         return gap <= 2 * self.radius * self.slack * apart + 1e-9
 
-    def tables(self, units: np.ndarray, of_list: int) -> np.ndarray:
-        """Squared distances (query, subspace, code) to the codebooks around one centroid."""
-        rest = _fold(units - self.centers[of_list])
-        return ((rest[:, :, None, :] - self.books[None]) ** 2).sum(axis=3)
+    def tables(self, units: np.ndarray) -> np.ndarray:
+        """(subspace, query, code): minus twice the products with the codebooks."""
+        parts = _fold(units).transpose(1, 0, 2).astype(np.float32)
+        return np.matmul(parts, self.books.transpose(0, 2, 1).astype(np.float32)) * np.float32(-2)
+
+    def norms(self, of_list: int, codes: np.ndarray) -> np.ndarray:
+        """Squared lengths of the vectors that the codes stand for."""
+        read = self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)
+        read = read[:, : self.centers.shape[1]] + self.centers[of_list]
+        return (read**2).sum(axis=1)
+
+    def distances(self, units: np.ndarray, tables: np.ndarray, of_list: int, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Squared distances (query, member) to what the codes stand for, read from the tables."""
+        near = (1 - 2 * units @ self.centers[of_list])[:, None] + norms[None, :]
+        for m in range(codes.shape[1]):
+            near += tables[m][:, codes[:, m]]
+        return near
 
 
 def _fold(points: np.ndarray) -> np.ndarray:
@@ -111,8 +130,10 @@ def _fold(points: np.ndarray) -> np.ndarray:
     return np.pad(points, ((0, 0), (0, missing))).reshape(len(points), -1, SUBSPACE_DIMS)
 
 
-def _units(rows) -> np.ndarray:
-    points = np.stack([np.frombuffer(r, dtype=np.float64) for r in rows])
+def _units(rows, dims: int) -> np.ndarray:
+    """Unit vectors in double precision; each row holds single or double floats."""
+    points = np.stack([np.frombuffer(r, dtype=np.float32 if len(r) == 4 * dims else np.float64) for r in rows])
+    points = points.astype(np.float64)
     return points / np.linalg.norm(points, axis=1, keepdims=True)
 
 
@@ -127,8 +148,11 @@ def _valid(vectors: DataFrame) -> DataFrame:
                     continue
                 data = np.asarray([np.nan if v is None else v for v in values], dtype=np.float64) + 0.0
                 if np.isfinite(data).all() and 0 < np.linalg.norm(data) < np.inf:
-                    raw = data.tobytes()
-                    out.append((vec, len(data), hashlib.blake2b(raw, digest_size=16).digest(), raw))
+                    digest = hashlib.blake2b(data.tobytes(), digest_size=16).digest()
+                    with np.errstate(over="ignore", under="ignore"):
+                        single = data.astype(np.float32)
+                    raw = single if (single == data).all() else data
+                    out.append((vec, len(data), digest, raw.tobytes()))
             yield pd.DataFrame(out, columns=["vec", "dims", "digest", "data"])
 
     return vectors.mapInPandas(run, "vec bigint, dims int, digest binary, data binary")
@@ -138,7 +162,8 @@ def _lists(classes: DataFrame, shared) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                own, codes, error = shared.value.encode(_units(frame["data"]))
+                units = _units(frame["data"], shared.value.dims)
+                own, codes, error = shared.value.encode(units)
                 yield frame.assign(list=own, codes=[c.tobytes() for c in codes], error=error)
 
     schema = "rep bigint, weight bigint, data binary, list int, codes binary, error double"
@@ -150,7 +175,8 @@ def _visits(listed: DataFrame, shared) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), QUERY_STEP):
                 part = frame.iloc[at : at + QUERY_STEP]
-                mask = shared.value.probes(_units(part["data"]), part["list"].to_numpy())
+                units = _units(part["data"], shared.value.dims)
+                mask = shared.value.probes(units, part["list"].to_numpy())
                 query, target = np.nonzero(mask)
                 yield pd.DataFrame(
                     {
@@ -189,14 +215,11 @@ def _search(shared, cosine: float):
         block, held, member = None, [], None
 
         def compare(part: pd.DataFrame) -> pd.DataFrame:
-            units = _units(part["data"])
+            units = _units(part["data"], quantizer.dims)
             queries = part["rep"].to_numpy()
-            reps, weights, points, codes, reach, of_list = member
+            reps, weights, points, codes, norms, reach, of_list = member
             linked = np.zeros((len(queries), len(reps)), dtype=bool)
-            tables = quantizer.tables(units, of_list)
-            near = np.zeros(linked.shape)
-            for m in range(codes.shape[1]):
-                near += tables[:, m, :][:, codes[:, m]]
+            near = quantizer.distances(units, quantizer.tables(units), of_list, codes, norms)
             a, b = np.nonzero((near <= reach**2) & (queries[:, None] != reps[None, :]))
             for at in range(0, len(a), PAIR_STEP):
                 x, y = a[at : at + PAIR_STEP], b[at : at + PAIR_STEP]
@@ -226,13 +249,15 @@ def _search(shared, cosine: float):
                 if member is None:
                     whole = pd.concat(held)
                     codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in whole["codes"]])
+                    of_list = int(whole["list"].iloc[0])
                     member = (
                         whole["rep"].to_numpy(),
                         whole["weight"].to_numpy().astype(np.int64),
-                        _units(whole["data"]),
+                        _units(whole["data"], quantizer.dims),
                         codes,
-                        quantizer.radius + whole["error"].to_numpy() + 1e-9,
-                        int(whole["list"].iloc[0]),
+                        quantizer.norms(of_list, codes),
+                        quantizer.radius + whole["error"].to_numpy() + TABLE_ERROR,
+                        of_list,
                     )
                 for at in range(0, len(asked), QUERY_STEP):
                     found = compare(asked.iloc[at : at + QUERY_STEP])
@@ -267,7 +292,7 @@ def link_vectors(
     classes = materialize(grouped, "vector-classes")
     found = None
     for dims, count in sorted((r.dims, r.n) for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()):
-        part = _link_classes(classes.where(F.col("dims") == dims).select("rep", "weight", "data"), count, cosine)
+        part = _link_classes(classes.where(F.col("dims") == dims).select("rep", "weight", "data"), dims, count, cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "a bigint, b bigint, links bigint")
@@ -295,12 +320,12 @@ def link_vectors(
     )
 
 
-def _link_classes(classes: DataFrame, count: int, cosine: float) -> DataFrame:
+def _link_classes(classes: DataFrame, dims: int, count: int, cosine: float) -> DataFrame:
     """(a, b, links): counts of linked rows where b is null, edges of components where it is not."""
     spark = classes.sparkSession
     sample = collect_sample(classes.select("rep", "data"), SAMPLE_VECTORS, "rep")
-    lists = max(1, min(MOST_LISTS, round(4 * math.sqrt(count)), len(sample)))
-    shared = spark.sparkContext.broadcast(Quantizer.fit(_units([bytes(r.data) for r in sample]), lists, cosine))
+    lists = max(1, min(MOST_LISTS, round(2 * math.sqrt(count)), len(sample)))
+    shared = spark.sparkContext.broadcast(Quantizer.fit(_units([bytes(r.data) for r in sample], dims), lists, cosine))
     listed = materialize(_lists(classes, shared), "inverted-lists")
     sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
     members = listed.join(F.broadcast(sizes), "list").select(
