@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARE = "part int, data binary"
-_STEPS = 64
+_SALTS = 8
 
 
 def share(array: np.ndarray, rows: int = 64) -> pd.DataFrame:
@@ -25,22 +25,29 @@ def share(array: np.ndarray, rows: int = 64) -> pd.DataFrame:
     return pd.DataFrame({"part": np.array(used, dtype=np.int32), "data": [parts[i].tobytes() for i in used]})
 
 
-def fold(shares: DataFrame, dtype, size: int, combine=np.add, rows: int = 64) -> np.ndarray:
-    """The combined array of ``size`` elements; zeros where no task had anything."""
-
+def _folding(read, keep, combine):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for frame in frames:
             for part, data in zip(frame["part"], frame["data"]):
-                more = np.frombuffer(data, dtype=dtype)
+                more = np.frombuffer(data, dtype=read).astype(keep)
                 held[part] = combine(held[part], more) if part in held else more
         yield pd.DataFrame({"part": list(held), "data": [a.tobytes() for a in held.values()]})
 
+    return run
+
+
+def fold(shares: DataFrame, dtype, size: int, combine=np.add, wide=None, rows: int = 64) -> np.ndarray:
+    """The combined array of ``size`` elements; zeros where no task had anything.
+
+    Tasks send elements of ``dtype``; they are combined and returned as ``wide``, if it is given.
+    """
+    wide = wide or dtype
     n = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("data"), F.lit(_STEPS))
-    once = shares.select("part", "data").repartition(n, "part", salt).mapInPandas(run, SHARE)
-    total = once.repartition(min(n, rows), "part").mapInPandas(run, SHARE)
-    parts = np.array_split(np.zeros(size, dtype=dtype), rows)
+    salt = F.pmod(F.xxhash64("data"), F.lit(_SALTS))
+    once = shares.select("part", "data").repartition(n, "part", salt).mapInPandas(_folding(dtype, wide, combine), SHARE)
+    total = once.repartition(min(n, rows), "part").mapInPandas(_folding(wide, wide, combine), SHARE)
+    parts = np.array_split(np.zeros(size, dtype=wide), rows)
     for row in total.collect():
-        parts[row.part] = np.frombuffer(row.data, dtype=dtype)
+        parts[row.part] = np.frombuffer(row.data, dtype=wide)
     return np.concatenate(parts)

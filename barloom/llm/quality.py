@@ -70,9 +70,10 @@ def _contexts(docs: DataFrame) -> np.ndarray:
                     for k in range(NONZERO):
                         at = word * DIMS + places[context, k]
                         total += np.bincount(at, weights=signs[context, k], minlength=len(total)).astype(np.int64)
-        yield share(total)
+        yield share(total.astype(np.int32))
 
-    return fold(docs.select("text").mapInPandas(run, SHARE), np.int64, ROWS * DIMS).reshape(ROWS, DIMS)
+    shares = docs.select("text").mapInPandas(run, SHARE)
+    return fold(shares, np.int32, ROWS * DIMS, wide=np.int64).reshape(ROWS, DIMS)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
