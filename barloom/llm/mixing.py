@@ -1,19 +1,23 @@
 """Document rates that bring the expected tokens of each domain to target weights.
 
-1. A labelled table trains a naive Bayes classifier on words and word endings that tell domains
-   apart; it gives every document a posterior over the domains. Its counts and scores are joins and sums.
+1. A labelled table trains a classifier on all words and word endings and on the form of texts (repetition,
+   capitals, symbols, length); it gives every document a posterior over the domains. Its counts and scores are joins and sums.
 2. The expected tokens of domain k are the sum of rate * tokens * posterior_k over all documents.
    Projected gradient descent fits nonnegative rates by least squares against the
    targets. A step needs the residual of each domain, a handful of sums over all documents;
    each rate is a column expression of the residuals so far, stored every few steps.
 
-All of it is DataFrame work; the driver sees sums per domain only.
+All of it is DataFrame work; the driver sees sums and weights per domain only.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,42 +29,107 @@ ENDING_CHARS = 3
 FIT_DOCUMENTS = 20_000
 #: A feature counts as if so many more documents had it, dealt over the domains as all documents are.
 SHRINKAGE = 5.0
-LEAST_SHARE = 0.8
-LEAST_LIFT = 0.4
+#: The chi-square of a feature's counts, per degree of freedom, at which half of its log lift is believed.
+HALF_BELIEVED = 12.0
 SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-MOST_FEATURES = 50_000
-EFFECTIVE_FEATURES = 20.0
+#: Marks in front of endings and of features of a text's form; words do not begin with them.
+ENDING, FORM = "\u0001", "\u0002"
+#: The evidence of words is divided by this power of their number: texts of few words count, noise of long ones does not add up.
+LENGTH_POWER = 1.0
+#: Penalty on the squared weights of the evidence.
+PENALTY = 1e-8
+#: Features that are broadcast; of larger tables Spark chooses how to join.
+BROADCAST_FEATURES = 2_000_000
 MOST_DOMAINS = 100
 STEPS = 64
 STEPS_PER_TABLE = 8
 TOLERANCE = 1e-4
 
+log = logging.getLogger(__name__)
+
+
+def _form(text: Column, words: Column) -> Column:
+    """How a text is built: classes of its length and of the shares of words that differ, of the most frequent word,
+    of words that repeat the one before, of capitals and of symbols."""
+    n, chars = F.size(words), F.greatest(F.length(text), F.lit(1))
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("again"))
+
+    def count(state: Column, word: Column) -> Column:
+        same = state["word"] == word
+        run = F.when(same, state["run"] + 1).otherwise(F.lit(1))
+        again = state["again"] + same.cast("int")
+        return F.struct(word.alias("word"), run.alias("run"), F.greatest(state["most"], run).alias("most"), again.alias("again"))
+
+    most = F.aggregate(F.sort_array(words), start, count, lambda state: state["most"])
+    again = F.aggregate(words, start, count, lambda state: state["again"])
+    length = F.floor(F.log2(n + F.lit(1.0)) / 2)
+    distinct = F.floor(F.size(F.array_distinct(words)) * 20 / n)
+    frequent = F.floor(F.log2(n / most) * 2)
+    repeats = F.ceil(F.sqrt(again / n) * 8)
+    # like a word, a kind of character is evidence where it occurs
+    capitals = F.nullif(F.ceil(F.sqrt(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / chars) * 12), F.lit(0))
+    symbols = F.nullif(F.ceil(F.sqrt(F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")) / chars) * 20), F.lit(0))
+    named = {"length": [length], "distinct": [length, distinct], "frequent": [length, frequent]}
+    named |= {"repeats": [repeats], "capitals": [capitals], "symbols": [symbols]}
+    classes = [
+        F.concat(F.lit(FORM + name), *[y for x in parts for y in (F.lit(" "), x.cast("string"))]) for name, parts in named.items()
+    ]
+    return F.when(n > 0, F.array_compact(F.array(*classes))).otherwise(F.array(F.lit(f"{FORM}length 0")))
+
 
 def _features(text: Column) -> Column:
-    """Distinct words of a text in lower case without symbols around them, and distinct endings behind a mark."""
-    given = F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
+    """Distinct words of a text in lower case without symbols around them, distinct endings behind a mark, and its form."""
+    all_words = F.array_remove(F.split(F.lower(text), r"\s+"), "")
+    given = F.array_distinct(all_words)
     words = F.transform(given, lambda w: F.btrim(w, F.lit(SYMBOLS)))
-    endings = F.transform(given, lambda w: F.concat(F.lit("\u0001"), F.right(w, F.lit(ENDING_CHARS))))
-    return F.concat(F.array_remove(F.array_distinct(words), ""), F.array_distinct(endings))
+    endings = F.transform(given, lambda w: F.concat(F.lit(ENDING), F.right(w, F.lit(ENDING_CHARS))))
+    return F.concat(F.array_remove(F.array_distinct(words), ""), F.array_distinct(endings), _form(text, all_words))
+
+
+def _lifts(n: Column, counts: list[Column], priors: list[float]) -> list[Column]:
+    """Log lifts of the domains' shares among the documents that have a feature, the less the likelier they are chance."""
+    squares = [(c - n * p) * (c - n * p) / (n * p) for c, p in zip(counts, priors)]
+    chi = F.when(n > 0, sum(squares[1:], squares[0])).otherwise(0.0)
+    belief = chi / (chi + HALF_BELIEVED * max(1, len(priors) - 1))
+    return [F.log((c + SHRINKAGE * p) / (n + SHRINKAGE) / p) * belief for c, p in zip(counts, priors)]
+
+
+def _evidence(told: DataFrame, keys: list[str], lifts: list[Column]) -> DataFrame:
+    """(keys, w0 ..., f0 ...): the lifts of the words of a text, scaled for the number of them, and of its form."""
+    form = F.startswith("feature", F.lit(FORM))
+    told = told.select(*keys, F.coalesce(form, F.lit(True)).alias("form"), *[x.alias(f"l{k}") for k, x in enumerate(lifts)])
+    sums = [
+        F.coalesce(F.sum(F.when(F.col("form") == side, F.col(f"l{k}"))), F.lit(0.0)).alias(f"{name}{k}")
+        for name, side in (("w", False), ("f", True))
+        for k in range(len(lifts))
+    ]
+    found = F.count(F.when(~F.col("form"), F.col("l0"))).alias("found")
+    scale = F.pow(1 + F.col("found"), -LENGTH_POWER)
+    scaled = [(F.col(f"w{k}") * scale).alias(f"w{k}") for k in range(len(lifts))]
+    return told.groupBy(*keys).agg(found, *sums).select(*keys, *scaled, *[f"f{k}" for k in range(len(lifts))])
 
 
 class DomainClassifier:
-    """Naive Bayes: ``table`` has the features worth asking for, with one log lift per domain.
+    """``table`` has every feature of the sample with one log lift per domain.
 
-    ``unmarked`` are the domains' shares among documents that have none of them.
+    ``weights`` and ``biases`` turn the evidence of a text (w0 ..., f0 ...) into the domains' log odds.
     """
 
-    def __init__(self, domains: list[str], priors: list[float], table: DataFrame, unmarked: list[float]):
-        self.domains, self.priors, self.table, self.unmarked = domains, priors, table, unmarked
+    def __init__(self, domains: list[str], priors: list[float], table: DataFrame, weights: list[list[float]], biases: list[float]):
+        self.domains, self.priors, self.table, self.weights, self.biases = domains, priors, table, weights, biases
+        self.small = table.count() <= BROADCAST_FEATURES
+
+    def look_up(self, features: DataFrame) -> DataFrame:
+        return features.join(F.broadcast(self.table) if self.small else self.table, "feature", "left")
 
 
 def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", id_col: str = "doc_id") -> DomainClassifier:
     """Fits on about ``FIT_DOCUMENTS`` rows of ``labelled`` at most; null texts and domains are left out.
 
     The log lift of a feature is that of the domain's share among the documents that have it over
-    its share among all, drawn towards 0 for rare features. Only features are kept of which some domain has
-    ``LEAST_SHARE`` of the documents and a log lift of ``LEAST_LIFT``, at most ``MOST_FEATURES`` of them.
-    Equal texts of one domain count once, so copies are no evidence.
+    its share among all, drawn towards 0 for rare features and for counts that chance explains. No feature is left out.
+    A logistic regression weighs words against form; without evidence it gives the shares among all. It is fitted on evidence without the text's own
+    counts, so what it learns holds for other texts. Equal texts of one domain count once, so copies are no evidence.
     """
     rows = labelled.select(
         F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain")
@@ -71,41 +140,42 @@ def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "
     if not sizes or len(sizes) > MOST_DOMAINS:
         raise ValueError(f"labelled documents of 1 to {MOST_DOMAINS} domains are needed")
     domains, total = [r.domain for r in sizes], sum(r["count"] for r in sizes)
+    ks = range(len(domains))
     priors = [r["count"] / total for r in sizes]
     having = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)]
-    counts = sample.select("domain", F.explode(_features(F.col("text"))).alias("feature")).groupBy("feature")
-    counts = counts.agg(F.count(F.lit(1)).alias("n"), *having)
-    lift = [
-        F.log((F.col(f"c{k}") + SHRINKAGE * p) / (F.col("n") + SHRINKAGE) / p).alias(f"l{k}") for k, p in enumerate(priors)
-    ]
-    lifts = counts.select("feature", "n", *lift)
-    bars = [max(LEAST_LIFT, math.log(LEAST_SHARE / p)) for p in priors]
-    strength = F.greatest(F.lit(0.0), *[F.when(F.col(f"l{k}") >= bar, F.col(f"l{k}")) for k, bar in enumerate(bars)])
-    kept = lifts.where(strength > 0).orderBy(strength.desc(), F.desc("n"), "feature").limit(MOST_FEATURES)
-    table = materialize(kept.drop("n"), "domain-features")
-    pairs = sample.select("digest", "domain", F.explode_outer(_features(F.col("text"))).alias("feature"))
-    found = pairs.join(F.broadcast(table), "feature", "left").groupBy("digest", "domain").agg(F.count("l0").alias("found"))
-    bare = {r.domain: r["count"] for r in found.where("found = 0").groupBy("domain").count().collect()}
-    unmarked = [(bare.get(d, 0) + p) / (sum(bare.values()) + 1) for d, p in zip(domains, priors)]
-    return DomainClassifier(domains, priors, table, unmarked)
+    pairs = sample.select("digest", "domain", F.explode(_features(F.col("text"))).alias("feature"))
+    counts = materialize(pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *having), "feature-counts")
+    lifts = _lifts(F.col("n"), [F.col(f"c{k}") for k in ks], priors)
+    table = materialize(counts.select("feature", *[x.alias(f"l{k}") for k, x in enumerate(lifts)]), "domain-features")
+    model = DomainClassifier(domains, priors, table, [[0.0] * 2 * len(domains)], [0.0])
+    if len(domains) == 1:
+        return model
+    told = pairs.join(F.broadcast(counts) if model.small else counts, "feature")
+    others = [F.col(f"c{k}") - (F.col("domain") == d).cast("int") for k, d in enumerate(domains)]
+    seen = _evidence(told, ["digest", "domain"], _lifts(F.col("n") - 1, others, priors))
+    label = F.coalesce(*[F.when(F.col("domain") == d, float(k)) for k, d in enumerate(domains)])
+    names = [f"{name}{k}" for name in "wf" for k in ks]
+    points = VectorAssembler(inputCols=names, outputCol="features").transform(seen.withColumn("label", label))
+    points = materialize(points.select("features", "label"), "evidence")
+    model.biases = [math.log(p) for p in priors]
+    held = {f"{side}BoundsOnIntercepts": Vectors.dense(model.biases) for side in ("lower", "upper")}
+    fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=200, **held).fit(points)
+    model.weights = [[float(x) for x in row] for row in fitted.coefficientMatrix.toArray()]
+    return model
 
 
 def domain_posteriors(docs: DataFrame, model: DomainClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc, n_tokens, p0 ... pk) of every row; a text without features that tell has the shares of such texts."""
+    """(row, doc, n_tokens, p0 ... pk) of every row."""
     ks = range(len(model.domains))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("n_tokens", F.size(F.array_remove(F.split("text", r"\s+"), "")).cast("bigint"))
-    features = rows.select("row", "doc", "n_tokens", F.explode_outer(_features(F.col("text"))).alias("feature"))
-    # MOST_FEATURES rows at most, words of a bounded sample
-    told = features.join(F.broadcast(model.table), "feature", "left")
-    sums = [F.coalesce(F.sum(f"l{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks]
-    summed = told.groupBy("row", "doc", "n_tokens").agg(F.count("l0").alias("found"), *sums)
-    scale = 1 / (1 + F.col("found") / EFFECTIVE_FEATURES)
-    logs = [F.col(f"s{k}") * scale + math.log(model.priors[k]) for k in ks]
-    bare = F.col("found") == 0
-    logs = [F.when(bare, math.log(model.unmarked[k])).otherwise(x).alias(f"s{k}") for k, x in enumerate(logs)]
-    summed = summed.select("row", "doc", "n_tokens", *logs)
+    features = rows.select("row", "doc", "n_tokens", F.explode(_features(F.col("text"))).alias("feature"))
+    keys = ["row", "doc", "n_tokens"]
+    told = _evidence(model.look_up(features), keys, [F.col(f"l{k}") for k in ks])
+    names = [f"{name}{k}" for name in "wf" for k in ks]
+    logs = [sum((F.col(x) * w for x, w in zip(names, model.weights[k])), F.lit(model.biases[k])).alias(f"s{k}") for k in ks]
+    summed = told.select(*keys, *logs)
     top = F.greatest(*[F.col(f"s{k}") for k in ks]) if len(model.domains) > 1 else F.col("s0")
     odds = [F.exp(F.col(f"s{k}") - top) for k in ks]
     total = sum(odds[1:], odds[0])
@@ -179,7 +249,7 @@ def mix_documents(
     tokens; domains without one have target 0. The total is ``budget`` tokens, or so many that ``anchor``
     = (domain, factor) has factor times the tokens it has now, or else what there is. ``copies`` rounds the rate up
     or down by a hash of the id, so that its expectation is the rate. Null and empty texts have no tokens, the
-    posteriors of texts without telling features and a rate like others. Rows without an id and repeated rows are rows of their own.
+    posteriors of a text of length 0 and a rate like others. What the rates reach is logged next to the targets. Rows without an id and repeated rows are rows of their own.
     An empty table gives an empty result; other columns are ignored.
     """
     total_weight = sum(weights.values())
@@ -197,7 +267,11 @@ def mix_documents(
         budget = anchor[1] * available[at] / shares[at]
     budget = sum(available) if budget is None else float(budget)
     start = min(budget / sum(available), most or math.inf) if sum(available) else 1.0
-    fitted, _ = fit_rates(mass, [s * budget for s in shares], start, most)
+    targets = [s * budget for s in shares]
+    fitted, reached = fit_rates(mass, targets, start, most)
+    for domain, r, t in zip(model.domains, reached, targets):
+        level = logging.INFO if abs(r - t) <= TOLERANCE * max(t, 1.0) else logging.WARNING
+        log.log(level, "domain %s: expected tokens %.6g, target %.6g", domain, r, t)
     chance = F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) / float(1 << 30)
     return fitted.select(
         F.col("doc").alias(id_col),

@@ -77,3 +77,45 @@ def test_errors_and_empty_tables(docs, labelled):
     with pytest.raises(ValueError, match="labelled documents"):
         M.mix_documents(docs, labelled.limit(0), {"calm": 1.0})
     assert M.mix_documents(docs.limit(0), labelled, {"calm": 1.0}).collect() == []
+
+
+def test_poor_and_toxic_documents_of_each_kind_are_told_from_clean_ones(spark):
+    from barloom.llm.queries import domain_labels, table
+
+    sf = "/root/testdata/sf0.1"
+    rows = domain_labels(spark, sf, table(spark, sf, "documents"))
+    model = M.fit_domains(rows.where("doc_id % 2 = 0"))
+    unseen = rows.where("doc_id % 2 = 1")
+    found = M.domain_posteriors(unseen, model).join(unseen.withColumnRenamed("doc_id", "doc"), "doc")
+    found = found.withColumnRenamed(f"p{model.domains.index('clean')}", "p_clean").select("domain", "text", "p_clean").toPandas()
+    words = found.text.str.lower().str.split()
+    share = lambda pattern: found.text.str.count(pattern) / found.text.str.len()
+    kinds = {
+        "one word over and over": words.map(lambda w: len(set(w)) / max(1, len(w))) < 0.1,
+        "capitals": share("[A-Z]") > 0.3,
+        "symbols": (share(r"[^\w\s]") > 0.12) & (share("[A-Z]") <= 0.3),
+    }
+    for kind in kinds.values():
+        p = found.p_clean[kind & (found.domain == "poor")]
+        assert len(p) >= 10 and p.mean() < 0.25
+    p = found.groupby("domain").p_clean
+    assert p.mean()["poor"] < 0.2 and p.mean()["toxic"] < 0.4 and p.median()["toxic"] < 0.2 and p.mean()["clean"] > 0.9
+
+
+def test_repetition_is_evidence_and_no_feature_is_left_out(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[(i * 7 + j * (1 + i % 3)) % 40] for j in range(30)), "clean") for i in range(120)]
+    rows += [(500 + i, " ".join([words[i % 40]] * 30), "poor") for i in range(20)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, domain string")
+    model = M.fit_domains(labelled)
+    assert {r.feature for r in model.table.collect()} >= set(words)
+    fresh = spark.createDataFrame([(1, "w33 " * 30), (2, " ".join(words[5:35]))], "doc_id bigint, text string")
+    p = {r.doc: r.p0 for r in M.domain_posteriors(fresh, model).collect()}
+    assert p[1] < 0.2 and p[2] > 0.9
+
+
+def test_what_the_rates_reach_is_logged(docs, labelled, caplog):
+    with caplog.at_level("INFO", logger=M.log.name):
+        M.mix_documents(docs, labelled, {"calm": 3, "spam": 1}, budget=50_000)
+    assert [r.getMessage().split(":")[0] for r in caplog.records] == ["domain calm", "domain spam"]
+    assert all("target" in r.getMessage() and r.levelname == "INFO" for r in caplog.records)
