@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, embeddings, langid, lm, mixing, ngram_join, quality, tokens, warc
+from barloom.llm import chat, contamination, embeddings, langid, lm, mixing, ngram_join, pieces, quality, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -110,3 +110,9 @@ MIX_WEIGHTS = {"clean": 0.90, "poor": 0.06, "toxic": 0.04}
 def op3_mixing_weights(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mixing.mix_documents(docs, domain_labels(spark, sf_dir, docs), MIX_WEIGHTS)
+
+
+@query
+def op13_sentence_pieces(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digests(pieces.encode_documents(table(spark, sf_dir, "documents"), path), path)
