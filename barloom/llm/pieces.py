@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.words import SLICE_ROWS, char_slices
+
 # --- fixed values of the model format ------------------------------------------------
 SPACE = "▁"
 FIELD_PIECE, FIELD_TRAINER, FIELD_NORMALIZER = 1, 2, 3
@@ -34,9 +36,7 @@ TRAINER_SUFFIX_SPACE = 24
 NO_NORMALIZER = bytes([FIELD_NORMALIZER << 3 | 2, 8, NORMALIZER_MAP << 3 | 2, 0, NORMALIZER_PREFIX << 3, 0, NORMALIZER_TRIM << 3, 0, NORMALIZER_ESCAPE << 3, 0])
 
 _SPACE_BYTES = SPACE.encode()
-#: Texts of one pass, and words remembered by a task.
-_SLICE_CHARS = 1 << 20
-_SLICE_ROWS = 500
+#: Words remembered by a task, and their longest.
 _CACHE_WORDS = 200_000
 _CACHE_WORD_CHARS = 64
 
@@ -285,17 +285,6 @@ class Encoder:
         return [(x, *self.model.spans(x, places)) for x, (_, places) in zip(ids, normal)]
 
 
-def _slices(frames: Iterator[pd.DataFrame], text_col: str) -> Iterator[pd.DataFrame]:
-    """Rows in steps of about a million characters; a longer text comes alone."""
-    for frame in frames:
-        sizes = frame[text_col].str.len().fillna(0).to_numpy(dtype=np.int64)
-        step = np.maximum(np.cumsum(sizes) // _SLICE_CHARS, np.arange(len(frame)) // _SLICE_ROWS)
-        cuts = np.flatnonzero(np.diff(step)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(frame)]):
-            if b > a:
-                yield frame.iloc[a:b]
-
-
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, begins, ends): a document's piece ids, and for each piece the bytes ``[begin, end)`` of its text in UTF-8.
 
@@ -306,7 +295,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model_path)
-        for frame in _slices(frames, "text"):
+        for frame in char_slices(frames, "text"):
             coded = encoder.encode([t if isinstance(t, str) else "" for t in frame["text"]])
             ids, begins, ends = ([x.astype(np.int32) for x in column] for column in zip(*coded))
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": ids, "begins": begins, "ends": ends})
@@ -321,8 +310,8 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         for frame in frames:
-            for at in range(0, len(frame), _SLICE_ROWS):
-                part = frame.iloc[at : at + _SLICE_ROWS]
+            for at in range(0, len(frame), SLICE_ROWS):
+                part = frame.iloc[at : at + SLICE_ROWS]
                 texts = model.decode([ids.tolist() for ids in part["ids"]], num_threads=1)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": part["ids"].to_numpy(), "text": texts})
 
@@ -337,8 +326,8 @@ def digests(encoded: DataFrame, model_path: str) -> DataFrame:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         names = np.array([str(i) for i in range(model.get_piece_size())], dtype=object)
         for frame in frames:
-            for at in range(0, len(frame), _SLICE_ROWS):
-                part = frame.iloc[at : at + _SLICE_ROWS]
+            for at in range(0, len(frame), SLICE_ROWS):
+                part = frame.iloc[at : at + SLICE_ROWS]
                 texts = model.decode([ids.tolist() for ids in part["ids"]], num_threads=1)
                 yield pd.DataFrame(
                     {

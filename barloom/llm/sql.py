@@ -115,3 +115,36 @@ SELECT n.doc_id, n_words, round(coalesce(sum(score), 0), 4) + 0.0::DOUBLE AS log
   CASE WHEN n_words > 0 THEN round(sum(score) / n_words, 4) + 0.0::DOUBLE END AS mean_log_score,
   count(*) FILTER (k = 0) AS order_0, count(*) FILTER (k = 1) AS order_1, count(*) FILTER (k = 2) AS order_2, count(*) FILTER (k = 3) AS order_3
 FROM n LEFT JOIN scored USING (doc_id) GROUP BY n.doc_id, n_words"""
+
+
+def _crc_steps() -> str:
+    """The 16 values by which the low four bits of a register change it, for polynomial 0xEDB88320."""
+    values = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        values.append(f"{x}::BIGINT")
+    return f"[{', '.join(values)}]"
+
+
+_LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 goes through a text's bytes in two steps of four bits, the low ones first.
+_nibbles = "flatten(list_transform(range(1, strlen(f) + 1), lambda i: [('0x' || hex(f)[2*i:2*i])::BIGINT, ('0x' || hex(f)[2*i-1:2*i-1])::BIGINT]))"
+_crc = f"xor(list_reduce({_nibbles}, lambda a, x: xor(a >> 4, steps[(xor(a, x) & 15) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+SQL["op12_importance_resampling"] = rf"""
+WITH raw AS (
+  SELECT true AS ours, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+w AS (SELECT ours, id, regexp_extract_all({_LOWERED.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM raw),
+g AS (SELECT ours, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+c AS (SELECT f, {_crc} % 10000 AS b FROM (SELECT DISTINCT f, {_crc_steps()} AS steps FROM g)),
+h AS (SELECT b, count(*) FILTER (ours) AS s, count(*) FILTER (NOT ours) AS t FROM g JOIN c USING (f) GROUP BY b),
+n AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM h),
+gain AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM h, n),
+d AS (SELECT id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+      FROM g JOIN c USING (f) JOIN gain USING (b) WHERE ours GROUP BY id),
+z AS (
+  SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS fit,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || id)[:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN d USING (id) WHERE ours),
+r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) FILTER (fit) OVER () AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM r"""

@@ -123,6 +123,22 @@ def text_slices(frames, rows: int = 1000):
             yield frame.iloc[at : at + rows]
 
 
+#: Most rows and characters of one step.
+SLICE_ROWS = 500
+SLICE_CHARS = 1 << 20
+
+
+def char_slices(frames, text_col: str):
+    """Arrow batches in steps of about a million characters; a longer text comes with few others."""
+    for frame in frames:
+        sizes = frame[text_col].str.len().fillna(0).to_numpy(dtype=np.int64)
+        step = np.maximum(np.cumsum(sizes) // SLICE_CHARS, np.arange(len(frame)) // SLICE_ROWS)
+        cuts = (np.flatnonzero(np.diff(step)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(frame)]):
+            if b > a:
+                yield frame.iloc[a:b]
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words; of the whole sequence where it is shorter."""
     if not len(words):
