@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, embeddings, importance, langid, lm, mixing, ngram_join, pieces, quality, tokens, warc
+from barloom.llm import chat, collocations, contamination, embeddings, importance, langid, lm, mixing, ngram_join, pieces, quality, tokens, warc
 from barloom.llm.shipping import ship
 from barloom.session import materialize, workspace
 
@@ -112,6 +112,11 @@ def op3_mixing_weights(spark, sf_dir):
     return mixing.mix_documents(docs, domain_labels(spark, sf_dir, docs), MIX_WEIGHTS)
 
 
+@query
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_importance_resampling(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -148,3 +148,23 @@ z AS (
   FROM w LEFT JOIN d USING (id) WHERE ours),
 r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) FILTER (fit) OVER () AS n FROM z)
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM r"""
+
+SQL["op11_phrase_collocations"] = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (
+  SELECT f.lang, f.phrase, f.a, cut, l.a AS l, r.a AS r, n,
+    (1000::HUGEINT * f.a * n // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM f WHERE k > 1) f
+  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(ws[:cut], ' ')
+  JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ') JOIN n ON n.lang = f.lang),
+low AS (SELECT lang, phrase, a, n, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score FROM c GROUP BY ALL),
+kept AS (
+  SELECT * FROM low WHERE NOT EXISTS (
+    SELECT 1 FROM f x WHERE x.lang = low.lang AND x.a = low.a AND len(x.phrase) > len(low.phrase) AND contains(' ' || x.phrase || ' ', ' ' || low.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""

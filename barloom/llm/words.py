@@ -38,6 +38,7 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORDS = np.where(_IS_SPACE, 0, 1).astype(np.int8)
 WORDS_AND_SYMBOLS = WORDS.copy()
 WORDS_AND_SYMBOLS[[i for i in range(128) if WORDS[i] and not chr(i).isalnum()]] = 2
+_LOWERED = {i: i + 32 for i in range(65, 91)}
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -116,6 +117,56 @@ def batch_word_hashes(texts, classes: np.ndarray = WORDS) -> list[np.ndarray]:
     return out
 
 
+class Runs:
+    """The runs of one class of many texts, in order: hash, class and text of each, and their bytes.
+
+    Long texts go through in pieces that end at white space.
+    """
+
+    def __init__(self, texts, classes: np.ndarray):
+        self.classes = classes
+        self._buffers: list[np.ndarray] = []
+        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held, owners, size = [], [], 0
+        for owner, text in enumerate(texts):
+            data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+            for piece in _pieces(data):
+                if size + len(piece) > 2 * PIECE:
+                    self._hash(held, owners)
+                    held, owners, size = [], [], 0
+                held.append(piece)
+                owners.append(owner)
+                size += len(piece) + 1
+        self._hash(held, owners)
+        hashes, starts, owner = (np.concatenate(x) for x in zip(*self._parts))
+        self.hashes, self.owner, self._starts = hashes, owner, starts
+        self._first = np.cumsum([0, *(len(p[0]) for p in self._parts)])
+        kinds = [classes[b[p[1]]] for b, p in zip(self._buffers, self._parts)]
+        self.kinds = np.concatenate(kinds)
+
+    def _hash(self, held, owners):
+        space = np.full(1, 0x20, dtype=np.uint8)
+        buffer = np.concatenate([x for piece in held for x in (piece, space)] or [space])
+        hashes, starts = _hash_piece(buffer, self.classes)
+        offsets = np.cumsum([0, *(len(p) + 1 for p in held)])[:-1]
+        owner = np.array(owners, dtype=np.int64)[np.searchsorted(offsets, starts, side="right") - 1] if held else starts
+        self._buffers.append(buffer)
+        self._parts.append((hashes, starts, owner))
+
+    def text(self, i: int) -> str:
+        """The bytes of run i with A-Z lowered."""
+        part = int(np.searchsorted(self._first, i, side="right")) - 1
+        buffer, start = self._buffers[part], self._starts[i]
+        end, step = start, 64
+        while True:
+            other = np.flatnonzero(self.classes[buffer[end : end + step]] != self.kinds[i])
+            if len(other) or end + step >= len(buffer):
+                end = end + other[0] if len(other) else len(buffer)
+                break
+            end, step = end + step, step * 2
+        return buffer[start:end].tobytes().decode("utf-8", "replace").translate(_LOWERED)
+
+
 def text_slices(frames, rows: int = 1000):
     """Arrow batches in smaller steps, so that hashes of few texts are held at once."""
     for frame in frames:

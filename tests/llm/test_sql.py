@@ -30,6 +30,6 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_one_query_per_operator_and_the_pipeline():
     names = driver.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(SQL) <= set(driver.oracle_sql())
