@@ -101,6 +101,10 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
 
+def _strings(values: list) -> np.ndarray:
+    return np.array(values, dtype=object)
+
+
 # --- counting ---------------------------------------------------------------------------
 def _count_words(texts: DataFrame) -> DataFrame:
     """(lang, word, n) of every word key; of all words together where ``word`` is NULL."""
@@ -110,8 +114,7 @@ def _count_words(texts: DataFrame) -> DataFrame:
 
         def sent() -> pd.DataFrame:
             salt, word, n = sums.take()
-            names = pd.Series(salt).map(langs)
-            return pd.DataFrame({"lang": names.astype(object), "word": word.view(np.int64), "n": n})
+            return pd.DataFrame({"lang": _strings([langs[x] for x in salt.tolist()]), "word": word.view(np.int64), "n": n})
 
         for frame in frames:
             for part in char_slices([frame], "text"):
@@ -125,7 +128,8 @@ def _count_words(texts: DataFrame) -> DataFrame:
                 if sums.full():
                     yield sent()
         yield sent()
-        yield pd.DataFrame({"lang": list(totals), "word": pd.array([None] * len(totals), dtype="Int64"), "n": list(totals.values())})
+        n = np.array(list(totals.values()), dtype=np.int64)
+        yield pd.DataFrame({"lang": _strings(list(totals)), "word": pd.array([None] * len(n), dtype="Int64"), "n": n})
 
     return texts.mapInPandas(run, "lang string, word bigint, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -146,7 +150,7 @@ def _count_level(texts: DataFrame, trie: Trie, start: int, alone: bool) -> DataF
 
         def longer() -> pd.DataFrame:
             phrase, last, n = sums.take()
-            return pd.DataFrame({"phrase": phrase.view(np.int64) + start, "last": pd.array(last.view(np.int64), dtype="Int64"), "n": n, "word": None})
+            return pd.DataFrame({"phrase": phrase.view(np.int64) + start, "last": pd.array(last.view(np.int64), dtype="Int64"), "n": n, "word": _strings([None] * len(n))})
 
         for frame in frames:
             for part in char_slices([frame], "text"):
@@ -166,7 +170,7 @@ def _count_level(texts: DataFrame, trie: Trie, start: int, alone: bool) -> DataF
                         _, first = np.unique(phrase, return_index=True)
                         at = dict(zip(phrase[first].tolist(), position[first].tolist()))
                         words = [runs.text(int(np.searchsorted(places, at[i]))) for i in fresh.tolist()]
-                        yield pd.DataFrame({"phrase": fresh + start, "last": pd.array([None] * len(fresh), dtype="Int64"), "n": 0, "word": words})
+                        yield pd.DataFrame({"phrase": fresh + start, "last": pd.array([None] * len(fresh), dtype="Int64"), "n": 0, "word": _strings(words)})
                 goes_on = position + trie.width < len(spread)
                 position, phrase = position[goes_on], phrase[goes_on]
                 last = spread[position + trie.width]
@@ -180,7 +184,7 @@ def _count_level(texts: DataFrame, trie: Trie, start: int, alone: bool) -> DataF
                     yield longer()
         yield longer()
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"phrase": used + start, "last": pd.array([None] * len(used), dtype="Int64"), "n": counts[used], "word": None})
+        yield pd.DataFrame({"phrase": used + start, "last": pd.array([None] * len(used), dtype="Int64"), "n": counts[used], "word": _strings([None] * len(used))})
 
     return texts.mapInPandas(run, "phrase bigint, last bigint, n bigint, word string")
 
