@@ -38,37 +38,60 @@ ENDING, FORM = "\u0001", "\u0002"
 LENGTH_POWER = 1.0
 #: Penalty on the squared weights of the evidence.
 PENALTY = 1e-8
-#: Features that are broadcast; of larger tables Spark chooses how to join.
-BROADCAST_FEATURES = 2_000_000
+#: Bytes of features that are broadcast; of larger tables Spark chooses how to join.
+BROADCAST_BYTES = 256 << 20
 MOST_DOMAINS = 100
 STEPS = 64
 STEPS_PER_TABLE = 8
 TOLERANCE = 1e-4
 
+#: The JVM compiles no method beyond this many bytes; Spark then runs a plan without one large method.
+METHOD_CONF, METHOD_BYTES = "spark.sql.codegen.hugeMethodLimit", "8000"
+
 log = logging.getLogger(__name__)
 
 
-def _form(text: Column, words: Column) -> Column:
-    """How a text is built: classes of its length and of the shares of words that differ, of the most frequent word,
-    of words that repeat the one before, of capitals and of symbols."""
-    n, chars = F.size(words), F.greatest(F.length(text), F.lit(1))
-    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("again"))
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` under ``METHOD_CONF``, which is set back afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(METHOD_CONF)
+    conf.set(METHOD_CONF, METHOD_BYTES)
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(METHOD_CONF, before)
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """Adds to ``text`` its words and what its form is told by. Each step is a projection of its own, so
+    that nothing is evaluated twice."""
+    text, words, ordered = F.col("text"), F.col("words"), F.col("ordered")
+    rows = rows.withColumns(
+        {
+            "words": F.array_remove(F.split(F.lower(text), r"\s+"), ""),
+            "capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
+            "symbols": F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")),
+        }
+    )
+    same = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: a == b)
+    rows = rows.withColumns({"again": F.size(F.filter(same, lambda x: x)), "given": F.array_distinct(words), "ordered": F.sort_array(words)})
+    # In order, equal words are neighbours: the longest run of ones among the marks of "as the next one".
+    marks = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.size(ordered)), lambda a, b: F.when(a == b, "1").otherwise("0"))
+    runs = F.transform(F.split(F.array_join(marks, ""), "0"), F.length)
+    return rows.withColumn("most", F.array_max(runs) + 1)
 
-    def count(state: Column, word: Column) -> Column:
-        same = state["word"] == word
-        run = F.when(same, state["run"] + 1).otherwise(F.lit(1))
-        again = state["again"] + same.cast("int")
-        return F.struct(word.alias("word"), run.alias("run"), F.greatest(state["most"], run).alias("most"), again.alias("again"))
 
-    most = F.aggregate(F.sort_array(words), start, count, lambda state: state["most"])
-    again = F.aggregate(words, start, count, lambda state: state["again"])
+def _form() -> Column:
+    """How a text is built: classes of its length and of the shares of words that differ, of the most frequent word,
+    of words that repeat the one before, of capitals and of symbols."""
+    n, chars = F.size("words"), F.greatest(F.length("text"), F.lit(1))
     length = F.floor(F.log2(n + F.lit(1.0)) / 2)
-    distinct = F.floor(F.size(F.array_distinct(words)) * 20 / n)
-    frequent = F.floor(F.log2(n / most) * 2)
-    repeats = F.ceil(F.sqrt(again / n) * 8)
+    distinct = F.floor(F.size("given") * 20 / n)
+    frequent = F.floor(F.log2(n / F.col("most")) * 2)
+    repeats = F.ceil(F.sqrt(F.col("again") / n) * 8)
     # like a word, a kind of character is evidence where it occurs
-    capitals = F.nullif(F.ceil(F.sqrt(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / chars) * 12), F.lit(0))
-    symbols = F.nullif(F.ceil(F.sqrt(F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")) / chars) * 20), F.lit(0))
+    capitals = F.when(F.col("capitals") > 0, F.ceil(F.sqrt(F.col("capitals") / chars) * 12))
+    symbols = F.when(F.col("symbols") > 0, F.ceil(F.sqrt(F.col("symbols") / chars) * 20))
     named = {"length": [length], "distinct": [length, distinct], "frequent": [length, frequent]}
     named |= {"repeats": [repeats], "capitals": [capitals], "symbols": [symbols]}
     classes = [
@@ -77,13 +100,12 @@ def _form(text: Column, words: Column) -> Column:
     return F.when(n > 0, F.array_compact(F.array(*classes))).otherwise(F.array(F.lit(f"{FORM}length 0")))
 
 
-def _features(text: Column) -> Column:
-    """Distinct words of a text in lower case without symbols around them, distinct endings behind a mark, and its form."""
-    all_words = F.array_remove(F.split(F.lower(text), r"\s+"), "")
-    given = F.array_distinct(all_words)
-    words = F.transform(given, lambda w: F.btrim(w, F.lit(SYMBOLS)))
-    endings = F.transform(given, lambda w: F.concat(F.lit(ENDING), F.right(w, F.lit(ENDING_CHARS))))
-    return F.concat(F.array_remove(F.array_distinct(words), ""), F.array_distinct(endings), _form(text, all_words))
+def _features(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, feature): distinct words of a text in lower case without symbols around them, distinct endings behind a mark, and its form."""
+    words = F.transform("given", lambda w: F.btrim(w, F.lit(SYMBOLS)))
+    endings = F.transform("given", lambda w: F.concat(F.lit(ENDING), F.right(w, F.lit(ENDING_CHARS))))
+    every = F.concat(F.array_remove(F.array_distinct(words), ""), F.array_distinct(endings), _form())
+    return _measured(rows).select(*keys, F.explode(every).alias("feature"))
 
 
 def _lifts(n: Column, counts: list[Column], priors: list[float]) -> list[Column]:
@@ -117,7 +139,8 @@ class DomainClassifier:
 
     def __init__(self, domains: list[str], priors: list[float], table: DataFrame, weights: list[list[float]], biases: list[float]):
         self.domains, self.priors, self.table, self.weights, self.biases = domains, priors, table, weights, biases
-        self.small = table.count() <= BROADCAST_FEATURES
+        size = F.sum(F.octet_length("feature") + 8 * len(domains) + 48)
+        self.small = (table.agg(size).first()[0] or 0) <= BROADCAST_BYTES
 
     def look_up(self, features: DataFrame) -> DataFrame:
         return features.join(F.broadcast(self.table) if self.small else self.table, "feature", "left")
@@ -143,7 +166,7 @@ def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "
     ks = range(len(domains))
     priors = [r["count"] / total for r in sizes]
     having = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)]
-    pairs = sample.select("digest", "domain", F.explode(_features(F.col("text"))).alias("feature"))
+    pairs = _stored(_features(sample, "digest", "domain"), "labelled-features")
     counts = materialize(pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *having), "feature-counts")
     lifts = _lifts(F.col("n"), [F.col(f"c{k}") for k in ks], priors)
     table = materialize(counts.select("feature", *[x.alias(f"l{k}") for k, x in enumerate(lifts)]), "domain-features")
@@ -156,7 +179,7 @@ def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "
     label = F.coalesce(*[F.when(F.col("domain") == d, float(k)) for k, d in enumerate(domains)])
     names = [f"{name}{k}" for name in "wf" for k in ks]
     points = VectorAssembler(inputCols=names, outputCol="features").transform(seen.withColumn("label", label))
-    points = materialize(points.select("features", "label"), "evidence")
+    points = _stored(points.select("features", "label"), "evidence")
     model.biases = [math.log(p) for p in priors]
     held = {f"{side}BoundsOnIntercepts": Vectors.dense(model.biases) for side in ("lower", "upper")}
     fitted = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=200, **held).fit(points)
@@ -170,8 +193,8 @@ def domain_posteriors(docs: DataFrame, model: DomainClassifier, id_col: str = "d
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("n_tokens", F.size(F.array_remove(F.split("text", r"\s+"), "")).cast("bigint"))
-    features = rows.select("row", "doc", "n_tokens", F.explode(_features(F.col("text"))).alias("feature"))
     keys = ["row", "doc", "n_tokens"]
+    features = _features(rows, *keys)
     told = _evidence(model.look_up(features), keys, [F.col(f"l{k}") for k in ks])
     names = [f"{name}{k}" for name in "wf" for k in ks]
     logs = [sum((F.col(x) * w for x, w in zip(names, model.weights[k])), F.lit(model.biases[k])).alias(f"s{k}") for k in ks]
@@ -259,7 +282,7 @@ def mix_documents(
     unknown = set(weights) - set(model.domains)
     if unknown:
         raise ValueError(f"no labelled document is of {sorted(unknown)}")
-    mass = materialize(domain_posteriors(docs, model, id_col, text_col), "posteriors")
+    mass = _stored(domain_posteriors(docs, model, id_col, text_col), "posteriors")
     available = _sums(mass, F.lit(1.0), len(model.domains))
     shares = [weights.get(d, 0.0) / total_weight for d in model.domains]
     if budget is None and anchor is not None:
@@ -286,5 +309,6 @@ def apply_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> D
     """The rows of ``docs``, each as often as its copies say; rows without an id stay once."""
     times = mixed.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_mixed")).agg(F.max("copies").alias("_copies"))
     joined = docs.join(times, docs[id_col] == times["_mixed"], "left")
-    repeated = F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int"))).alias("_")
-    return joined.select(*[docs[c] for c in docs.columns], repeated).drop("_")
+    each = max(docs.columns, key=len) + "_"  # a name that docs has not
+    repeated = F.explode(F.array_repeat(F.lit(0), F.coalesce(times["_copies"], F.lit(1)).cast("int"))).alias(each)
+    return joined.select(*[docs[c] for c in docs.columns], repeated).drop(each)

@@ -36,9 +36,8 @@ TRAINER_SUFFIX_SPACE = 24
 NO_NORMALIZER = bytes([FIELD_NORMALIZER << 3 | 2, 8, NORMALIZER_MAP << 3 | 2, 0, NORMALIZER_PREFIX << 3, 0, NORMALIZER_TRIM << 3, 0, NORMALIZER_ESCAPE << 3, 0])
 
 _SPACE_BYTES = SPACE.encode()
-#: Words remembered by a task, and their longest.
+#: Words remembered by a task, and an eighth of their ids.
 _CACHE_WORDS = 200_000
-_CACHE_WORD_CHARS = 64
 
 
 # --- reading the model ----------------------------------------------------------------
@@ -137,24 +136,23 @@ class Model:
         self.chars = CharMap(blob)
         self.prefix, self.trim, self.escape = (bool(flags[k]) for k in (NORMALIZER_PREFIX, NORMALIZER_TRIM, NORMALIZER_ESCAPE))
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=data + NO_NORMALIZER)
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.byte_of = np.full(len(texts), -1, dtype=np.int64)
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int32)
+        self.byte_of = np.full(len(texts), -1, dtype=np.int16)
         for i, (text, kind) in enumerate(zip(texts, kinds)):
             if kind == TYPE_BYTE:
                 self.byte_of[i] = int(text[3:5], 16)
         crossing = re.compile(f"[^{SPACE}]{SPACE}")
-        goes_on = any(crossing.search(t.decode()) for t, kind in zip(texts, kinds) if kind == TYPE_NORMAL)
-        self.words = re.compile(".+" if goes_on else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL)
+        self.crosses = any(crossing.search(t.decode()) for t, kind in zip(texts, kinds) if kind == TYPE_NORMAL)
 
     # --- normalising -------------------------------------------------------------------
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each of them, and the end, a byte of the source."""
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        first = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
         sizes = np.diff(np.append(first, len(data)))
-        out_sizes, filled = sizes.copy(), []
-        if self.chars and len(first):
-            first, sizes, out_sizes, filled = self._mapped(data, first, sizes)
+        if not self.chars or not len(first):
+            return self._spaced(data, np.repeat(first, sizes), first, sizes, first, len(data))
+        first, sizes, out_sizes, filled = self._mapped(data, first, sizes)
         # Chunks are what one step of normalising takes from the source: a key of the map or a character.
         ends = np.cumsum(out_sizes)
         begins = ends - out_sizes
@@ -168,7 +166,7 @@ class Model:
         plain = np.repeat(same, out_sizes)
         within = np.arange(len(out)) - np.repeat(begins, out_sizes)
         out[plain] = data[(source + within)[plain]]
-        return self._spaced(out, source, begins, out_sizes, first, sizes, len(data))
+        return self._spaced(out, source, begins, out_sizes, first, len(data))
 
     def _mapped(self, data, first, sizes):
         """Chunks of the text once the map is applied, and (chunks, replacement) of those it changes."""
@@ -198,10 +196,9 @@ class Model:
         first = first[stays]
         return first, np.diff(np.append(first, len(data))), out_sizes[stays], filled
 
-    def _spaced(self, out, source, begins, out_sizes, first, sizes, n):
+    def _spaced(self, out, source, begins, out_sizes, first, n):
         """Spaces trimmed, marked and put in front, as the model asks."""
         space = out == 0x20
-        keep = np.ones(len(out), dtype=bool)
         start = 0
         if self.trim:
             used = np.flatnonzero(out_sizes)
@@ -217,15 +214,16 @@ class Model:
             if not len(other):
                 return b"", np.array([n])
             start = int(first[other[0]])
+            out, source, space = out[keep], source[keep], space[keep]
         elif not n:
             return b"", np.array([0])
         mark = np.frombuffer(_SPACE_BYTES if self.escape else b" ", dtype=np.uint8)
-        out, source, space = out[keep], source[keep], space[keep]
         width = np.where(space, len(mark), 1)
-        begin = np.cumsum(width) - width
         marked = np.repeat(out, width)
+        blank = np.flatnonzero(space)
+        begin = blank + (len(mark) - 1) * np.arange(len(blank))
         for i, byte in enumerate(mark):
-            marked[begin[space] + i] = byte
+            marked[begin + i] = byte
         places = np.append(np.repeat(source, width), n)
         data = marked.tobytes()
         if self.prefix:
@@ -249,10 +247,36 @@ class Model:
             lead = np.maximum.accumulate(np.where(goes_on, 0, index))
             last = np.append(~goes_on[1:], True)
             size = np.where(byte < 0, size, np.where(last, index - lead + 1, 0))
-        ends = np.cumsum(size)
-        begins = ends - size
-        begin, end = places[begins], places[ends]
-        return begin, np.where(size > 0, end, begin)
+        bounds = np.zeros(len(ids) + 1, dtype=np.int32)
+        np.cumsum(size, out=bounds[1:])
+        places = places[bounds]
+        return places[:-1], np.where(size > 0, places[1:], places[:-1])
+
+
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+
+
+def _cut(text: str) -> list[str]:
+    """The words of a normalised text, for ``_uncut``: what follows a space stands for both, all else has a mark in front."""
+    if text.startswith(SPACE) and SPACE + SPACE not in text:
+        return text.split(SPACE)[1:]
+    return [w[1:] if w[0] == SPACE and w[1:2] != SPACE else SPACE + w for w in _WORD.findall(text)]
+
+
+def _uncut(word: str) -> str:
+    return word[1:] if word.startswith(SPACE) else SPACE + word
+
+
+class _Words(dict):
+    """Numbers of words, in the order in which they were first asked for."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
 
 
 class Encoder:
@@ -260,23 +284,34 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = Model(path)
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = _Words()
+        self.flat = np.empty(0, dtype=np.int32)
+        self.stops = np.zeros(1, dtype=np.int64)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of normalised texts."""
-        cut = [self.model.words.findall(t) for t in texts]
-        fresh = [w for w in set(chain.from_iterable(cut)).difference(self.known)]
-        coded = dict(zip(fresh, self.model.plain.encode(fresh, num_threads=1))) if fresh else {}
-        if len(self.known) > _CACHE_WORDS:
-            coded |= {w: self.known[w] for w in set(chain.from_iterable(cut)).intersection(self.known)}
-            self.known = {}
-        self.known |= coded
-        get = self.known.__getitem__
-        out = [np.array(list(chain.from_iterable(map(get, words))), dtype=np.int64) for words in cut]
-        for word in fresh:
-            if len(word) > _CACHE_WORD_CHARS:
-                del self.known[word]
-        return out
+        if len(self.words) > _CACHE_WORDS or len(self.flat) > 8 * _CACHE_WORDS:
+            self._forget()
+        number = self.words.__getitem__
+        cut = [[SPACE + t] for t in texts] if self.model.crosses else map(_cut, texts)
+        numbers = [np.fromiter(map(number, words), dtype=np.int64, count=len(words)) for words in cut]
+        if self.words.fresh:
+            coded = self.model.plain.encode(list(map(_uncut, self.words.fresh)), num_threads=1)
+            stops = np.cumsum([len(x) for x in coded]) + len(self.flat)
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(coded), dtype=np.int32)))
+            self.stops = np.concatenate((self.stops, stops))
+            self.words.fresh = []
+        return [self._joined(x) for x in numbers]
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
+        start, stop = self.stops[numbers], self.stops[numbers + 1]
+        size = stop - start
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(start - (ends - size), size)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, begin, end) of each text."""
@@ -297,7 +332,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         encoder = Encoder(model_path)
         for frame in char_slices(frames, "text"):
             coded = encoder.encode([t if isinstance(t, str) else "" for t in frame["text"]])
-            ids, begins, ends = ([x.astype(np.int32) for x in column] for column in zip(*coded))
+            ids, begins, ends = ([x.astype(np.int32, copy=False) for x in column] for column in zip(*coded))
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": ids, "begins": begins, "ends": ends})
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -98,9 +98,11 @@ def op9_lm_scores(spark, sf_dir):
 
 def domain_labels(spark, sf_dir, docs):
     """Labelled documents of three domains: toxic, and otherwise clean or poor."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), "quality", "toxic")
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "poor")
-    return docs.join(labels, docs["doc_id"] == labels["labelled_id"]).select("doc_id", "text", domain.alias("domain"))
+    toxic, quality = F.col("toxic"), F.col("quality")
+    domain = F.when(toxic == 1, "toxic").when(quality == 1, "clean").when(quality == 0, "poor")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), domain.alias("domain"))
+    texts = docs.select("doc_id", "text")
+    return texts.join(labels, F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "domain")
 
 
 MIX_WEIGHTS = {"clean": 0.90, "poor": 0.06, "toxic": 0.04}

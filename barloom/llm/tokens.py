@@ -102,7 +102,7 @@ class WordCache:
     """Encodes texts word by word, calling the tokenizer once per new word.
 
     The tokenizer cuts a text into words first and merges within words only, so
-    equal words have equal ids. Texts with code points from U+0250 on go to the tokenizer whole.
+    equal words have equal ids. Texts with code points from U+0250 on, or with the string of a special token, go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -110,8 +110,8 @@ class WordCache:
 
         self.whole = Tokenizer.from_file(tokenizer_path)
         self.single = Tokenizer.from_file(tokenizer_path)
-        for t in (self.whole, self.single):
-            t.encode_special_tokens = True
+        self.single.encode_special_tokens = True  # words have no special tokens in them
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.by_words = isinstance(self.whole.pre_tokenizer, pre_tokenizers.ByteLevel) and self.whole.normalizer is None
         if self.by_words:
             self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -147,7 +147,8 @@ class WordCache:
         out: list[np.ndarray | None] = [None] * len(texts)
         held, size = [], 0
         for i, text in enumerate(texts):
-            if not (self.by_words and len(text) <= _CHUNK_CHARS and _is_plain(text)):
+            by_words = self.by_words and len(text) <= _CHUNK_CHARS and _is_plain(text)
+            if not by_words or any(s in text for s in self.special):
                 out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
                 continue
             if size + len(text) > _CHUNK_CHARS:
@@ -274,7 +275,7 @@ def write_segments(
 
     ``end_id`` follows every document. Null and empty texts have the end id only; rows
     without an id come first; rows that repeat an id are each written, ordered by
-    their content. Strings of special tokens in a text are ordinary text. An empty table writes no
+    their content. Strings of special tokens in a text become their ids, as the library has it. An empty table writes no
     segment. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -298,6 +299,7 @@ def write_segments(
                         "frame": [packer.compress(x.tobytes()) for x in ids],
                     }
                 )
+        cache.forget()  # the worker lives on and may do other work next
 
     frames = materialize(texts.mapInPandas(encode, "doc bigint, n bigint, frame binary"), "token-frames")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import mixing as M
+from barloom.llm import queries
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +65,15 @@ def test_rates_agree_with_a_dense_solver(spark):
     assert found == pytest.approx([rate[i] for i in order], abs=0.02)
 
 
+def test_extra_columns_keep_their_names(spark, tmp_path):
+    rows = [(1, "a", "x", "y", "z", 5), (2, "b", "x", "y", "z", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `_` string, quality string, toxic string, _copies int")
+    mixed = spark.createDataFrame([(1, 2), (2, 0)], "doc_id bigint, copies bigint")
+    assert [tuple(r) for r in M.apply_copies(docs, mixed).collect()] == [rows[0], rows[0]]
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(map(tuple, queries.domain_labels(spark, str(tmp_path), docs).collect())) == [(1, "a", "clean"), (2, "b", "toxic")]
+
+
 def test_main_path_has_no_python(docs, labelled):
     plan = M.domain_posteriors(docs, M.fit_domains(labelled))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
