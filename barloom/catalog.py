@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from barloom import config as C
 from barloom.functions import drop_null_rows, is_finite, month_key, replace_infinite_with_nan
-from barloom.operators import archive, backtest, baselines, folds, indicators, labels, metrics, profile
-from barloom.operators.bars import build_bars, project_ticks, store_bars
+from barloom.operators import archive, backtest, baselines, folds, indicators, labels, metrics, profile, sketches, state
+from barloom.operators.bars import between, build_bars, project_ticks, store_bars
 from barloom.operators.quantiles import LINEAR, NEAREST, exact_quantiles
 from barloom.operators.series import index_series
 from barloom.plans import dataset, run, stacking
@@ -103,6 +103,39 @@ def _(spark, sf):
     return profile.tick_quality(line_ticks(spark, sf))
 
 
+SKETCH_CUT = datetime(1996, 1, 1)
+SKETCH_QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def _stored_sketches(spark, sf) -> DataFrame:
+    """Sketches of the months before a cut, and those of the later months added to them."""
+    ticks = line_ticks(spark, sf)
+    early = sketches.tick_sketches(between(ticks, None, SKETCH_CUT))
+    late = materialize(sketches.tick_sketches(between(ticks, SKETCH_CUT, None)), "late-sketches")
+    return materialize(sketches.replace_sketches(materialize(early, "early-sketches"), late), "sketches")
+
+
+@query("spread_sketches")
+def _(spark, sf):
+    """Quantiles from merged monthly sketches, and whether their exact ranks keep the bound."""
+    merged = sketches.merge_months(_stored_sketches(spark, sf))
+    estimates = materialize(sketches.sketch_quantiles(merged, SKETCH_QUANTILES), "sketch-quantiles")
+    ranked = sketches.exact_ranks(line_ticks(spark, sf), estimates)
+    low, high = F.col("quantile") - sketches.RANK_ERROR, F.col("quantile") + sketches.RANK_ERROR
+    within = (F.col("below") <= high) & (F.col("up_to") >= low)
+    return ranked.select(SYMBOL, "quantile", "n", within.alias("within_bound"))
+
+
+@query("distinct_time_sketches")
+def _(spark, sf):
+    """Exact distinct times next to whether the merged monthly sketches are within their bound."""
+    found = sketches.sketch_distinct(sketches.merge_months(_stored_sketches(spark, sf)))
+    exact = line_ticks(spark, sf).groupBy(SYMBOL).agg(F.count_distinct(TIMESTAMP).alias("distinct_times"))
+    off = F.abs(F.col("distinct") - F.col("distinct_times"))
+    within = off <= sketches.COUNT_ERROR * F.col("distinct_times")
+    return found.join(exact, SYMBOL).select(SYMBOL, "ticks", "distinct_times", within.alias("within_bound"))
+
+
 @query("spread_quantiles")
 def _(spark, sf):
     return profile.spread_quantiles(event_ticks(spark, sf))
@@ -216,6 +249,21 @@ def _(spark, sf):
     return indicators.combine_market_features(_hourly(spark, sf)).select(SYMBOL, BAR_START, *C.FEATURES)
 
 
+#: Bars before this time give the state from which the later ones go on.
+STATE_CUT = datetime(2024, 1, 20)
+
+
+@query("features_from_state")
+def _(spark, sf):
+    """Features of the last days from the state of the days before, in two steps."""
+    ticks = event_ticks(spark, sf)
+    known = state.series_state(indicators.combine_market_features(store_bars(between(ticks, None, datetime(2024, 1, 15)))))
+    middle = state.continue_series(known, store_bars(between(ticks, datetime(2024, 1, 15), STATE_CUT)))
+    known = materialize(state.series_state(middle), "series-state")
+    last = state.continue_series(known, store_bars(between(ticks, STATE_CUT, None)))
+    return last.where(state.IS_NEW).select(SYMBOL, BAR_START, *C.FEATURES)
+
+
 @query("daily_order_features")
 def _(spark, sf):
     bars = materialize(build_bars(order_ticks(spark, sf), "1d"), "bars_1d")
@@ -599,6 +647,18 @@ def _(spark, sf):
     return archive.repair_months(base, patches, _listed(spark, sf), ledger)
 
 
+@query("repair_tied_ticks")
+def _(spark, sf):
+    """Three months in which one of three symbols gets patches; the others keep all ticks of equal time."""
+    ticks = order_ticks(spark, sf)
+    months = archive.symbol_months(ticks, archive.enumerate_months(spark, (1995, 1), (1995, 3), LEDGER_NOW))
+    quarter = between(ticks.where("symbol = 'F'"), datetime(1995, 1, 1), datetime(1995, 4, 1))
+    later = F.col(TIMESTAMP) + F.expr("interval 5 hours")
+    patches = quarter.withColumns({TIMESTAMP: later, "ask": F.col("ask") + 1})
+    ledger = archive.month_ledger(ticks, LEDGER_NOW, months=months)
+    return archive.repair_months(ticks, patches, months, ledger)
+
+
 # --- stacked model -----------------------------------------------------------
 _RUNS: dict[tuple[str, str], run.RunOutputs] = {}
 

@@ -407,6 +407,7 @@ for _name, _columns in {
     sql(_name, f"{FEATURED} SELECT symbol, bar_start, {_columns.replace(' ', ', ')} FROM featured", _columns)
 FLOAT_FEATURES = " ".join(c for c in C.FEATURES if c != "tick_count")
 sql("all_features", f"{FEATURED} SELECT symbol, bar_start, {ALL_FEATURES} FROM featured", FLOAT_FEATURES)
+sql("features_from_state", f"{FEATURED} SELECT symbol, bar_start, {ALL_FEATURES} FROM featured WHERE bar_start >= TIMESTAMP '2024-01-20'", FLOAT_FEATURES)
 _daily = "return_4 return_12 ema_12 ema_26 macd_pct rsi_14 bb_width bb_position"
 sql("daily_order_features", f"WITH {DAILY}, {FEATURES} SELECT symbol, bar_start, {_daily.replace(' ', ', ')} FROM featured", _daily)
 sql("clean_features", f"{FEATURED} SELECT symbol, bar_start, {ALL_FEATURES} FROM featured WHERE {NO_NULLS}", FLOAT_FEATURES)
@@ -561,6 +562,21 @@ february AS (
   SELECT symbol, {_later} AS timestamp, seq, ask + 1 AS ask, bid, ask_volume, NULL AS bid_volume FROM ticks
   WHERE month({_later}) = 2 AND (isodow({_later}) <= 5 OR (isodow({_later}) = 7 AND hour({_later}) >= 21)))
 SELECT *, strftime(timestamp, '%Y-%m') AS month FROM (SELECT * FROM merged UNION ALL SELECT * FROM february)""", QUOTES.replace(",", ""))
+_kept = "symbol, timestamp, seq, ask, bid, ask_volume, bid_volume"
+sql("repair_tied_ticks", f"""WITH {ORDER_TICKS},
+base AS (SELECT {_kept} FROM ticks WHERE timestamp >= TIMESTAMP '1995-01-01' AND timestamp < TIMESTAMP '1995-04-01'),
+patched AS (
+  SELECT *, 0 AS source FROM base WHERE symbol = 'F'
+  UNION ALL SELECT symbol, timestamp + INTERVAL 5 HOUR, seq, ask + 1, bid, ask_volume, bid_volume, 1 FROM base
+  WHERE symbol = 'F' AND isodow(timestamp) <= 5)
+SELECT {_kept}, strftime(timestamp, '%Y-%m') AS month FROM (
+  SELECT {_kept} FROM patched QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY source, seq) = 1
+  UNION ALL SELECT {_kept} FROM base WHERE symbol <> 'F')""", QUOTES.replace(",", ""))
+sql("spread_sketches", f"""WITH {LINE_TICKS}
+SELECT symbol, quantile::DOUBLE AS quantile, count(*) AS n, true AS within_bound
+FROM ticks, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) q(quantile) GROUP BY ALL""", "quantile")
+sql("distinct_time_sketches", f"""WITH {LINE_TICKS}
+SELECT symbol, count(*) AS ticks, count(DISTINCT timestamp) AS distinct_times, true AS within_bound FROM ticks GROUP BY symbol""")
 sql("oof_rows", f"""{FOLDS} SELECT f.symbol, f.bar_start, f.fold, f.row, t.label
 FROM fold_rows f JOIN train t ON f.symbol = t.symbol AND f.bar_start = t.bar_start WHERE role = 'test'""")
 sql("class_weights", f"""{SPLIT} SELECT label, count(*) AS rows,

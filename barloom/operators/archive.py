@@ -147,8 +147,8 @@ def archive_totals(ledger: DataFrame) -> DataFrame:
 
 
 def dedup_keep_first(ticks: DataFrame, priority: str, seq: str = "seq") -> DataFrame:
-    """One row per symbol and timestamp: lowest ``priority``, then lowest ``seq``."""
-    order = Window.partitionBy(SYMBOL, TIMESTAMP).orderBy(priority, seq)
+    """One row per symbol and timestamp: lowest ``priority``, then lowest ``seq``; rows without a ``seq`` come last."""
+    order = Window.partitionBy(SYMBOL, TIMESTAMP).orderBy(priority, F.col(seq).asc_nulls_last())
     return ticks.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
@@ -197,7 +197,8 @@ def repair_months(
 
     ``months`` (symbol, month_start) is what there should be. Months that ``ledger`` marks complete are
     not looked at unless ``force``. Ticks are matched by the ``month`` column, so an archive laid out
-    in month folders is read in the months at work only. ``sources.replace_months`` writes the result back.
+    in month folders is read in the months at work only. Equal timestamps are reduced to one row only in the series
+    that get a patch; the other symbols of these months pass through. ``sources.replace_months`` writes the result back.
     """
     keyed = base if MONTH in base.columns else base.withColumn(MONTH, month_key(TIMESTAMP))
     wanted = months.select(SYMBOL, "month_start", month_key("month_start").alias(MONTH)).distinct()
@@ -205,11 +206,12 @@ def repair_months(
     ticks = keyed.join(work.select(SYMBOL, MONTH), [SYMBOL, MONTH], "left_semi")
     missing = missing_hours(ticks, asset_class, work.select(SYMBOL, "month_start"))
     usable = materialize(_usable(patches, missing).withColumn(MONTH, month_key(TIMESTAMP)), "usable")
-    touched = usable.select(MONTH).distinct()
-    union = keyed.join(touched, MONTH, "left_semi").withColumn("_source", F.lit(0)).unionByName(
-        usable.withColumn("_source", F.lit(1)), allowMissingColumns=True
-    )
-    return dedup_keep_first(union, "_source").drop("_source")
+    series = materialize(usable.select(SYMBOL, MONTH).distinct(), "patched-series")
+    changed = keyed.join(series.select(MONTH).distinct(), MONTH, "left_semi")
+    patched = changed.join(series, [SYMBOL, MONTH], "left_semi").withColumn("_source", F.lit(0))
+    others = changed.join(series, [SYMBOL, MONTH], "left_anti")
+    union = patched.unionByName(usable.withColumn("_source", F.lit(1)), allowMissingColumns=True)
+    return dedup_keep_first(union, "_source").drop("_source").unionByName(others, allowMissingColumns=True)
 
 
 def repair_report(base: DataFrame, repaired: DataFrame, asset_class: str = "fx") -> DataFrame:

@@ -51,13 +51,15 @@ def _tick_order(has_seq: bool) -> Column:
 
     A struct key would do the same but cannot live in a hash-aggregation buffer,
     and Spark would sort all ticks before the partial aggregation. A wide decimal
-    can: the offset in the bar stands above the 64 bits of ``seq``.
+    can: the offset in the bar stands above the 65 bits of ``seq``. A tick without ``seq`` comes after those
+    of its instant that have one; several such ticks have no order among them.
     """
     offset = F.unix_micros(TIMESTAMP) - F.unix_micros(BAR_START)
     if not has_seq:
         return offset
-    above = offset.cast("decimal(17,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
-    return above + F.col("seq").cast("decimal(20,0)")
+    above = offset.cast("decimal(17,0)") * F.lit(Decimal(1 << 65)).cast("decimal(20,0)")
+    last = F.lit(Decimal(1 << 63)).cast("decimal(20,0)")
+    return above + F.coalesce(F.col("seq").cast("decimal(20,0)"), last)
 
 
 def project_ticks(ticks: DataFrame) -> DataFrame:
