@@ -48,8 +48,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = _without(docs, linked.where("doc_id != component_id"))
     if repeated.isEmpty():
         return kept
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    # Of rows that repeat an id, the one that is first by its columns.
+    ids = materialize(repeated.select(F.col("doc_id").alias("_gone")), "repeated-ids")
+    first = F.min(F.struct(*kept.columns)).alias("first")
+    one = kept.join(ids, kept["doc_id"] == ids["_gone"], "left_semi").groupBy("doc_id").agg(first).select("first.*")
+    return kept.join(ids, kept["doc_id"] == ids["_gone"], "left_anti").unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
