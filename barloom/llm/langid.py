@@ -108,7 +108,7 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 # --- evidence ---------------------------------------------------------------------------
 def declared_language(markup: Column) -> Column:
     """The code that an ``html`` element's ``lang`` or ``xml:lang`` declares, in lower case; null without one."""
-    code = F.regexp_extract(markup, r"(?i)<html\b[^>]{0,1000}?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
+    code = F.regexp_extract(markup, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
     return F.when(code != "", F.lower(code))
 
 

@@ -86,3 +86,10 @@ def test_pieces_of_markup_and_addresses(spark):
     host = L.host_of(F.col("url"))
     got = row.select(host, L.suffix_of(host), L.declared_language(F.col("html")), L.strip_markup(F.col("html"))).first()
     assert tuple(got)[:3] == ("www.example.org", "org", "pt") and got[3].split() == ["a", "c"]
+
+
+def test_attributes_of_any_length_stand_before_the_language(spark):
+    html = f'<html data-x="{"y" * 5000}" lang="de"><p lang="fr">'
+    rows = spark.createDataFrame([(html,), ("<html><p lang='fr'>",), (None,)], "html string")
+    found = rows.select(L.declared_language(rows["html"])).collect()
+    assert [r[0] for r in found] == ["de", None, None]

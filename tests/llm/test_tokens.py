@@ -62,3 +62,11 @@ def test_segments_round_trip(spark, load, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     T.write_segments(spark.createDataFrame([], "doc_id bigint, text string"), f"{tmp_path}/a", PATH)
     assert T.checksums(spark, f"{tmp_path}/a").collect() == []
+
+
+def test_special_tokens_in_texts_are_as_in_the_library(cache):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "plain"]
+    assert [list(x) for x in cache.encode(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
