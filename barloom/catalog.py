@@ -249,6 +249,12 @@ def _(spark, sf):
     return indicators.combine_market_features(_hourly(spark, sf)).select(SYMBOL, BAR_START, *C.FEATURES)
 
 
+@query("present_features")
+def _(spark, sf):
+    groups = (indicators.RSI, indicators.RETURNS, indicators.HOURLY_RETURN)
+    return indicators.select_features(indicators.add_groups(index_series(_hourly(spark, sf)), groups))
+
+
 #: Bars before this time give the state from which the later ones go on.
 STATE_CUT = datetime(2024, 1, 20)
 

@@ -407,6 +407,8 @@ for _name, _columns in {
     sql(_name, f"{FEATURED} SELECT symbol, bar_start, {_columns.replace(' ', ', ')} FROM featured", _columns)
 FLOAT_FEATURES = " ".join(c for c in C.FEATURES if c != "tick_count")
 sql("all_features", f"{FEATURED} SELECT symbol, bar_start, {ALL_FEATURES} FROM featured", FLOAT_FEATURES)
+sql("present_features", f"{FEATURED} SELECT symbol, bar_start, volume, spread, tick_count, return_4, return_12, rsi_14 FROM featured",
+    "volume spread return_4 return_12 rsi_14")
 sql("features_from_state", f"{FEATURED} SELECT symbol, bar_start, {ALL_FEATURES} FROM featured WHERE bar_start >= TIMESTAMP '2024-01-20'", FLOAT_FEATURES)
 _daily = "return_4 return_12 ema_12 ema_26 macd_pct rsi_14 bb_width bb_position"
 sql("daily_order_features", f"WITH {DAILY}, {FEATURES} SELECT symbol, bar_start, {_daily.replace(' ', ', ')} FROM featured", _daily)

@@ -27,7 +27,7 @@ from barloom.operators.series import (
     with_halo,
     with_sub_block,
 )
-from barloom.schema import BAR_START, IDX
+from barloom.schema import BAR_START, IDX, SYMBOL
 
 @dataclass(frozen=True)
 class Roll:
@@ -338,3 +338,8 @@ def add_return_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
 def combine_market_features(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All feature columns, in one pass over the bars."""
     return _on_bars(bars, MARKET_GROUPS, block_rows)
+
+
+def select_features(bars: DataFrame, keys: Sequence[str] = (SYMBOL, BAR_START)) -> DataFrame:
+    """The keys and those of the model's features that ``bars`` has, in the model's order."""
+    return bars.select(*keys, *[c for c in C.FEATURES if c in bars.columns])
