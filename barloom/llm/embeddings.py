@@ -37,6 +37,13 @@ ROUNDS = 8
 BLOCK_VECTORS = 1024
 QUERY_STEP = 256
 PAIR_STEP = 1 << 15
+#: How the offsets of neighbours spread is measured on so many sample vectors around a centroid,
+#: along the planes to so many nearest centroids; this many deviations are allowed for.
+AROUND_VECTORS = 64
+AROUND_LISTS = 16
+DEVIATIONS = 4.0
+#: Sample vectors whose true neighbours in the sample are looked up to check the allowance.
+CHECKED_VECTORS = 2048
 #: The tables are single floats; distances near the radius are off by less than this.
 TABLE_ERROR = 1e-4
 
@@ -64,12 +71,37 @@ def _fit_centers(points: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centers
 
 
+def _slack(sample: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Per list, the share of a neighbour's offset that may point towards another list.
+
+    Vectors may vary along few directions, and along others elsewhere. So the offsets of the sample vectors
+    around each centroid are projected on the directions to the next centroids; ``DEVIATIONS`` root mean squares of
+    the widest are allowed for, and never less than offsets without preferred directions need. With 1, the
+    bound holds whatever the offset.
+    """
+    squares = (centers**2).sum(axis=1)
+    squared = (sample**2).sum(axis=1)
+    out = np.ones(len(centers))
+    for a, center in enumerate(centers):
+        near = squared - 2 * sample @ center
+        around = sample[np.argpartition(near, AROUND_VECTORS)[:AROUND_VECTORS]] if len(sample) > AROUND_VECTORS else sample
+        offsets = around - around.mean(axis=0)
+        lengths = np.linalg.norm(offsets, axis=1)
+        offsets = offsets[lengths > 1e-6] / lengths[lengths > 1e-6, None]
+        apart = squares - 2 * centers @ center
+        towards = centers[np.argsort(apart)[1 : AROUND_LISTS + 1]] - center
+        towards = towards / np.maximum(np.linalg.norm(towards, axis=1, keepdims=True), 1e-12)
+        if len(offsets) >= 2 and len(towards):
+            out[a] = DEVIATIONS * math.sqrt(((offsets @ towards.T) ** 2).mean(axis=0).max())
+    return np.clip(out, min(1.0, DEVIATIONS / math.sqrt(sample.shape[1])), 1.0)
+
+
 @dataclass
 class Quantizer:
     centers: np.ndarray
     books: np.ndarray  # (subspace, code, dimension)
     radius: float
-    slack: float
+    slack: np.ndarray  # per list
 
     @property
     def dims(self) -> int:
@@ -81,7 +113,31 @@ class Quantizer:
         rest = _fold(sample - centers[_nearest(sample, centers)])
         books = [_fit_centers(rest[:, m], CODES, 2 + m) for m in range(rest.shape[1])]
         books = [np.concatenate([b, np.repeat(b[:1], CODES - len(b), axis=0)]) for b in books]
-        return cls(centers, np.stack(books), math.sqrt(2 - 2 * cosine), min(1.0, 4 / math.sqrt(sample.shape[1])))
+        fitted = cls(centers, np.stack(books), math.sqrt(2 - 2 * cosine), _slack(sample, centers))
+        fitted.slack = np.minimum(1.0, np.maximum(fitted.slack, fitted._needed(sample, cosine)))
+        return fitted
+
+    def _needed(self, sample: np.ndarray, cosine: float) -> float:
+        """The largest slack that the links of some sample vectors to all others need."""
+        asked, own, most = sample[:CHECKED_VECTORS], _nearest(sample, self.centers), 0.0
+        for at in range(0, len(asked), QUERY_STEP):
+            units = asked[at : at + QUERY_STEP]
+            x, y = np.nonzero(units @ sample.T >= cosine)
+            gap, apart = self._planes(units, own[at : at + QUERY_STEP])
+            away = own[y] != own[at + x]
+            x, lists = x[away], own[y[away]]
+            need = gap[x, lists] / np.maximum(2 * self.radius * apart[x, lists], 1e-12)
+            most = max(most, need.max(initial=0.0))
+        return most
+
+    def _planes(self, units: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, list): how much nearer the own centroid is, in squares, and how far the two are apart."""
+        c = self.centers
+        squares = (c**2).sum(axis=1)
+        d = squares - 2 * units @ c.T
+        gap = d - np.take_along_axis(d, own[:, None], axis=1)
+        apart = np.sqrt(np.maximum(0, squares + squares[own][:, None] - 2 * c[own] @ c.T))
+        return gap, apart
 
     def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, norm of the coding error)."""
@@ -97,13 +153,10 @@ class Quantizer:
 
         A neighbour in list c lies beyond the plane between c and the query's own
         centroid, so the query is within ``radius`` of that plane. A neighbour's offset
-        points along one given direction by ``slack`` of its length at most, all but never by more.
+        points along one of these directions by ``slack`` of its length at most; see ``_slack``.
         """
-        c = self.centers
-        d = (c**2).sum(axis=1) - 2 * units @ c.T
-        gap = d - np.take_along_axis(d, own[:, None], axis=1)
-        apart = np.sqrt(np.maximum(0, (c**2).sum(axis=1) + (c[own] ** 2).sum(axis=1)[:, None] - 2 * c[own] @ c.T))
-        return gap <= 2 * self.radius * self.slack * apart + 1e-9
+        gap, apart = self._planes(units, own)
+        return gap <= 2 * self.radius * self.slack[own][:, None] * apart + 1e-9
 
     def tables(self, units: np.ndarray) -> np.ndarray:
         """(subspace, query, code): minus twice the products with the codebooks."""

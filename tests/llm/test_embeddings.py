@@ -63,3 +63,17 @@ def test_codes_never_hide_a_neighbour():
         close = points @ points[members].T >= 0.95
         assert (near <= (q.radius + error[members] + E.TABLE_ERROR) ** 2)[close].all()
         assert visits[:, of_list][close.any(axis=1)].mean() >= 0.99 if close.any() else True
+
+
+def test_links_of_vectors_that_vary_along_few_directions(spark):
+    rng = np.random.default_rng(5)
+    for dims, directions in ((64, 6), (768, 6), (768, 8)):
+        points = rng.normal(size=(1500, directions)) @ rng.normal(size=(directions, dims))
+        groups = rng.normal(size=(10, 1, dims)) * 3 + rng.normal(size=(10, 50, directions)) @ rng.normal(size=(10, directions, dims))
+        rows = list(enumerate(np.concatenate((points, *groups)).tolist()))
+        frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.link_vectors(frame).collect()}
+        expected = brute(rows)
+        links = sum(v[0] for v in expected.values())
+        assert sum(v[0] for v in found.values()) >= 0.999 * links > 100
+        assert sum(found[i][1] == expected[i][1] for i in found) >= 0.999 * len(found)
