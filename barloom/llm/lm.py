@@ -118,7 +118,7 @@ class Block:
         """The distinct n-grams of the next order, ascending, and their counts in the block."""
         self.where = np.flatnonzero(self.may)
         keys, self.inverse, counts = np.unique(self.hashes[self.where], return_inverse=True, return_counts=True)
-        return keys, counts.astype(np.uint32)
+        return keys, counts.astype(np.uint32)  # a block's texts have fewer than 2^32 words
 
     def answer(self, totals: np.ndarray) -> None:
         """Takes the corpus counts of what ``ask`` returned and goes on to the next order."""
@@ -160,8 +160,8 @@ def _replay(row, known: int) -> Block:
     for k in range(1, known + 1):
         keys, _ = block.ask()
         parts = row[f"counts_{k}"]
-        given = [_unpack(p["totals"], np.uint32) for p in parts] if parts is not None else []
-        totals = np.concatenate(given) if given else np.empty(0, dtype=np.uint32)
+        given = [_unpack(p["totals"], np.uint64) for p in parts] if parts is not None else []
+        totals = np.concatenate(given) if given else np.empty(0, dtype=np.uint64)
         if len(totals) != len(keys):
             raise RuntimeError("a block's counts are incomplete")
         block.answer(totals)
@@ -196,8 +196,9 @@ def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     asked = [_unpack_sorted(h) for h in group["hashes"]]
     keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     counts = np.concatenate([_unpack(c, np.uint32) for c in group["counts"]])
-    totals = np.bincount(inverse, weights=counts, minlength=len(keys))
-    totals = np.minimum(totals, 0xFFFFFFFF).astype(np.uint32)[inverse]
+    totals = np.zeros(len(keys), dtype=np.uint64)
+    np.add.at(totals, inverse, counts.astype(np.uint64))
+    totals = totals[inverse]
     ends = np.cumsum([len(a) for a in asked])[:-1]
     return pd.DataFrame(
         {"block": group["block"].to_numpy(), "part": group["part"].to_numpy(), "totals": [_pack(t) for t in np.split(totals, ends)]}
