@@ -101,11 +101,14 @@ def _form() -> Column:
 
 
 def _features(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, feature): distinct words of a text in lower case without symbols around them, distinct endings behind a mark, and its form."""
+    """(keys, feature): distinct words of a text in lower case without symbols around them, distinct endings behind a mark, and its form.
+
+    ``n_tokens``, the number of words, can be one of the keys."""
     words = F.transform("given", lambda w: F.btrim(w, F.lit(SYMBOLS)))
     endings = F.transform("given", lambda w: F.concat(F.lit(ENDING), F.right(w, F.lit(ENDING_CHARS))))
     every = F.concat(F.array_remove(F.array_distinct(words), ""), F.array_distinct(endings), _form())
-    return _measured(rows).select(*keys, F.explode(every).alias("feature"))
+    measured = _measured(rows).withColumn("n_tokens", F.size("words").cast("bigint"))
+    return measured.select(*keys, F.explode(every).alias("feature"))
 
 
 def _lifts(n: Column, counts: list[Column], priors: list[float]) -> list[Column]:
@@ -192,7 +195,6 @@ def domain_posteriors(docs: DataFrame, model: DomainClassifier, id_col: str = "d
     ks = range(len(model.domains))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("n_tokens", F.size(F.array_remove(F.split("text", r"\s+"), "")).cast("bigint"))
     keys = ["row", "doc", "n_tokens"]
     features = _features(rows, *keys)
     told = _evidence(model.look_up(features), keys, [F.col(f"l{k}") for k in ks])
