@@ -7,6 +7,7 @@ non-finite values become NULL, timestamps lose their zone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -24,7 +25,19 @@ from barloom.plans import dataset, run, stacking
 from barloom.plans.views import event_ticks, line_ticks, order_ticks, table, vendor_ticks
 from barloom.schema import BAR_START, SYMBOL, TIMESTAMP, schema_report
 from barloom.session import materialize, workspace
-from barloom.sources import latest_months, normalize_ticks
+from barloom.sources import (
+    latest_months,
+    list_months,
+    normalize_ticks,
+    read_csv,
+    read_json,
+    read_ledger,
+    read_ticks,
+    unreadable_months,
+    write_csv,
+    write_json,
+    write_ticks,
+)
 from barloom.sources.sinks import as_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +378,17 @@ def _folds(spark, sf) -> DataFrame:
     return folds.purged_folds(numbered)
 
 
+MANY_BLOCKS = 50
+
+
+@query("purged_rows_of_many_blocks")
+def _(spark, sf):
+    """Which rows are kept from training for the sake of each of many test blocks."""
+    train = dataset.split_views(_everything(spark, sf)).train
+    numbered = materialize(folds.number_rows(materialize(train, "train")), "numbered")
+    return folds.purged_rows(numbered, MANY_BLOCKS)
+
+
 @query("purged_folds")
 def _(spark, sf):
     return _folds(spark, sf).select(SYMBOL, "fold", "role", "row", BAR_START, "event_start", "event_end")
@@ -665,6 +689,92 @@ def _(spark, sf):
     return archive.repair_months(ticks, patches, months, ledger)
 
 
+# --- archives and text formats, written and read back -------------------------
+BROKEN_MONTH = "1995-03"
+
+
+def _folder(spark, name: str) -> str:
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("archive_round_trip", 8)
+def _(spark, sf):
+    """The latest six months of an archive in month folders; other folders are not opened."""
+    folder = _folder(spark, "archive")
+    write_ticks(order_ticks(spark, sf), folder)
+    return read_ticks(spark, folder, months=6)
+
+
+def _archive_with_broken_month(spark, sf) -> str:
+    """An archive in which one month's folder holds a text file instead of parquet."""
+    folder = _folder(spark, "archive")
+    write_ticks(order_ticks(spark, sf), folder)
+    month = order_ticks(spark, sf).where(month_key(TIMESTAMP) == BROKEN_MONTH)
+    lines = month.select(F.concat_ws(" ", SYMBOL, F.col("seq").cast("string")).alias("value"))
+    lines.coalesce(1).write.mode("overwrite").text(f"{folder}/month={BROKEN_MONTH}")
+    return folder
+
+
+@query("unreadable_months")
+def _(spark, sf):
+    return unreadable_months(spark, _archive_with_broken_month(spark, sf))
+
+
+@query("unreadable_month_ledger")
+def _(spark, sf):
+    """The ledger of all listed months, in which the unreadable one has no rows and misses all hours."""
+    folder = _archive_with_broken_month(spark, sf)
+    names = [n.removeprefix("month=") for n in list_months(spark, folder)]
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("month"))
+    ticks = read_ticks(spark, folder, skip_corrupt=True)
+    pairs = archive.symbol_months(ticks, listed.select(F.to_timestamp("month", "yyyy-MM").alias("month_start")))
+    return archive.month_ledger(ticks, LEDGER_NOW, "crypto", months=pairs)
+
+
+@query("csv_round_trip", 8)
+def _(spark, sf):
+    """NULL, empty, quoted and blank texts, NaN, infinities and times through CSV."""
+    n, value = F.col("event_id"), F.col("value")
+    note = F.when(n % 5 == 0, F.lit(None)).when(n % 5 == 1, "").when(n % 5 == 2, F.col("props")).when(n % 5 == 3, ' , "a"" ')
+    number = F.when(n % 6 == 0, F.lit(None))
+    for rest, special in ((1, "nan"), (2, "inf"), (3, "-inf")):
+        number = number.when(n % 6 == rest, F.lit(float(special)))
+    rows = table(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), note.otherwise(F.col("event_type")).alias("note"), number.otherwise(value).alias("number")
+    )
+    folder = _folder(spark, "csv")
+    write_csv(rows, folder)
+    x = F.col("number")
+    kind = F.when(x.isNull(), "null").when(F.isnan(x), "nan").when(is_finite(x), "finite").when(x > 0, "inf").otherwise("-inf")
+    return read_csv(spark, folder, rows.schema).withColumn("kind", kind)
+
+
+@query("ledger_json_read")
+def _(spark, sf):
+    """A ledger in which odd months are cut off, and entries of October do not name their month."""
+    ledger = archive.month_ledger(order_ticks(spark, sf), LEDGER_NOW, "crypto")
+    number = F.substring("month", 6, 2).cast("int")
+    entry = as_json(ledger.withColumn("cut", number % 2 == 1).withColumn("month", F.when(number != 10, F.col("month"))))
+    line = F.when(F.get_json_object("document", "$.cut") == "true", F.expr("substring(document, 1, length(document) - 9)"))
+    folder = _folder(spark, "ledger")
+    entry.select(line.otherwise(F.col("document")).alias("value")).write.text(folder)
+    return read_ledger(spark, folder)
+
+
+@query("json_round_trip")
+def _(spark, sf):
+    """One nested document per symbol, its months in a map of records, written and taken apart again."""
+    ledger = archive.month_ledger(order_ticks(spark, sf), LEDGER_NOW, "crypto")
+    record = F.struct("rows", F.when(F.col("rows") > 100, F.col("missing_hours")).alias("missing_hours"))
+    entries = F.collect_list(F.struct("month", record.alias("record")))
+    documents = ledger.groupBy(SYMBOL).agg(F.map_from_entries(entries).alias("months"))
+    folder = _folder(spark, "json")
+    write_json(documents, folder)
+    schema = "symbol string, months map<string, struct<rows: bigint, missing_hours: bigint>>"
+    found = read_json(spark, folder, schema).select(SYMBOL, F.explode("months").alias("month", "record"), "_corrupt")
+    return found.select(SYMBOL, "month", "record.rows", "record.missing_hours", F.col("_corrupt").isNotNull().alias("broken"))
+
+
 # --- stacked model -----------------------------------------------------------
 _RUNS: dict[tuple[str, str], run.RunOutputs] = {}
 

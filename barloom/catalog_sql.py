@@ -151,22 +151,26 @@ sliced AS (
 train AS (SELECT * FROM marked WHERE part = 'train' AND valid AND {NO_NULLS}),
 test_labeled AS (SELECT * FROM marked WHERE part = 'test' AND valid AND {NO_NULLS})"""
 
-FOLDS = f"""{SPLIT},
+def test_blocks_cte(splits: int) -> str:
+    return f"""{SPLIT},
 numbered AS (
   SELECT symbol, bar_start, event_start, event_end, row_number() OVER {W} - 1 AS row,
          count(*) OVER (PARTITION BY symbol) AS n_rows FROM train),
 blocks AS (
   SELECT symbol, i AS fold, (i + 1) * size AS first_row,
-         CASE WHEN i = 4 THEN n_rows ELSE (i + 2) * size END AS end_row
-  FROM (SELECT symbol, any_value(n_rows) AS n_rows, greatest(1, any_value(n_rows) // 6) AS size
-        FROM numbered GROUP BY symbol), range(5) r(i)),
+         CASE WHEN i = {splits - 1} THEN n_rows ELSE (i + 2) * size END AS end_row
+  FROM (SELECT symbol, any_value(n_rows) AS n_rows, greatest(1, any_value(n_rows) // {splits + 1}) AS size
+        FROM numbered GROUP BY symbol), range({splits}) r(i)),
 tested AS (
   SELECT n.*, b.fold, b.first_row FROM numbered n JOIN blocks b
     ON n.symbol = b.symbol AND n.row >= b.first_row AND n.row < b.end_row),
 bounds AS (
   SELECT symbol, fold, any_value(first_row) AS first_row,
          arg_min(event_start, row) AS t_from, arg_max(event_end, row) AS t_to
-  FROM tested GROUP BY symbol, fold),
+  FROM tested GROUP BY symbol, fold)"""
+
+
+FOLDS = f"""{test_blocks_cte(5)},
 trained AS (
   SELECT n.*, b.fold FROM numbered n JOIN bounds b ON n.symbol = b.symbol AND n.row < b.first_row
   WHERE NOT (n.event_start <= t_to AND n.event_end >= t_from)),
@@ -447,6 +451,9 @@ sql("split_distributions", f"""{SPLIT}, parts_of AS (SELECT symbol, part, label
 SELECT symbol, part, buy, sell, buy + sell AS total,
   CASE WHEN least(buy, sell) > 0 THEN round(least(buy, sell) / greatest(buy, sell), 4) ELSE 0.0 END AS balance_ratio
 FROM (SELECT symbol, part, count(*) FILTER (label = 1) AS buy, count(*) FILTER (label = -1) AS sell FROM parts_of GROUP BY ALL)""", "balance_ratio")
+sql("purged_rows_of_many_blocks", f"""{test_blocks_cte(50)}
+SELECT n.symbol, n.row, b.fold::INTEGER AS fold FROM numbered n JOIN bounds b ON n.symbol = b.symbol
+WHERE n.row < b.first_row AND n.event_start <= t_to AND n.event_end >= t_from""")
 sql("purged_folds", f"{FOLDS} SELECT * FROM fold_rows")
 sql("fold_sizes", f"""{FOLDS} SELECT symbol, fold, role, count(*) AS rows, min(row) AS first_row, max(row) AS last_row
 FROM fold_rows GROUP BY ALL""")
@@ -574,6 +581,28 @@ patched AS (
 SELECT {_kept}, strftime(timestamp, '%Y-%m') AS month FROM (
   SELECT {_kept} FROM patched QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY source, seq) = 1
   UNION ALL SELECT {_kept} FROM base WHERE symbol <> 'F')""", QUOTES.replace(",", ""))
+sql("archive_round_trip", f"""WITH {ORDER_TICKS}
+SELECT {_kept}, strftime(timestamp, '%Y-%m') AS month FROM ticks
+WHERE month IN (SELECT DISTINCT strftime(timestamp, '%Y-%m') AS m FROM ticks ORDER BY m DESC LIMIT 6)""", QUOTES.replace(",", ""))
+sql("unreadable_months", "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE month = '1995-03'")
+sql("unreadable_month_ledger", f"""WITH {ORDER_TICKS},
+months AS (SELECT symbol, date_trunc('month', timestamp)::TIMESTAMP AS month_start, count(*) AS rows, count(DISTINCT timestamp) AS hours
+           FROM ticks GROUP BY ALL),
+listed AS (SELECT * FROM (SELECT DISTINCT symbol FROM months), (SELECT DISTINCT month_start FROM months)),
+readable AS (SELECT * FROM months WHERE month_start <> TIMESTAMP '1995-03-01')
+SELECT symbol, strftime(month_start, '%Y-%m') AS month, coalesce(rows, 0) AS rows,
+  date_diff('hour', month_start, month_start + INTERVAL 1 MONTH) - coalesce(hours, 0) AS missing_hours, missing_hours AS confirmed_absent
+FROM listed LEFT JOIN readable USING (symbol, month_start)""")
+sql("csv_round_trip", """SELECT event_id, ts,
+  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN props WHEN 3 THEN ' , "a"" ' ELSE event_type END AS note,
+  CASE WHEN event_id % 6 > 3 THEN value END AS number,
+  CASE event_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN 'nan' WHEN 2 THEN 'inf' WHEN 3 THEN '-inf'
+    ELSE CASE WHEN value IS NULL THEN 'null' ELSE 'finite' END END AS kind FROM events""", "number")
+_crypto_ledger = f"WITH {ORDER_TICKS}, {calendar_cte('crypto')}, {LEDGER}"
+sql("ledger_json_read", f"""{_crypto_ledger} SELECT * FROM ledger
+WHERE substr(month, 6)::INTEGER % 2 = 0 AND substr(month, 6) <> '10'""")
+sql("json_round_trip", f"""{_crypto_ledger} SELECT symbol, month, rows,
+  CASE WHEN rows > 100 THEN missing_hours END AS missing_hours, false AS broken FROM ledger""")
 sql("spread_sketches", f"""WITH {LINE_TICKS}
 SELECT symbol, quantile::DOUBLE AS quantile, count(*) AS n, true AS within_bound
 FROM ticks, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) q(quantile) GROUP BY ALL""", "quantile")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import month_key
 from barloom.schema import SYMBOL, TIMESTAMP
 from barloom.session import materialize
+from barloom.sources.text_files import CSV_FORMAT
 
 
 def write_ticks(ticks: DataFrame, folder: str, mode: str = "overwrite") -> None:
@@ -36,8 +37,11 @@ def replace_months(ticks: DataFrame, folder: str) -> None:
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
-    """CSV with a header, one part per partition."""
-    df.write.mode("overwrite").option("header", True).csv(folder)
+    """CSV with a header, one part per partition; ``read_csv`` gives the same values back.
+
+    Quotes are doubled, NULL is an empty field and an empty text two quotes, times have microseconds and their zone.
+    """
+    df.write.mode("overwrite").options(**CSV_FORMAT).csv(folder)
 
 
 def write_json(df: DataFrame, folder: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from barloom.schema import SYMBOL, TICK_SCHEMA, TIMESTAMP, require_columns
 from barloom.session import file_names, prepare_session
+from barloom.sources.text_files import parse_json
 
 # --- fixed values: vendor column names and the archive's column order --------
 VENDOR_COLUMNS = {
@@ -78,6 +79,28 @@ def read_ticks(
     return ticks if symbol is None else ticks.where(F.col(SYMBOL) == clean_symbol(symbol))
 
 
+def month_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(month, file) of every file in the ``month=YYYY-MM`` folders; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/month=*")
+    path = F.col("_metadata.file_path")
+    return files.select(F.regexp_extract(path, r"/month=([^/]+)/", 1).alias("month"), path.alias("file"))
+
+
+def unreadable_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(month, file) of the files of a partitioned archive of which a tolerant scan gives no row.
+
+    These are files that cannot be read as parquet, and files without a row. The scan reads footers and the time column.
+    """
+    ticks = read_ticks(spark, folder, skip_corrupt=True)
+    read = ticks.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max(TIMESTAMP).alias("latest"))
+    return month_files(spark, folder).join(read, "file", "left_anti").select("month", "file")
+
+
+def unreadable_months(spark: SparkSession, folder: str) -> DataFrame:
+    """The months with a file that cannot be read, to be loaded again."""
+    return unreadable_files(spark, folder).select("month").distinct()
+
+
 def latest_months(df: DataFrame, months: int | None, month: str = "month") -> DataFrame:
     """Rows of the latest ``months`` distinct months of a table without month folders."""
     if months is None:
@@ -104,5 +127,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The month ledger; absent or broken entries read as no entry."""
     if not file_names(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
-    rows = spark.read.schema(LEDGER_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    return rows.where("month is not null")
+    return parse_json(spark.read.text(path), LEDGER_SCHEMA).where("_corrupt is null and month is not null").drop("_corrupt")
+
+
+def broken_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(entry): what ``read_ledger`` leaves out: broken lines as they stand, entries without a month as parsed."""
+    rows = parse_json(spark.read.text(path), LEDGER_SCHEMA).where("_corrupt is not null or month is null")
+    entry = F.to_json(F.struct(*[c for c in rows.columns if c != "_corrupt"]))
+    return rows.select(F.coalesce("_corrupt", entry).alias("entry"))

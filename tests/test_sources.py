@@ -10,12 +10,17 @@ from barloom.schema import require_columns, schema_report
 from barloom import session
 from barloom.session import materialize, workspace
 from barloom.sources import (
+    broken_entries,
     latest_months,
     list_months,
     month_range_label,
     normalize_ticks,
+    read_csv,
+    read_json,
     read_ledger,
     read_ticks,
+    unreadable_files,
+    unreadable_months,
     write_csv,
     write_json,
     write_ticks,
@@ -164,3 +169,65 @@ def test_bars_are_cut_in_utc_under_any_session_zone(spark, ticks):
         assert month == int(datetime(2023, 11, 1, tzinfo=timezone.utc).timestamp())
     finally:
         session.prepare_session(spark)
+
+
+def test_csv_gives_the_same_values_back(spark, tmp_path):
+    schema = "i int, text string, x double, at timestamp, none string"
+    at = datetime(2024, 1, 2, 3, 4, 5, 678901)
+    texts = [None, "", " a ", 'say "x"', ',"', "\\", '\\"', "it's\ttab", "NaN", "null", '""', "é "]
+    numbers = [None, float("nan"), float("inf"), float("-inf"), 0.1, -1e-300, 1e300, 0.0, 2.0, 3.0, 4.0, 5.0]
+    rows = [(i, t, x, at if i % 2 else None, None) for i, (t, x) in enumerate(zip(texts, numbers))]
+    df = spark.createDataFrame(rows, schema)
+    write_csv(df, str(tmp_path / "csv"))
+    back = read_csv(spark, str(tmp_path / "csv"), schema).orderBy("i").collect()
+    assert [r["text"] for r in back] == texts
+    assert [repr(r["x"]) for r in back] == [repr(x) for x in numbers]
+    assert [r["at"] for r in back] == [r["at"] for r in df.orderBy("i").collect()]
+    assert {r["none"] for r in back} == {None}
+    empty = str(tmp_path / "empty")
+    write_csv(df.limit(0), empty)
+    assert read_csv(spark, empty, df.schema).count() == 0
+
+
+def test_csv_with_line_breaks_and_rows_that_do_not_fit(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c")], "i int, text string")
+    write_csv(df, str(tmp_path / "csv"))
+    back = read_csv(spark, str(tmp_path / "csv"), "i int, text string", multi_line=True)
+    assert sorted(map(tuple, back.collect())) == [(1, "a\nb"), (2, "c")]
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_csv(spark, str(tmp_path / "csv"), "i int, text int").collect()
+
+
+def test_broken_documents_are_told_from_absent_fields(spark, tmp_path):
+    lines = ['{"a": 1, "m": {"x": {"n": 2}}}', '{"a": null}', '{"a": 1, "m"', '{"a": "one"}', "", "  "]
+    (tmp_path / "docs").write_text("\n".join(lines) + "\n")
+    found = read_json(spark, str(tmp_path / "docs"), "a int, m map<string, struct<n: int>>").collect()
+    good = [r.asDict(recursive=True) for r in found if r["_corrupt"] is None]
+    assert sorted(good, key=str) == sorted([{"a": 1, "m": {"x": {"n": 2}}, "_corrupt": None}, {"a": None, "m": None, "_corrupt": None}], key=str)
+    assert {r["_corrupt"] for r in found} - {None} == set(lines[2:4])
+
+
+def test_broken_ledger_entries_are_named(spark, tmp_path):
+    (tmp_path / "ledger").write_text('{"symbol": "A", "month": "2024-01", "rows": 5}\n{broken\n{"symbol": "A", "rows": 1}\n')
+    assert read_ledger(spark, str(tmp_path / "ledger")).count() == 1
+    entries = {r["entry"] for r in broken_entries(spark, str(tmp_path / "ledger")).collect()}
+    assert entries == {"{broken", '{"symbol":"A","rows":1}'}
+
+
+def test_unreadable_months_are_named(spark, ticks, tmp_path):
+    folder = str(tmp_path / "archive")
+    write_ticks(ticks, folder)
+    months = [n.removeprefix("month=") for n in list_months(spark, folder)]
+    assert unreadable_months(spark, folder).count() == 0
+    extra = Path(folder, f"month={months[0]}", "extra.parquet")
+    extra.write_text("not parquet")
+    found = unreadable_files(spark, folder).collect()
+    assert [(r["month"], r["file"].split("/")[-1]) for r in found] == [(months[0], "extra.parquet")]
+    assert read_ticks(spark, folder, skip_corrupt=True).count() == ticks.count()
+
+
+def test_month_limits_reach_the_partition_filters(spark, ticks, tmp_path):
+    folder = str(tmp_path / "archive")
+    write_ticks(ticks, folder)
+    plan = read_ticks(spark, folder, months=1)._jdf.queryExecution().executedPlan().toString()
+    assert "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
