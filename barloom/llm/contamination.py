@@ -10,6 +10,9 @@ so a document that contains the item holds at least one of them, whatever its le
 into size classes, powers of two; each class is searched with the sketches of those items
 that a document of the class can hold. Every candidate is then verified with the
 exact sets. Items are taken in blocks of bounded size, each against all documents.
+
+An item of fewer words than a shingle is one shingle of its own width; the documents are
+searched in each width that an item has.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ BLOCK_SHINGLES = 1 << 20
 
 
 class ItemIndex:
-    """Sketches per size class and exact sets of one block of items."""
+    """Sketches per size class and exact sets of one block of items of one shingle width."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], num: int, den: int):
         self.ids = [i for i, _ in items]
@@ -73,12 +76,13 @@ class ItemIndex:
 def _item_sets(items: DataFrame, width: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [shingle_set(w, width) for w in batch_word_hashes(frame["text"])]
-            yield pd.DataFrame(
-                {"item": frame["item"].to_numpy(), "n": [len(s) for s in sets], "keys": [s.tobytes() for s in sets]}
-            )
+            words = batch_word_hashes(frame["text"])
+            sets = [shingle_set(w, width) for w in words]
+            widths = [min(len(w), width) for w in words]
+            sizes, keys = [len(s) for s in sets], [s.tobytes() for s in sets]
+            yield pd.DataFrame({"item": frame["item"].to_numpy(), "width": widths, "n": sizes, "keys": keys})
 
-    return items.mapInPandas(run, "item bigint, n bigint, keys binary").where("n > 0").distinct()
+    return items.mapInPandas(run, "item bigint, width int, n bigint, keys binary").where("n > 0").distinct()
 
 
 def find_contained(
@@ -95,8 +99,8 @@ def find_contained(
 ) -> DataFrame:
     """(``id_col``, ``item_col``, item_shingles, shared_shingles) of every contained item.
 
-    Shingles are ``width`` words with A-Z lowered; a text of fewer words is one shingle
-    as a whole. Null and empty items or documents contain nothing and are contained in
+    Shingles are ``width`` words with A-Z lowered; an item of fewer words is one shingle
+    as a whole, contained in a document that has these words in a row. Null and empty items or documents contain nothing and are contained in
     nothing; rows without an id are left out. Repeated documents give repeated rows; items that repeat id
     and shingles count once. Empty tables give no rows. Other columns are ignored.
     """
@@ -111,19 +115,24 @@ def find_contained(
     out = None
     for block in range(blocks):
         rows = sets.where(F.pmod(F.xxhash64("item", "keys"), F.lit(blocks)) == block).orderBy("item", "keys").collect()
-        index = ItemIndex([(r.item, np.frombuffer(r.keys, dtype=np.uint64)) for r in rows], num, den)
-        found = _search(texts, spark.sparkContext.broadcast(index), width)
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for r in rows:
+            by_width.setdefault(r.width, []).append((r.item, np.frombuffer(r.keys, dtype=np.uint64)))
+        index = {k: ItemIndex(some, num, den) for k, some in sorted(by_width.items())}
+        found = _search(texts, spark.sparkContext.broadcast(index))
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
 
 
-def _search(texts: DataFrame, shared, width: int) -> DataFrame:
+def _search(texts: DataFrame, shared) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for frame in text_slices(frames):
             rows = []
             for doc, words in zip(frame["doc"], batch_word_hashes(frame["text"])):
-                rows += [(doc, *hit) for hit in index.search(shingles(words, width))]
+                for width, items in index.items():
+                    if len(words) >= width:
+                        rows += [(doc, *hit) for hit in items.search(shingles(words, width))]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "item", "item_shingles", "shared_shingles"])
 

@@ -34,14 +34,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM b GROUP BY conv_id"""
 
 
+_lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_words = rf"regexp_extract_all(coalesce({_lower}, ''), '[^\x20\x09-\x0D]+')"
+
+
 def shingles_cte(name: str, table: str, key: str, width: int) -> str:
     """Distinct word shingles (``key``, s) of a table's texts; a shorter text is one shingle."""
-    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    words = rf"regexp_extract_all(coalesce({lower}, ''), '[^\x20\x09-\x0D]+')"
     run = f"list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1), lambda i: list_aggregate(w[i:i + {width - 1}], 'string_agg', ' '))"
     return f"""
 {name} AS (
-  SELECT DISTINCT {key}, unnest({run}) AS s FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
+  SELECT DISTINCT {key}, unnest({run}) AS s FROM (SELECT {key}, {_words} AS w FROM {table}) WHERE len(w) > 0)"""
 
 
 def components_cte(nodes: str, links: str) -> str:
@@ -76,7 +78,12 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, vec_id = co
 FROM embeddings JOIN comp ON node = vec_id LEFT JOIN n ON x = vec_id"""
 
 SQL["op7_benchmark_decontamination"] = f"""
-WITH {shingles_cte("d", "documents", "doc_id", 5)}, {shingles_cte("i", "benchmark", "item_id", 5)},
+WITH {shingles_cte("whole", "documents", "doc_id", 5)}, {shingles_cte("i", "benchmark", "item_id", 5)},
+widths AS (SELECT DISTINCT len({_words}) AS k FROM benchmark WHERE len({_words}) BETWEEN 1 AND 4),
+d AS (
+  SELECT doc_id, s FROM whole
+  UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_aggregate(w[i:i + k - 1], 'string_agg', ' ')))
+  FROM (SELECT doc_id, {_words} AS w FROM documents), widths WHERE len(w) >= k),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
 SELECT doc_id, item_id, n AS item_shingles, o AS shared_shingles
 FROM (SELECT doc_id, item_id, count(*) AS o FROM d JOIN i USING (s) GROUP BY ALL) JOIN n USING (item_id) WHERE 100 * o >= 80 * n"""
