@@ -44,6 +44,8 @@ MOST_DOMAINS = 100
 STEPS = 64
 STEPS_PER_TABLE = 8
 TOLERANCE = 1e-4
+#: A step that moves no domain by more than this share of its target ends the descent: the rates are at their bounds or at rest.
+AT_REST = 1e-6
 
 #: The JVM compiles no method beyond this many bytes; Spark then runs a plan without one large method.
 METHOD_CONF, METHOD_BYTES = "spark.sql.codegen.hugeMethodLimit", "8000"
@@ -232,7 +234,7 @@ def fit_rates(
 
     Least squares of the relative residuals, each scaled by the domain's mass, under
     0 <= rate (<= ``most``). Gradients are taken per token, which is a gradient step in
-    rate * sqrt(tokens). Ends when all targets are met within ``TOLERANCE`` or after ``steps``.
+    rate * sqrt(tokens). Ends when all targets are met within ``TOLERANCE``, when the sums come to rest or after ``steps``.
     """
     ks = range(len(targets))
     second = [F.sum(F.col("n_tokens") * F.col(f"p{a}") * F.col(f"p{b}")) for a in ks for b in ks]
@@ -254,7 +256,9 @@ def fit_rates(
         rate = F.least(rate, F.lit(float(most))) if most is not None else rate
         if i % STEPS_PER_TABLE == 0:
             state, rate = materialize(state.withColumn("rate", rate), "rates"), F.col("rate")
-        reached = _sums(state, rate, len(targets))
+        before, reached = reached, _sums(state, rate, len(targets))
+        if all(abs(r - b) <= AT_REST * max(t, 1.0) for r, b, t in zip(reached, before, targets)):
+            break
     return state.withColumn("rate", rate), reached
 
 

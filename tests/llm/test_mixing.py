@@ -65,6 +65,22 @@ def test_rates_agree_with_a_dense_solver(spark):
     assert found == pytest.approx([rate[i] for i in order], abs=0.02)
 
 
+def test_descent_ends_at_rest(spark, monkeypatch):
+    rows = [(i % 7 + 1, 0.9 - i % 3 * 0.4, 0.1 + i % 3 * 0.4) for i in range(60)]
+    frame = spark.createDataFrame(rows, "n_tokens bigint, p0 double, p1 double")
+    mass = [sum(n * p[k] for n, *p in rows) for k in range(2)]
+    asked = []
+    monkeypatch.setattr(M, "_sums", lambda *a, real=M._sums: asked.append(1) or real(*a))
+    targets = [mass[0] * 5, mass[1] * 0.4]  # the first cannot be met with rates of one at most
+    rested, reached = M.fit_rates(frame, targets, most=1.0, steps=64)
+    assert len(asked) < 64
+    monkeypatch.setattr(M, "AT_REST", -1.0)
+    whole, expected = M.fit_rates(frame, targets, most=1.0, steps=64)
+    assert reached == pytest.approx(expected, rel=1e-4)
+    rates = [[r.rate for r in f.orderBy("n_tokens", "p0").collect()] for f in (rested, whole)]
+    assert rates[0] == pytest.approx(rates[1], abs=1e-3)
+
+
 def test_extra_columns_keep_their_names(spark, tmp_path):
     rows = [(1, "a", "x", "y", "z", 5), (2, "b", "x", "y", "z", 6)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, `_` string, quality string, toxic string, _copies int")
