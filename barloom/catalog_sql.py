@@ -272,10 +272,10 @@ PROFIT_FACTOR = """CASE WHEN coalesce(sum(trade_pnl_usd) FILTER (trade_pnl_usd >
   ELSE sum(trade_pnl_usd) FILTER (trade_pnl_usd > 0) / abs(sum(trade_pnl_usd) FILTER (trade_pnl_usd < 0)) END"""
 
 
-def calendar_cte(asset_class: str = "fx") -> str:
+def calendar_cte(asset_class: str = "fx", source: str = "ticks") -> str:
     keep = "true" if asset_class == "crypto" else "isodow(slot) <= 5 OR (isodow(slot) = 7 AND hour(slot) >= 21)"
     return f"""
-covered AS (SELECT symbol, date_trunc('hour', timestamp) AS slot, count(*) AS ticks FROM ticks GROUP BY ALL),
+covered AS (SELECT symbol, date_trunc('hour', timestamp) AS slot, count(*) AS ticks FROM {source} GROUP BY ALL),
 months AS (SELECT DISTINCT symbol, date_trunc('month', slot)::TIMESTAMP AS month_start FROM covered),
 expected AS (
   SELECT symbol, slot FROM (
@@ -528,15 +528,30 @@ SELECT sum(rows)::BIGINT AS total_rows, sum(missing_hours)::BIGINT AS total_miss
   count(*) FILTER (rows = 0 AND missing_hours > 0) AS total_errors FROM ledger""")
 sql("dedup_keep_first", f"""WITH {ORDER_TICKS}
 SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, timestamp ORDER BY seq) = 1""", QUOTES.replace(",", ""))
-MERGED = f"""WITH {EVENT_TICKS},
+_kept = "symbol, timestamp, seq, ask, bid, ask_volume, bid_volume"
+HOLES = f"""
+base AS (SELECT {_kept} FROM ticks WHERE hour(timestamp) NOT IN (3, 7)),
+offered AS (SELECT symbol, timestamp, seq, ask + 1 AS ask, bid, ask_volume, NULL::DOUBLE AS bid_volume FROM ticks)"""
+UNMERGED = f"""WITH {EVENT_TICKS},
 merged AS (
   SELECT symbol, timestamp, seq, ask, bid, ask_volume, bid_volume FROM ticks WHERE hour(timestamp) NOT IN (3, 7)
   UNION ALL
   SELECT symbol, timestamp, seq, ask + 1, bid, ask_volume, NULL FROM ticks WHERE {{patched}})"""
-sql("patch_merge", MERGED.format(patched="hour(timestamp) IN (3, 7)") + " SELECT * FROM merged", QUOTES.replace(",", ""))
 _fx = "hour(timestamp) IN (3, 7) AND isodow(timestamp) <= 5"
-sql("repair_missing_hours", MERGED.format(patched=_fx) + " SELECT * FROM merged", QUOTES.replace(",", ""))
-sql("repair_report", f"""{MERGED.format(patched=_fx)},
+# Where a symbol gets a patch row in a month, one row stays of equal times: one of the archive, or else the one of lowest seq.
+MERGED = f"""
+touched AS (SELECT DISTINCT symbol, date_trunc('month', timestamp) AS month_start FROM patch),
+keyed AS (SELECT *, date_trunc('month', timestamp) AS month_start FROM base),
+merged AS (
+  SELECT {_kept} FROM keyed k ANTI JOIN touched t ON k.symbol = t.symbol AND k.month_start = t.month_start
+  UNION ALL
+  SELECT {_kept} FROM (
+    SELECT {_kept}, 0 AS source FROM keyed k SEMI JOIN touched t ON k.symbol = t.symbol AND k.month_start = t.month_start
+    UNION ALL SELECT {_kept}, 1 FROM patch)
+  QUALIFY row_number() OVER (PARTITION BY symbol, timestamp ORDER BY source, seq) = 1)"""
+sql("patch_merge", f"WITH {EVENT_TICKS}, {HOLES}, patch AS (FROM offered), {MERGED} SELECT * FROM merged", QUOTES.replace(",", ""))
+sql("repair_missing_hours", UNMERGED.format(patched=_fx) + " SELECT * FROM merged", QUOTES.replace(",", ""))
+sql("repair_report", f"""{UNMERGED.format(patched=_fx)},
 base AS (SELECT symbol, strftime(timestamp, '%Y-%m') AS month, count(*) AS before FROM ticks WHERE hour(timestamp) NOT IN (3, 7) GROUP BY ALL),
 after AS (SELECT symbol, strftime(timestamp, '%Y-%m') AS month, count(*) AS after FROM merged GROUP BY ALL),
 left_over AS (SELECT symbol, strftime(slot, '%Y-%m') AS month, count(*) AS missing FROM ({{missing}}) GROUP BY ALL)
@@ -566,12 +581,11 @@ sql("absent_month_ledger", f"{_listed_ledger} SELECT * FROM ledger")
 sql("absent_month_totals", f"""{_listed_ledger} SELECT sum(rows)::BIGINT AS total_rows, sum(missing_hours)::BIGINT AS total_missing,
   count(*) FILTER (rows = 0 AND missing_hours > 0) AS total_errors FROM ledger""")
 _later = "timestamp + INTERVAL 31 DAY"
-sql("repair_absent_month", f"""{MERGED.format(patched=_fx)},
+sql("repair_absent_month", f"""{UNMERGED.format(patched=_fx)},
 february AS (
   SELECT symbol, {_later} AS timestamp, seq, ask + 1 AS ask, bid, ask_volume, NULL AS bid_volume FROM ticks
   WHERE month({_later}) = 2 AND (isodow({_later}) <= 5 OR (isodow({_later}) = 7 AND hour({_later}) >= 21)))
 SELECT *, strftime(timestamp, '%Y-%m') AS month FROM (SELECT * FROM merged UNION ALL SELECT * FROM february)""", QUOTES.replace(",", ""))
-_kept = "symbol, timestamp, seq, ask, bid, ask_volume, bid_volume"
 sql("repair_tied_ticks", f"""WITH {ORDER_TICKS},
 base AS (SELECT {_kept} FROM ticks WHERE timestamp >= TIMESTAMP '1995-01-01' AND timestamp < TIMESTAMP '1995-04-01'),
 patched AS (
