@@ -549,6 +549,8 @@ merged AS (
     SELECT {_kept}, 0 AS source FROM keyed k SEMI JOIN touched t ON k.symbol = t.symbol AND k.month_start = t.month_start
     UNION ALL SELECT {_kept}, 1 FROM patch)
   QUALIFY row_number() OVER (PARTITION BY symbol, timestamp ORDER BY source, seq) = 1)"""
+USABLE = """
+patch AS (SELECT o.* FROM offered o SEMI JOIN gone g ON o.symbol = g.symbol AND date_trunc('hour', o.timestamp) = g.slot)"""
 sql("patch_merge", f"WITH {EVENT_TICKS}, {HOLES}, patch AS (FROM offered), {MERGED} SELECT * FROM merged", QUOTES.replace(",", ""))
 sql("repair_missing_hours", UNMERGED.format(patched=_fx) + " SELECT * FROM merged", QUOTES.replace(",", ""))
 sql("repair_report", f"""{UNMERGED.format(patched=_fx)},
@@ -580,12 +582,18 @@ ledger AS (
 sql("absent_month_ledger", f"{_listed_ledger} SELECT * FROM ledger")
 sql("absent_month_totals", f"""{_listed_ledger} SELECT sum(rows)::BIGINT AS total_rows, sum(missing_hours)::BIGINT AS total_missing,
   count(*) FILTER (rows = 0 AND missing_hours > 0) AS total_errors FROM ledger""")
-_later = "timestamp + INTERVAL 31 DAY"
-sql("repair_absent_month", f"""{UNMERGED.format(patched=_fx)},
-february AS (
-  SELECT symbol, {_later} AS timestamp, seq, ask + 1 AS ask, bid, ask_volume, NULL AS bid_volume FROM ticks
-  WHERE month({_later}) = 2 AND (isodow({_later}) <= 5 OR (isodow({_later}) = 7 AND hour({_later}) >= 21)))
-SELECT *, strftime(timestamp, '%Y-%m') AS month FROM (SELECT * FROM merged UNION ALL SELECT * FROM february)""", QUOTES.replace(",", ""))
+_absent = HOLES.replace("offered AS", "same_month AS")
+sql("repair_absent_month", f"""WITH {EVENT_TICKS}, {_absent}, {_listed},
+offered AS (FROM same_month UNION ALL SELECT * REPLACE (timestamp + INTERVAL 31 DAY AS timestamp) FROM same_month),
+complete AS (
+  WITH {calendar_cte(source='base')}
+  SELECT m.* FROM months m ANTI JOIN gone g ON m.symbol = g.symbol AND m.month_start = date_trunc('month', g.slot)
+  WHERE m.month_start + INTERVAL 1 MONTH < TIMESTAMP '2024-03-01'),
+work AS (SELECT l.* FROM listed l ANTI JOIN complete c ON l.symbol = c.symbol AND l.month_start = c.month_start),
+{calendar_cte(source='base').replace("FROM months)", "FROM work)")},
+{USABLE}, {MERGED}
+SELECT *, strftime(timestamp, '%Y-%m') AS month FROM merged
+WHERE date_trunc('month', timestamp) IN (SELECT month_start FROM touched)""", QUOTES.replace(",", ""))
 sql("repair_tied_ticks", f"""WITH {ORDER_TICKS},
 base AS (SELECT {_kept} FROM ticks WHERE timestamp >= TIMESTAMP '1995-01-01' AND timestamp < TIMESTAMP '1995-04-01'),
 patched AS (
