@@ -552,7 +552,8 @@ merged AS (
 USABLE = """
 patch AS (SELECT o.* FROM offered o SEMI JOIN gone g ON o.symbol = g.symbol AND date_trunc('hour', o.timestamp) = g.slot)"""
 sql("patch_merge", f"WITH {EVENT_TICKS}, {HOLES}, patch AS (FROM offered), {MERGED} SELECT * FROM merged", QUOTES.replace(",", ""))
-sql("repair_missing_hours", UNMERGED.format(patched=_fx) + " SELECT * FROM merged", QUOTES.replace(",", ""))
+_repaired = f"WITH {EVENT_TICKS}, {HOLES}, {calendar_cte(source='base')}, {USABLE}, {MERGED}"
+sql("repair_missing_hours", f"{_repaired} SELECT * FROM merged", QUOTES.replace(",", ""))
 sql("repair_report", f"""{UNMERGED.format(patched=_fx)},
 base AS (SELECT symbol, strftime(timestamp, '%Y-%m') AS month, count(*) AS before FROM ticks WHERE hour(timestamp) NOT IN (3, 7) GROUP BY ALL),
 after AS (SELECT symbol, strftime(timestamp, '%Y-%m') AS month, count(*) AS after FROM merged GROUP BY ALL),
