@@ -532,12 +532,6 @@ _kept = "symbol, timestamp, seq, ask, bid, ask_volume, bid_volume"
 HOLES = f"""
 base AS (SELECT {_kept} FROM ticks WHERE hour(timestamp) NOT IN (3, 7)),
 offered AS (SELECT symbol, timestamp, seq, ask + 1 AS ask, bid, ask_volume, NULL::DOUBLE AS bid_volume FROM ticks)"""
-UNMERGED = f"""WITH {EVENT_TICKS},
-merged AS (
-  SELECT symbol, timestamp, seq, ask, bid, ask_volume, bid_volume FROM ticks WHERE hour(timestamp) NOT IN (3, 7)
-  UNION ALL
-  SELECT symbol, timestamp, seq, ask + 1, bid, ask_volume, NULL FROM ticks WHERE {{patched}})"""
-_fx = "hour(timestamp) IN (3, 7) AND isodow(timestamp) <= 5"
 # Where a symbol gets a patch row in a month, one row stays of equal times: one of the archive, or else the one of lowest seq.
 MERGED = f"""
 touched AS (SELECT DISTINCT symbol, date_trunc('month', timestamp) AS month_start FROM patch),
@@ -554,14 +548,13 @@ patch AS (SELECT o.* FROM offered o SEMI JOIN gone g ON o.symbol = g.symbol AND
 sql("patch_merge", f"WITH {EVENT_TICKS}, {HOLES}, patch AS (FROM offered), {MERGED} SELECT * FROM merged", QUOTES.replace(",", ""))
 _repaired = f"WITH {EVENT_TICKS}, {HOLES}, {calendar_cte(source='base')}, {USABLE}, {MERGED}"
 sql("repair_missing_hours", f"{_repaired} SELECT * FROM merged", QUOTES.replace(",", ""))
-sql("repair_report", f"""{UNMERGED.format(patched=_fx)},
-base AS (SELECT symbol, strftime(timestamp, '%Y-%m') AS month, count(*) AS before FROM ticks WHERE hour(timestamp) NOT IN (3, 7) GROUP BY ALL),
-after AS (SELECT symbol, strftime(timestamp, '%Y-%m') AS month, count(*) AS after FROM merged GROUP BY ALL),
-left_over AS (SELECT symbol, strftime(slot, '%Y-%m') AS month, count(*) AS missing FROM ({{missing}}) GROUP BY ALL)
+sql("repair_report", f"""{_repaired},
+before_of AS (SELECT symbol, strftime(timestamp, '%Y-%m') AS month, count(*) AS before FROM base GROUP BY ALL),
+after_of AS (SELECT symbol, strftime(timestamp, '%Y-%m') AS month, count(*) AS after FROM merged GROUP BY ALL),
+left_over AS (SELECT symbol, strftime(slot, '%Y-%m') AS month, count(*) AS missing
+              FROM (WITH {calendar_cte(source='merged')} SELECT * FROM gone) GROUP BY ALL)
 SELECT symbol, month, after - coalesce(before, 0) AS rows_added, coalesce(missing, 0) AS still_missing
-FROM after LEFT JOIN base USING (symbol, month) LEFT JOIN left_over USING (symbol, month)""".replace(
-    "{missing}", f"WITH {EVENT_TICKS}, {calendar_cte()} SELECT * FROM gone"
-))
+FROM after_of LEFT JOIN before_of USING (symbol, month) LEFT JOIN left_over USING (symbol, month)""")
 
 
 _listed = """

@@ -20,7 +20,7 @@ def copies(request, tmp_path_factory):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["patch_merge", "repair_absent_month", "repair_missing_hours"])
+@pytest.mark.parametrize("name", ["patch_merge", "repair_absent_month", "repair_missing_hours", "repair_report"])
 def test_repairs_match_sql_on_copies(spark, copies, name):
     con, folder = copies
     got = catalog.publish(catalog.RAW[name](spark, folder), catalog.DIGITS[name])
