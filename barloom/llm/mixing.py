@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -32,6 +33,13 @@ SHRINKAGE = 5.0
 #: The chi-square of a feature's counts, per degree of freedom, at which half of its log lift is believed.
 HALF_BELIEVED = 12.0
 SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space other than a space, runs of small letters, digits and white space, and a word without the symbols around it.
+#: Characters named one by one are the quickest to look up.
+OTHER_SPACE = "[\t\n\u000b\f\r]"
+PLAIN = "[abcdefghijklmnopqrstuvwxyz0123456789 \t\n\u000b\f\r]+"
+_SIGNS = "".join(f"\\{x}" for x in SYMBOLS)
+_INNER = f"[^ {_SIGNS}]+"
+TRIMMED = f"{_INNER}(?:[{_SIGNS}]+{_INNER})*"
 #: Marks in front of endings and of features of a text's form; words do not begin with them.
 ENDING, FORM = "\u0001", "\u0002"
 #: The evidence of words is divided by this power of their number: texts of few words count, noise of long ones does not add up.
@@ -65,52 +73,74 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _measured(rows: DataFrame) -> DataFrame:
-    """Adds to ``text`` its words and what its form is told by. Each step is a projection of its own, so
-    that nothing is evaluated twice."""
-    text, words, ordered = F.col("text"), F.col("words"), F.col("ordered")
+    """Adds to ``text`` its words in lower case and what its form is told by. Each step is a projection of its own, so
+    that nothing is evaluated twice.
+
+    What only tells words apart runs on their hashes. Higher-order functions and all below them are interpreted, so
+    as little as possible is put there."""
+    text, words, hashes, ordered = F.col("text"), F.col("words"), F.col("hashes"), F.col("ordered")
+    # Most characters are plain; only the others are looked up by their Unicode class.
+    rows = rows.withColumns({"lowered": F.regexp_replace(F.lower(text), OTHER_SPACE, " "), "others": F.regexp_replace(text, PLAIN, "")})
     rows = rows.withColumns(
         {
-            "words": F.array_remove(F.split(F.lower(text), r"\s+"), ""),
-            "capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-            "symbols": F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")),
+            "words": F.array_remove(F.split("lowered", " "), ""),
+            "capitals": F.length(F.regexp_replace("others", r"[^\p{Lu}]+", "")),
+            "symbols": F.length(F.regexp_replace("others", r"[\p{L}\p{N}\s]+", "")),
         }
     )
-    same = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: a == b)
-    rows = rows.withColumns({"again": F.size(F.filter(same, lambda x: x)), "given": F.array_distinct(words), "ordered": F.sort_array(words)})
+    rows = rows.withColumn("hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    rows = rows.withColumns({"n_tokens": F.size(hashes).cast("bigint"), "given": F.size(F.array_distinct(hashes)), "ordered": F.sort_array(hashes)})
     # In order, equal words are neighbours: the longest run of ones among the marks of "as the next one".
-    marks = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.size(ordered)), lambda a, b: F.when(a == b, "1").otherwise("0"))
-    runs = F.transform(F.split(F.array_join(marks, ""), "0"), F.length)
-    return rows.withColumn("most", F.array_max(runs) + 1)
+    marks = F.array_join(_with_next(ordered, lambda a, b: F.when(a == b, "1").otherwise("0")), "")
+    again = F.size(F.array_remove(_with_next(hashes, lambda a, b: a == b), False))
+    return rows.withColumns({"again": again, "most": F.length(F.array_max(F.split(marks, "0+"))) + 1})
 
 
-def _form() -> Column:
+def _with_next(items: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """``combine`` of each item and the one after it."""
+    pairs = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.zip_with(F.slice(items, F.lit(1), pairs), F.slice(items, F.lit(2), pairs), combine)
+
+
+def _form(told: Callable[[Column], Column]) -> Column:
     """How a text is built: classes of its length and of the shares of words that differ, of the most frequent word,
     of words that repeat the one before, of capitals and of symbols."""
-    n, chars = F.size("words"), F.greatest(F.length("text"), F.lit(1))
+    n, chars = F.col("n_tokens"), F.greatest(F.length("text"), F.lit(1))
     length = F.floor(F.log2(n + F.lit(1.0)) / 2)
-    distinct = F.floor(F.size("given") * 20 / n)
+    distinct = F.floor(F.col("given") * 20 / n)
     frequent = F.floor(F.log2(n / F.col("most")) * 2)
     repeats = F.ceil(F.sqrt(F.col("again") / n) * 8)
     # like a word, a kind of character is evidence where it occurs
-    capitals = F.when(F.col("capitals") > 0, F.ceil(F.sqrt(F.col("capitals") / chars) * 12))
-    symbols = F.when(F.col("symbols") > 0, F.ceil(F.sqrt(F.col("symbols") / chars) * 20))
+    capitals = F.ceil(F.sqrt(F.col("capitals") / chars) * 12)
+    symbols = F.ceil(F.sqrt(F.col("symbols") / chars) * 20)
     named = {"length": [length], "distinct": [length, distinct], "frequent": [length, frequent]}
     named |= {"repeats": [repeats], "capitals": [capitals], "symbols": [symbols]}
-    classes = [
-        F.concat(F.lit(FORM + name), *[y for x in parts for y in (F.lit(" "), x.cast("string"))]) for name, parts in named.items()
-    ]
-    return F.when(n > 0, F.array_compact(F.array(*classes))).otherwise(F.array(F.lit(f"{FORM}length 0")))
+    classes = {
+        name: told(F.concat(F.lit(FORM + name), *[y for x in parts for y in (F.lit(" "), x.cast("string"))])) for name, parts in named.items()
+    }
+    always = F.array(*[classes[name] for name in ("length", "distinct", "frequent", "repeats")])
+    found = [F.when(F.col(name) > 0, F.array(classes[name])).otherwise(F.array()) for name in ("capitals", "symbols")]
+    return F.when(n > 0, F.concat(always, *found)).otherwise(F.array(told(F.lit(f"{FORM}length 0"))))
 
 
-def _features(rows: DataFrame, *keys: str) -> DataFrame:
+def _code(feature: Column) -> Column:
+    """64 bits that tell a feature."""
+    ending = F.xxhash64(F.lit(ENDING), F.substring(feature, 2, ENDING_CHARS))
+    return F.when(F.startswith(feature, F.lit(ENDING)), ending).otherwise(F.xxhash64(feature))
+
+
+def _features(rows: DataFrame, *keys: str, hashed: bool = False) -> DataFrame:
     """(keys, feature): distinct words of a text in lower case without symbols around them, distinct endings behind a mark, and its form.
 
-    ``n_tokens``, the number of words, can be one of the keys."""
-    words = F.transform("given", lambda w: F.btrim(w, F.lit(SYMBOLS)))
-    endings = F.transform("given", lambda w: F.concat(F.lit(ENDING), F.right(w, F.lit(ENDING_CHARS))))
-    every = F.concat(F.array_remove(F.array_distinct(words), ""), F.array_distinct(endings), _form())
-    measured = _measured(rows).withColumn("n_tokens", F.size("words").cast("bigint"))
-    return measured.select(*keys, F.explode(every).alias("feature"))
+    ``n_tokens``, the number of words, can be one of the keys. Or (keys, code) with the code of each feature."""
+    told, join = (F.xxhash64, F.xxhash64) if hashed else (lambda x: x, F.concat)
+    words = F.regexp_extract_all("lowered", F.lit(TRIMMED), F.lit(0))
+    words = F.transform(words, lambda w: told(w)) if hashed else words
+    endings = F.transform("words", lambda w: join(F.lit(ENDING), F.substring(w, -ENDING_CHARS, ENDING_CHARS)))
+    every = F.concat(F.array_distinct(words), F.array_distinct(endings), _form(told))
+    # A column before it is exploded, by explode_outer: Spark then compiles the rest, and makes no filter that evaluates it again. No list is empty.
+    every = _measured(rows).select(*keys, every.alias("every"))
+    return every.select(*keys, F.explode_outer("every").alias("code" if hashed else "feature"))
 
 
 def _lifts(n: Column, counts: list[Column], priors: list[float]) -> list[Column]:
@@ -122,9 +152,10 @@ def _lifts(n: Column, counts: list[Column], priors: list[float]) -> list[Column]
 
 
 def _evidence(told: DataFrame, keys: list[str], lifts: list[Column]) -> DataFrame:
-    """(keys, w0 ..., f0 ...): the lifts of the words of a text, scaled for the number of them, and of its form."""
-    form = F.startswith("feature", F.lit(FORM))
-    told = told.select(*keys, F.coalesce(form, F.lit(True)).alias("form"), *[x.alias(f"l{k}") for k, x in enumerate(lifts)])
+    """(keys, w0 ..., f0 ...): the lifts of the words of a text, scaled for the number of them, and of its form.
+
+    ``told`` has a row per feature of a text, with ``form`` where the feature is known."""
+    told = told.select(*keys, F.coalesce("form", F.lit(True)).alias("form"), *[x.alias(f"l{k}") for k, x in enumerate(lifts)])
     sums = [
         F.coalesce(F.sum(F.when(F.col("form") == side, F.col(f"l{k}"))), F.lit(0.0)).alias(f"{name}{k}")
         for name, side in (("w", False), ("f", True))
@@ -137,18 +168,20 @@ def _evidence(told: DataFrame, keys: list[str], lifts: list[Column]) -> DataFram
 
 
 class DomainClassifier:
-    """``table`` has every feature of the sample with one log lift per domain.
+    """``table`` has every feature of the sample with its code, whether it is of the form, and one log lift per domain.
 
     ``weights`` and ``biases`` turn the evidence of a text (w0 ..., f0 ...) into the domains' log odds.
     """
 
     def __init__(self, domains: list[str], priors: list[float], table: DataFrame, weights: list[list[float]], biases: list[float]):
         self.domains, self.priors, self.table, self.weights, self.biases = domains, priors, table, weights, biases
-        size = F.sum(F.octet_length("feature") + 8 * len(domains) + 48)
+        size = F.sum(F.lit(8 * len(domains) + 72))
         self.small = (table.agg(size).first()[0] or 0) <= BROADCAST_BYTES
 
     def look_up(self, features: DataFrame) -> DataFrame:
-        return features.join(F.broadcast(self.table) if self.small else self.table, "feature", "left")
+        """Joins by the code; the features themselves are not sent."""
+        lifts = self.table.drop("feature")
+        return features.join(F.broadcast(lifts) if self.small else lifts, "code", "left")
 
 
 def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", id_col: str = "doc_id") -> DomainClassifier:
@@ -172,13 +205,17 @@ def fit_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "
     priors = [r["count"] / total for r in sizes]
     having = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)]
     pairs = _stored(_features(sample, "digest", "domain"), "labelled-features")
-    counts = materialize(pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *having), "feature-counts")
+    counts = pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *having)
+    form = F.startswith("feature", F.lit(FORM)).alias("form")
+    counts = materialize(counts.select("feature", _code(F.col("feature")).alias("code"), form, "n", *[f"c{k}" for k in ks]), "feature-counts")
     lifts = _lifts(F.col("n"), [F.col(f"c{k}") for k in ks], priors)
-    table = materialize(counts.select("feature", *[x.alias(f"l{k}") for k, x in enumerate(lifts)]), "domain-features")
+    table = materialize(counts.select("feature", "code", "form", *[x.alias(f"l{k}") for k, x in enumerate(lifts)]), "domain-features")
     model = DomainClassifier(domains, priors, table, [[0.0] * 2 * len(domains)], [0.0])
     if len(domains) == 1:
         return model
-    told = pairs.join(F.broadcast(counts) if model.small else counts, "feature")
+    own = counts.drop("feature")
+    coded = pairs.select("digest", "domain", _code(F.col("feature")).alias("code"))
+    told = coded.join(F.broadcast(own) if model.small else own, "code")
     others = [F.col(f"c{k}") - (F.col("domain") == d).cast("int") for k, d in enumerate(domains)]
     seen = _evidence(told, ["digest", "domain"], _lifts(F.col("n") - 1, others, priors))
     label = F.coalesce(*[F.when(F.col("domain") == d, float(k)) for k, d in enumerate(domains)])
@@ -198,7 +235,7 @@ def domain_posteriors(docs: DataFrame, model: DomainClassifier, id_col: str = "d
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
     keys = ["row", "doc", "n_tokens"]
-    features = _features(rows, *keys)
+    features = _features(rows, *keys, hashed=True)
     told = _evidence(model.look_up(features), keys, [F.col(f"l{k}") for k in ks])
     names = [f"{name}{k}" for name in "wf" for k in ks]
     logs = [sum((F.col(x) * w for x, w in zip(names, model.weights[k])), F.lit(model.biases[k])).alias(f"s{k}") for k in ks]

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,23 @@ def test_what_the_rates_reach_is_logged(docs, labelled, caplog):
         M.mix_documents(docs, labelled, {"calm": 3, "spam": 1}, budget=50_000)
     assert [r.getMessage().split(":")[0] for r in caplog.records] == ["domain calm", "domain spam"]
     assert all("target" in r.getMessage() and r.levelname == "INFO" for r in caplog.records)
+
+
+def test_codes_stand_for_the_features_of_odd_texts(spark):
+    texts = ["", " ", "--", " -- a -b- c", "a---b ---", "x\ty\x0bz\x0cq\r\nr", "Foo, foo (FOO) [foo]", "ab\U0001f600\U0001f600cd \U0001d400", "p\u0085q ^x] y\\ &&a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string")
+    told = M._features(rows, "doc")
+    codes = M._features(rows, "doc", hashed=True)
+    assert sorted(map(tuple, told.select("doc", M._code(F.col("feature"))).collect())) == sorted(map(tuple, codes.collect()))
+    found = {i: set() for i in range(len(texts))}
+    for r in told.where(~F.startswith("feature", F.lit(M.FORM))).collect():
+        found[r.doc].add(r.feature)
+    for i, text in enumerate(texts):
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+        assert found[i] == {w.strip(M.SYMBOLS) for w in words} - {""} | {M.ENDING + w[-M.ENDING_CHARS :] for w in words}
+
+
+def test_features_themselves_are_not_sent(docs, labelled):
+    model = M.fit_domains(labelled)
+    told = model.look_up(M._features(docs.where("text is not null"), "doc_id", hashed=True))
+    assert "feature" not in told.columns and dict(told.dtypes)["code"] == "bigint"
