@@ -108,7 +108,7 @@ def _add_capped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _levels(profile: DataFrame) -> np.ndarray:
-    return frequency_levels(fold(profile.where("part is not null"), np.uint32, 1 << SKETCH_BITS, _add_capped))
+    return fold(profile.where("part is not null"), np.uint32, 1 << SKETCH_BITS, _add_capped, finish=frequency_levels)
 
 
 # --- blocks ----------------------------------------------------------------------
@@ -415,6 +415,8 @@ def link_documents(
     rest = materialize(_plausible(rest.join(done, tested, "left_anti"), sizes, limit), "cross-pairs")
     if not rest.isEmpty():
         checked = materialize(verify_pairs(named, rest, "place", width, limit, levels), "links")
+        # What is linked already hangs on its component, so only the new links take rounds.
+        known = found.select(F.col("doc").alias("a"), F.col("component").alias("b"))
         labels = connected_components(known.unionByName(checked.select("a", "b")), "a", "b")
     return (
         sizes.select("doc", "n")

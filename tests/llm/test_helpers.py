@@ -48,3 +48,19 @@ def test_samples_are_bounded_and_repeatable(spark):
     assert hash_sample(rows, 20_000, "id").count() == 20_000
     same = rows.selectExpr("cast(null as bigint) id")
     assert len(collect_sample(same, 50, "id")) <= 100
+
+
+def test_parts_are_finished_before_the_driver_gets_them(spark, monkeypatch):
+    import numpy as np
+
+    from barloom.llm import arrays, ngram_join
+
+    counts = np.zeros(1 << 12, dtype=np.uint32)
+    counts[::5] = np.arange(len(counts[::5])) * 9
+    sent = []
+    rows = spark.createDataFrame(arrays.share(counts), arrays.SHARE)
+    kind = type(rows)
+    monkeypatch.setattr(kind, "collect", lambda self, real=kind.collect: sent.append(real(self)) or sent[-1])
+    levels = arrays.fold(rows.unionByName(rows), np.uint32, len(counts), finish=ngram_join.frequency_levels)
+    assert levels.dtype == np.uint8 and (levels == ngram_join.frequency_levels(2 * counts)).all()
+    assert sum(len(r.data) for r in sent[0]) <= len(counts)
